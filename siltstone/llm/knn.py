@@ -50,7 +50,9 @@ def learn_rotations(x: np.ndarray, rotations: int = ROTATIONS, bits: int = 64, r
 
 def fit(df: DataFrame, vector: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Learns on at most ``sample`` rows, those with the smallest hash; every row is indexed."""
-    rows = df.select(F.col(vector).alias("v")).orderBy(F.xxhash64("v")).limit(sample).toPandas()["v"].tolist()
+    v = df.select(F.col(vector).alias("v"), F.xxhash64(vector).alias("x"))
+    parts = max(1, v.count() // (2 * sample))  # so that the tasks together send about twice the sample
+    rows = v.where(F.pmod("x", F.lit(parts)) == 0).orderBy(F.xxhash64("x")).limit(sample).toPandas()["v"].tolist()
     if not rows:
         raise ValueError("no valid vector")
     return learn_rotations(_unit(rows))

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.knn import knn
+from siltstone.llm.conversations import rebuild_conversations
+from siltstone.llm.knn import exact_knn, knn
+from siltstone.llm.leaks import leaks
 from siltstone.llm.neardup import near_duplicates
+from siltstone.llm.packing import fill_report, pack
 from siltstone.llm.splitting import split_oversized
-from siltstone.runtime import spread, table
+from siltstone.runtime import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +31,32 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p2_top5(spark: SparkSession, d: str) -> DataFrame:
+    """The five best neighbours of every vector among those within the search radius."""
+    return knn(table(spark, d, "chunks"))
+
+
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall against brute force over all rows, for the chunks whose id, read as a hexadecimal number, is divisible by 20."""
+    chunks = table(spark, d, "chunks")
+    digits = F.regexp_replace("id", "^chunk_", "")
+    # 16 hexadecimal digits: the number modulo 20 from its two halves; 16**8 leaves 16 when divided by 20.
+    number = F.pmod(F.conv(F.left(digits, F.lit(8)), 16, 10).cast("bigint") * 16 + F.conv(F.right(digits, F.lit(8)), 16, 10).cast("bigint"), F.lit(20))
+    base = chunks.select("id", F.col("vector").cast("array<double>").alias("v"))
+    true = exact_knn(base.where(number == 0), base).where("similarity >= 0.92")
+    found = knn(chunks, min_similarity=0.9).select("id", "neighbour", F.lit(1).alias("hit"))
+    both = true.join(found, ["id", "neighbour"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return rebuild_conversations(table(spark, d, "memory_records")).select("conversation_id", "turn_no", "message_id")
+
+
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    return rebuild_conversations(table(spark, d, "memory_records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "chunks"), threshold=0.7, width=3).pairs()
 
@@ -36,15 +65,69 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "chunks"), threshold=0.7, width=3).groups()
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(pack(table(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_cases")).where("n_exact > 0").select("doc_id", "case_id")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks with re-parameterised ones: windows whose placeholders hold other, consistently renamed words."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_cases"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
+    "p2_top5": p2_top5,
+    "p2_recall": p2_recall,
+    "p4_found": p4_found,
+    "p4_turns": p4_turns,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p8_packing": p8_packing,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
 }
 
+_ISO = r"""^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?)?(Z|[+-]\d{2}:\d{2})?$"""
+
+
+def _micros(column: str) -> str:
+    """SQL: microseconds of a time written in one of the notations of the test data."""
+    return rf"""CASE WHEN regexp_full_match(trim({column}), '\d{{12,14}}') THEN trim({column})::BIGINT * 1000 WHEN regexp_full_match(trim({column}), '\d{{9,11}}') THEN trim({column})::BIGINT * 1000000
+  WHEN regexp_matches(trim({column}), '{_ISO}') THEN epoch_us(try_cast(trim({column}) AS TIMESTAMPTZ)) END"""
+
+
 ORACLES: dict[str, str] = {
+    "p4_found": rf"""
+WITH r AS (SELECT nullif(regexp_replace(conversation_id, '^\s+|\s+$', '', 'g'), '') AS c, nullif(regexp_replace(message_id, '^\s+|\s+$', '', 'g'), '') AS m, content, {_micros('created_at')} AS t, {_micros('updated_at')} AS u,
+  CASE WHEN lower(trim(role)) IN ('user', 'human', 'customer', 'client', 'end_user', 'end-user', 'enduser', 'visitor') THEN 'user'
+       WHEN lower(trim(role)) IN ('assistant', 'ai', 'bot', 'model', 'agent', 'chatbot', 'gpt', 'llm') THEN 'assistant'
+       WHEN lower(trim(role)) IN ('system', 'developer') THEN 'system'
+       WHEN lower(trim(role)) IN ('tool', 'function', 'tool_result', 'tool_response', 'function_call', 'plugin') THEN 'tool' END AS s FROM memory_records),
+l AS (SELECT * FROM r WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c, m ORDER BY u DESC NULLS LAST, t DESC NULLS LAST, content DESC NULLS LAST, s DESC NULLS LAST) = 1),
+g AS (SELECT * FROM l WHERE c NOT IN (SELECT c FROM l WHERE m IS NULL OR s IS NULL OR t IS NULL) AND trim(coalesce(content, ''), E' \t\r\n') <> ''),
+n AS (SELECT *, row_number() OVER w AS turn FROM g WINDOW w AS (PARTITION BY c ORDER BY t, m)),
+h AS (SELECT c, arg_min(s, turn) AS head FROM n WHERE s <> 'system' GROUP BY c),
+a AS (SELECT c, s, lead(s) OVER (PARTITION BY c ORDER BY turn) AS nxt FROM n WHERE s IN ('user', 'assistant'))
+SELECT c AS conversation_id, turn::INT AS turn_no, m AS message_id FROM n
+WHERE c IN (SELECT c FROM h WHERE head = 'user') AND c NOT IN (SELECT c FROM a WHERE s = 'user' AND coalesce(nxt, '') <> 'assistant')""",
+    "p9_found": r"""
+WITH z AS (SELECT '[\x{00AD}\x{034F}\x{061C}\x{180E}\x{FEFF}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}]' AS p),
+c AS (SELECT id AS case_id, regexp_extract_all(lower(regexp_replace(t, p, '', 'g')), '[\p{L}\p{N}]+') AS w FROM (SELECT id, unnest([problem_statement, query]) AS t FROM eval_cases), z WHERE t IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, p, '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents, z WHERE text IS NOT NULL),
+cw AS (SELECT DISTINCT case_id, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT case_id, w, unnest(range(1, len(w) - 11)) AS i FROM c)),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d))
+SELECT DISTINCT doc_id, case_id FROM dw JOIN cw USING (k)""",
     "p1_found": r"""SELECT id FROM chunks WHERE strlen(content) > 4000 OR len(regexp_split_to_array(content, '\r\n|\n|\r')) > 120""",
     "p2_found": """
 WITH v AS (SELECT id, vector::DOUBLE[] AS v FROM chunks WHERE len(vector) = 64
