@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.abuse import rates, score_documents
 from siltstone.llm.conversations import rebuild_conversations
+from siltstone.llm.credentials import find_credentials, redact
 from siltstone.llm.knn import exact_knn, knn
 from siltstone.llm.leaks import leaks
 from siltstone.llm.neardup import near_duplicates
@@ -65,6 +67,16 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "chunks"), threshold=0.7, width=3).groups()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = find_credentials(table(spark, d, "chunks").select("id", "content"))
+    return spans.where("starts").select("id", "line_no").distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    return chunks.select("id", "relative_path", redact(chunks).alias("content"))
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -82,6 +94,19 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_cases"))
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    scored = score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+    return scored.select("doc_id", "source", "language", F.round("abuse_score", 6).alias("abuse_score"), "is_abusive")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return score_documents(table(spark, d, "documents"), table(spark, d, "labels")).where("is_abusive").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(score_documents(table(spark, d, "documents"), table(spark, d, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -92,10 +117,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_turns": p4_turns,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
     "p8_packing": p8_packing,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _ISO = r"""^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?)?(Z|[+-]\d{2}:\d{2})?$"""
