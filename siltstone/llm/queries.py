@@ -12,6 +12,7 @@ from siltstone.llm.conversations import rebuild_conversations
 from siltstone.llm.credentials import find_credentials, redact
 from siltstone.llm.knn import exact_knn, knn
 from siltstone.llm.leaks import leaks
+from siltstone.llm.markup import clean_markup
 from siltstone.llm.neardup import near_duplicates
 from siltstone.llm.packing import fill_report, pack
 from siltstone.llm.splitting import split_oversized
@@ -51,6 +52,17 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    clean = clean_markup(table(spark, d, "nodes").select("node_id", "content", "heading_path"))
+    fields = F.filter(F.array(F.when(F.size("clean.content_kinds") > 0, "content"), F.when(F.size("clean.heading_kinds") > 0, "heading_path")), lambda x: x.isNotNull())
+    return clean.select("node_id", F.explode(fields).alias("field"))
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    clean = clean_markup(table(spark, d, "nodes"))
+    return clean.select("node_id", "kind", "clean.content", "clean.heading_path")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rebuild_conversations(table(spark, d, "memory_records")).select("conversation_id", "turn_no", "message_id")
 
@@ -113,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_top5": p2_top5,
     "p2_recall": p2_recall,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_turns": p4_turns,
     "p5_found": p5_found,
