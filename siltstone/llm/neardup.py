@@ -79,7 +79,7 @@ class NearDuplicates:
             empty = dict.fromkeys(("k1", "k2", "n", "blocks", "d0", "d1", "d2", "d3"))
             return pd.DataFrame([table_row(t, known, width) or empty for t in text], dtype=object)
 
-        base = materialise(texts.select("doc_id", rows("text").alias("t")).select("doc_id", "t.*").where("n is not null"))
+        base = materialise(texts.select("doc_id", rows.asNondeterministic()("text").alias("t")).select("doc_id", "t.*").where("n is not null"))
         reps = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("blocks").alias("blocks"), *(F.first(f"d{i}").alias(f"d{i}") for i in range(4)))
         self.classes = base.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "k1", "k2", "rep").distinct()
         met = reps.select("rep", "n", "d0", "d1", "d2", "d3", F.explode("blocks").alias("block"))
@@ -96,7 +96,7 @@ class NearDuplicates:
             return pd.Series([shingle_set(t, known, width).astype(np.int64) for t in text])
 
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", full("text").alias("s"))
+        sets = texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", full.asNondeterministic()("text").alias("s"))
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
         both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
         sim = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))
