@@ -196,5 +196,5 @@ def split_oversized(
         F.lit(1).alias("piece_no"), F.col(content).alias("content"), first.alias("start_line"), (first + lines).cast("int").alias("end_line"),
         F.lit(0).alias("char_start"), F.coalesce(F.char_length(content), F.lit(0)).alias("char_end"),
     ))
-    out = df.withColumn(tmp, F.coalesce(pieces(F.when(over, F.col(content)), base), whole))
+    out = df.withColumn(tmp, F.coalesce(pieces.asNondeterministic()(F.when(over, F.col(content)), base), whole))
     return out.withColumn(count, F.size(tmp)).withColumn(piece, F.explode(tmp)).drop(tmp)
