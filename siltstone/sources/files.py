@@ -76,18 +76,20 @@ def is_ignored(path: Column, *, names=IGNORED_NAMES, patterns=IGNORED_PATTERNS,
 
 
 def ignore_file_patterns(spark: SparkSession, root: str) -> list[str]:
-    """Patterns of the ignore files in the root folder: no blank, comment or negated lines. A few lines, so they are collected."""
-    lines = spark.read.option("recursiveFileLookup", False).option("pathGlobFilter", ".*ignore").text(root) if _has_ignore(spark, root) else None
-    if lines is None:
-        return []
-    kept = lines.select(F.trim("value").alias("v")).where("v <> '' and v not like '#%' and v not like '!%'")
-    return clean_patterns(r["v"] for r in kept.collect())
-
-
-def _has_ignore(spark: SparkSession, root: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    """Patterns of the ignore files in the root folder: no blank, comment or negated lines. Spark's readers skip hidden files, so these few are read by name."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return any(re.fullmatch(r"\.[\w.-]*ignore", s.getPath().getName()) for s in fs.listStatus(path))
+    lines: list[str] = []
+    for status in sorted(fs.listStatus(path), key=lambda s: s.getPath().getName()):
+        if status.isFile() and re.fullmatch(r"\.[\w.-]*ignore", status.getPath().getName()):
+            stream = fs.open(status.getPath())
+            try:
+                lines += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            finally:
+                stream.close()
+    kept = (x.strip() for x in lines)
+    return clean_patterns(x for x in kept if x and x[0] not in "#!")
 
 
 def scan_files(spark: SparkSession, root: str, *, extensions=EXTENSIONS, names=IGNORED_NAMES, patterns=IGNORED_PATTERNS, content: bool = True) -> DataFrame:
