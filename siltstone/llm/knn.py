@@ -30,25 +30,26 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def learn_rotations(x: np.ndarray, rotations: int = ROTATIONS, bits: int = 64, rounds: int = 25, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection matrix (dim x rotations*bits) fitted by iterative quantisation."""
+def learn_rotations(x: np.ndarray, rotations: int = ROTATIONS, bits: int = 64, rounds: int = 25, seed: int = 5) -> np.ndarray:
+    """Projection matrix (dim x rotations*bits) fitted by iterative quantisation on unit vectors.
+
+    Not centred: differing bits then follow the angle, also where all vectors lie in one narrow cone.
+    """
     dim, rng = x.shape[1], np.random.default_rng(seed)
-    mean = x.mean(0)
-    c = x - mean
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    _, axes = np.linalg.eigh(c.T @ c)
+    _, axes = np.linalg.eigh(x.T @ x)
+    axes = axes[:, ::-1]
     out = []
     for _ in range(rotations):
-        base = axes[:, ::-1][:, np.arange(bits) % dim] if bits > dim else axes[:, ::-1][:, :bits]
-        y, r = c @ base, np.linalg.qr(rng.normal(size=(bits, bits)))[0]
+        base = axes[:, np.arange(bits) % dim]
+        y, r = x @ base, np.linalg.qr(rng.normal(size=(bits, bits)))[0]
         for _ in range(rounds):
             u, _, vt = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
             r = (u @ vt).T
         out.append(base @ r)
-    return mean, np.hstack(out)
+    return np.hstack(out)
 
 
-def fit(df: DataFrame, vector: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def fit(df: DataFrame, vector: str, sample: int = SAMPLE) -> np.ndarray:
     """Learns on at most ``sample`` rows, those with the smallest hash; every row is indexed."""
     v = df.select(F.col(vector).alias("v"), F.xxhash64(vector).alias("x"))
     parts = max(1, v.count() // (2 * sample))  # so that the tasks together send about twice the sample
@@ -69,7 +70,7 @@ def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & valid_vector(F.col("v"), dim))
     rows = rows.withColumn("c", F.xxhash64("v"))
     try:
-        mean, projection = fit(rows, "v", sample)
+        projection = fit(rows, "v", sample)
     except ValueError:
         return df.sparkSession.createDataFrame([], f"id {dict(df.dtypes)[id_col]}, neighbour {dict(df.dtypes)[id_col]}, similarity double, rank int")
     per = 64 // SUBSTRING
@@ -78,8 +79,7 @@ def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5
     def encode(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        c = _unit(v) - mean
-        bits = np.packbits((c @ projection) >= 0, axis=1, bitorder="little")
+        bits = np.packbits((_unit(v) @ projection) >= 0, axis=1, bitorder="little")
         return pd.Series(list(bits.view("<i8")))
 
     # One row for each distinct vector with its smallest ids; more of them can't be among anyone's k.
