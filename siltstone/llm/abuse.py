@@ -2,8 +2,8 @@
 
 Words are normalised (case, invisible characters, look-alike letters and digits, stretched and dotted spellings, spaced
 letters), hashed into a table of embeddings, and read by filters of several widths; each filter's maximum over the whole text
-feeds a logistic output. Trained on at most ``TRAIN_LIMIT`` labelled rows; a held-out quarter of them calibrates a threshold
-for each language. Every document is scored over its whole text.
+feeds a logistic output. Trained on at most ``TRAIN_LIMIT`` labelled rows; scores of rows a model didn't see calibrate a
+threshold for each language. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS, DIM, WIDTHS, FILTERS = 15, 16, (1, 2, 3, 5), 16
+#: A label is doubted where the score of a model that didn't see it lies this near the other one; words of fewer documents aren't learned.
+DOUBT, LEAST_DOCUMENTS = 0.12, 3
 #: At most so many labelled rows are fitted on: those with the smallest hash of their id, labels of 1 first up to a half.
 TRAIN_LIMIT = 6000
 PAD = 1 << BITS
@@ -62,7 +64,7 @@ def _of_chunk(chunk: str) -> tuple[int, ...]:
             for run in _CJK.findall(word):
                 out += [_bucket(run[i : i + 2]) for i in range(max(1, len(run) - 1))]
             out += [_bucket(w) for w in _WORD.findall(_CJK.sub(" ", word))]
-        elif word.isdigit():
+        elif word[0].isdigit():
             out.append(_bucket("0"))
         else:
             out.append(_bucket(word))
@@ -150,17 +152,19 @@ def scores(model: Model, docs: list[np.ndarray], words_at_once: int = 60_000) ->
     return out
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, batch: int = 32, rate: float = 0.05, drop: float = 0.3, seed: int = 1) -> Model:
+def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, batch: int = 32, rate: float = 0.05, drop: float = 0.3, forget: float = 0.15, seed: int = 1) -> Model:
     rng = np.random.default_rng(seed)
+    epochs = int(np.clip(600 * batch / max(1, len(docs)), epochs, 60))  # a few hundred rows need more rounds
     m = Model(
         (rng.normal(0, 0.02, (PAD + 1, DIM))).astype(np.float32), [rng.normal(0, 1 / np.sqrt(w * DIM), (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), float(np.log((labels.mean() + 0.01) / (1.01 - labels.mean()))),
     )
-    m.table[PAD] = 0
-    seen = np.zeros(PAD + 1, bool)
+    seen = np.zeros(PAD + 1, np.int64)
     for d in docs:
-        seen[d] = True
-    m.table[~seen] = 0
+        seen[np.unique(d)] += 1
+    live_words = seen >= (LEAST_DOCUMENTS if len(docs) >= 500 else 1)
+    live_words[PAD] = False
+    m.table[~live_words] = 0
     acc = [np.full(PAD + 1, 1e-2, np.float32), [np.full_like(f, 1e-2) for f in m.filters], [np.full_like(b, 1e-2) for b in m.bias], np.full_like(m.out, 1e-2), 1e-2]
     weight = np.where(labels == 1, np.clip((labels == 0).sum() / max(1, (labels == 1).sum()), 1, 4), 1.0)
     for epoch in range(epochs):
@@ -168,6 +172,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, batch
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
             ids, start = _join([docs[i] for i in some])
+            ids = np.where(rng.random(len(ids)) < forget, PAD, ids)
             pooled, wheres = _convolve(m, ids, start, True)
             mask = (rng.random(pooled.shape) >= drop) / (1 - drop)
             h = pooled * mask
@@ -193,7 +198,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, batch
                 m.filters[j] -= rate * grad_f / np.sqrt(acc[1][j])
                 m.bias[j] -= rate * grad_b / np.sqrt(acc[2][j])
             r, v = np.concatenate(rows), np.concatenate(values)
-            live = np.abs(v).sum(1) > 0
+            live = live_words[r] & (np.abs(v).sum(1) > 0)
             r, inverse = np.unique(r[live], return_inverse=True)
             total = np.zeros((len(r), DIM), np.float32)
             np.add.at(total, inverse, v[live])
@@ -237,17 +242,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_LIMIT) -> Mode
 
 
 def fit_rows(docs: list[np.ndarray], y: np.ndarray, lang: np.ndarray) -> Model:
-    """Thresholds come from a quarter held out; the model itself is then fitted on all rows."""
-    held = np.arange(len(docs)) % 4 == 3
-    part = train([d for d, h in zip(docs, held) if not h], y[~held])
-    p, yh, lh = scores(part, [d for d, h in zip(docs, held) if h]), y[held], lang[held]
-    model = train(docs, y)
-    model.threshold = best_threshold(p, yh) if yh.sum() >= 3 else 0.5
-    for one in np.unique(lh):
-        at = lh == one
-        n = yh[at].sum()
+    """Two halves score each other. Labels that the other half's model firmly contradicts are left out of the final fit (a few
+    per cent are wrong, and a model that learns them learns names); thresholds come from the halves' scores."""
+    half = np.arange(len(docs)) % 2 == 1
+    p = np.zeros(len(docs))
+    for h in (half, ~half):
+        if 0 < y[~h].sum() < (~h).sum():
+            p[h] = scores(train([d for d, x in zip(docs, ~h) if x], y[~h]), [d for d, x in zip(docs, h) if x])
+    sure = ~(((y == 1) & (p < DOUBT)) | ((y == 0) & (p > 1 - DOUBT))) if y.sum() >= 100 else np.ones(len(docs), bool)
+    model = train([d for d, s in zip(docs, sure) if s], y[sure])
+    p, y, lang = p[sure], y[sure], lang[sure]
+    model.threshold = best_threshold(p, y) if y.sum() >= 3 else 0.5
+    for one in np.unique(lang):
+        at = lang == one
+        n = y[at].sum()
         if n >= 10:  # shrunk towards the common threshold by the number of positives
-            model.thresholds[str(one)] = float((n * best_threshold(p[at], yh[at]) + 30 * model.threshold) / (n + 30))
+            model.thresholds[str(one)] = float((n * best_threshold(p[at], y[at]) + 30 * model.threshold) / (n + 30))
     return model
 
 
