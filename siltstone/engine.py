@@ -15,7 +15,7 @@ from siltstone.functions.text import language_of
 from siltstone.functions.vectors import embed_query
 from siltstone.operators import domain, evaluation, indexing, markdown, search, sessions
 from siltstone.operators.chunking import node_chunks
-from siltstone.runtime import materialise
+from siltstone.runtime import importable, materialise
 from siltstone.sources import store
 from siltstone.sources.config import Config
 from siltstone.sources.files import read_markdown, scan_files
@@ -32,6 +32,7 @@ class Engine:
     """One root folder: chunk rows, catalog, snapshots, file states, sessions."""
 
     def __init__(self, spark: SparkSession, root: str, config: Config = Config(), embed=None):
+        importable(spark)
         self.spark, self.config = spark, config
         self.root = os.path.abspath(os.path.expanduser(root))
         self.chunks = store.ChunkStore(spark, self.root)

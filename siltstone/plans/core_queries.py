@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import ids, scoring, text, vectors
 from siltstone.operators import chunking, domain, evaluation, indexing, markdown, search, sessions
 from siltstone.operators.changes import changes_by_run
-from siltstone.runtime import table
+from siltstone.runtime import spread, table
 from siltstone.sources.files import matches_any, pattern_regex
 from siltstone.sources.store import Catalog
 
@@ -26,6 +26,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def wide(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(table(spark, d, name))
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -123,20 +127,20 @@ def outer_ranges(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Declarations of the Go and C++ chunks, line windows of all others."""
-    rows = table(spark, d, "chunks").withColumn("language", text.language_of(F.col("file_extension")))
+    rows = wide(spark, d, "chunks").withColumn("language", text.language_of(F.col("file_extension")))
     return chunking.syntax_chunks(rows, "id", max_lines=20, overlap=4).select("id", "start_line", "end_line", F.col("metadata")["symbol_kind"].alias("symbol_kind"), F.col("metadata")["symbol_name"].alias("symbol_name"))
 
 
 @query()
 def markdown_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes = markdown.parse_markdown(table(spark, d, "documents").select("doc_id", "relative_path", F.col("text").alias("content")))
+    nodes = markdown.parse_markdown(wide(spark, d, "documents").select("doc_id", "relative_path", F.col("text").alias("content")))
     return nodes.select("doc_id", "kind", "document_id", "section_id", F.array_join("heading_path", " > ").alias("heading"), "knowledge_kind", "start_line", "end_line")
 
 
 @query()
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Bodies windowed without cutting fences or tables."""
-    nodes = markdown.parse_markdown(table(spark, d, "documents").select("doc_id", "relative_path", F.col("text").alias("content")))
+    nodes = markdown.parse_markdown(wide(spark, d, "documents").select("doc_id", "relative_path", F.col("text").alias("content")))
     return chunking.node_chunks(nodes, max_lines=6, overlap=1, extender=chunking.markdown_boundary).select("doc_id", "kind", "section_id", "start_line", "end_line", F.md5("content").alias("content_md5"))
 
 
@@ -159,7 +163,7 @@ _EMBED = r"regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_一-龥]+')
 
 @query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_TOKENS.format(x='text')}) AS token FROM documents) GROUP BY 1")
 def keyword_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.explode(text.keyword_tokens("text")).alias("token"))
+    rows = wide(spark, d, "documents").select("doc_id", F.explode(text.keyword_tokens("text")).alias("token"))
     return rows.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -173,7 +177,7 @@ def embed_tokens(spark: SparkSession, d: str) -> DataFrame:
 h AS (SELECT doc_id, sha256(t) AS h FROM t)
 SELECT doc_id, (('0x' || left(h, 8))::BIGINT % 256)::INT AS idx, sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 0 THEN -1 ELSE 1 END)::BIGINT AS value FROM h GROUP BY 1, 2""")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.explode(vectors.sparse_embedding(F.col("text"), 256)).alias("p"))
+    rows = wide(spark, d, "documents").select("doc_id", F.explode(vectors.sparse_embedding(F.col("text"), 256)).alias("p"))
     return rows.groupBy("doc_id", F.col("p.index").alias("idx")).agg(F.sum("p.value").cast("bigint").alias("value"))
 
 
@@ -232,7 +236,7 @@ _TOP_SQL = f" SELECT id, round(sem, 6) AS semantic, round(key, 6) AS keyword, ro
 
 def _profile_query(profile: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = scoring.bm25(scoring.term_weights(table(spark, d, "chunks").drop("vector"), TOKENS, profile), TOKENS, ["namespace"])
+        rows = scoring.bm25(scoring.term_weights(wide(spark, d, "chunks").drop("vector"), TOKENS, profile), TOKENS, ["namespace"])
         return rows.select("id", F.round("keyword_score", 6).alias("keyword")).where("keyword > 0")
 
     QUERIES[f"bm25_{profile}"] = run
@@ -245,12 +249,12 @@ for _p in scoring.FIELD_WEIGHTS:
 
 @query(_fused_sql("conversation", "linear") + _TOP_SQL)
 def fuse_linear(spark: SparkSession, d: str) -> DataFrame:
-    return _out(search.top(search.score(table(spark, d, "chunks"), VECTOR, _options("conversation")), TOP))
+    return _out(search.top(search.score(wide(spark, d, "chunks"), VECTOR, _options("conversation")), TOP))
 
 
 @query(_fused_sql("code", "rrf") + _TOP_SQL)
 def fuse_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return _out(search.top(search.score(table(spark, d, "chunks"), VECTOR, _options("code", "rrf")), TOP))
+    return _out(search.top(search.score(wide(spark, d, "chunks"), VECTOR, _options("code", "rrf")), TOP))
 
 
 _FILTER = "file_extension IN ('.go', '.py') AND coalesce(metadata['domain_path'], '') IN (" + ", ".join(f"'{x}'" for x in DOMAINS) + ")"
@@ -260,12 +264,12 @@ _FILTER = "file_extension IN ('.go', '.py') AND coalesce(metadata['domain_path']
 def filtered_search(spark: SparkSession, d: str) -> DataFrame:
     """Statistics are those of the rows that pass the filters."""
     options = _options("knowledge", extensions=(".go", ".py"), filters={"domain_path": DOMAINS})
-    return _out(search.top(search.score(table(spark, d, "chunks"), VECTOR, options), TOP))
+    return _out(search.top(search.score(wide(spark, d, "chunks"), VECTOR, options), TOP))
 
 
 @query(_fused_sql("fact", "linear") + f" SELECT namespace, id, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY round(score, 12) DESC, {_TIE}) AS rn FROM z) WHERE rn <= 6")
 def namespace_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.score(table(spark, d, "chunks"), VECTOR, _options("fact"))
+    rows = search.score(wide(spark, d, "chunks"), VECTOR, _options("fact"))
     w = Window.partitionBy("namespace").orderBy(F.round("score", 12).desc(), *search.TIEBREAK)
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 6").select("namespace", "id", "rank")
 
@@ -279,12 +283,12 @@ def _rerank_sql() -> str:
 @query(_rerank_sql())
 def rerank_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Two phases: the most similar candidates, then keyword statistics over them alone."""
-    chunks = table(spark, d, "chunks").withColumn("namespace", F.lit("all"))
+    chunks = wide(spark, d, "chunks").withColumn("namespace", F.lit("all"))
     return _out(search.remote_search(chunks, "all", VECTOR, _options("default")))
 
 
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "chunks").select("namespace").distinct().where("namespace like 'source%'")
+    names = wide(spark, d, "chunks").select("namespace").distinct().where("namespace like 'source%'")
     return names.select("namespace", F.regexp_extract("namespace", "^source_(.+)_[0-9a-f]+$", 1).alias("source_type"), F.col("namespace").alias("source_id"), F.lit("indexed").alias("status"), F.col("namespace").alias("key"))
 
 
@@ -304,7 +308,7 @@ SELECT id, source_type, round(score, 6) AS score FROM r ORDER BY round(score, 12
 @query(_merged_sql())
 def merged_search(spark: SparkSession, d: str) -> DataFrame:
     """All sources but code: each by its own strategy, merged by score."""
-    hits = search.search_all(table(spark, d, "chunks"), _catalog(spark, d), QUERY, VECTOR, limit=TOP, types="doc")
+    hits = search.search_all(wide(spark, d, "chunks"), _catalog(spark, d), QUERY, VECTOR, limit=TOP, types="doc")
     return hits.select("id", "source_type", F.round("score", 6).alias("score"))
 
 
@@ -374,7 +378,7 @@ SELECT e.k AS key, count(*) AS n, count(DISTINCT e.v) AS n_values, min(e.v) AS l
 @query(_MEMORY)
 def memory_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Entries that imported records carry beside the source's own."""
-    rows = table(spark, d, "memory_records").where("content is not null and trim(content) <> ''")
+    rows = wide(spark, d, "memory_records").where("content is not null and trim(content) <> ''")
     bag = indexing.memory_metadata(F.lit("experience"), F.lit("memory"), F.lit("/srv/m.jsonl"), F.lit(None).cast("map<string,string>"))
     entries = rows.select(F.explode(bag).alias("key", "value")).where(~F.col("key").isin("absolute_path", "source_type", "source_id", "importance", "client"))
     return entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("greatest"))
@@ -388,7 +392,7 @@ def memory_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def memory_import(spark: SparkSession, d: str) -> DataFrame:
-    rows = indexing.memory_rows(table(spark, d, "memory_records"), F.lit("source_conversation_x"), "conversation", "memory", "/srv/m.jsonl", dim=32)
+    rows = indexing.memory_rows(wide(spark, d, "memory_records"), F.lit("source_conversation_x"), "conversation", "memory", "/srv/m.jsonl", dim=32)
     return rows.select("id", "relative_path", "start_line", F.size("vector").alias("dim"), F.col("metadata")["domain_path"].alias("domain_path"), F.col("metadata")["experience_kind"].alias("experience_kind"))
 
 
@@ -431,7 +435,7 @@ _DOC_TEXT = r"d AS (SELECT doc_id AS id, lower(regexp_replace(coalesce(text, '')
 
 @query(f"WITH {_DOC_TEXT}, {_rule_sql('d')} SELECT d.id AS doc_id, CASE WHEN c >= 0.35 THEN b.d ELSE '' END AS domain, round(CASE WHEN c >= 0.35 THEN c ELSE 0 END::DOUBLE, 6) AS confidence, CASE WHEN c >= 0.75 THEN 65 WHEN c >= 0.35 THEN 50 ELSE 0 END AS domain_percent FROM d LEFT JOIN b ON b.id = d.id")
 def domain_classify(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", domain.classify(domain.input_text(F.col("text"))).alias("r"))
+    rows = wide(spark, d, "documents").select("doc_id", domain.classify(domain.input_text(F.col("text"))).alias("r"))
     return rows.select("doc_id", "r.domain", F.round("r.confidence", 6).alias("confidence"), "r.budget.domain_percent")
 
 
@@ -447,7 +451,7 @@ e AS (SELECT id, array_to_string(lv, '/') AS d, 0.35 AS s FROM d WHERE len(lv) B
 g AS (SELECT id, d, round(sum(s)::DOUBLE, 12) AS s FROM e WHERE s > 0 GROUP BY 1, 2), w AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, d) = 1)
 SELECT d.id, CASE WHEN s >= 0.35 THEN w.d ELSE '' END AS domain, CASE WHEN s >= 0.35 AND contains(w.d, '/') THEN split_part(w.d, '/', 1) ELSE '' END AS parent_domain, round(CASE WHEN s >= 0.35 THEN least(s, 1) ELSE 0 END, 6) AS confidence FROM d LEFT JOIN w ON w.id = d.id""")
 def domain_resolve(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks").select("id", domain.resolve(F.col("content"), metadata=F.col("metadata"), extension=F.col("file_extension")).alias("r"))
+    rows = wide(spark, d, "chunks").select("id", domain.resolve(F.col("content"), metadata=F.col("metadata"), extension=F.col("file_extension")).alias("r"))
     return rows.select("id", "r.domain", "r.parent_domain", F.round("r.confidence", 6).alias("confidence"))
 
 

@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, in a session started from any folder."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory, whole."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,8 +56,7 @@ def free_name(taken, wanted: str) -> str:
     return wanted
 
 
-def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """Spread a scan with fewer partitions than cores before costly Python work; larger scans stay as they are."""
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, spread over them before costly work on each row; any larger scan as it is."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
