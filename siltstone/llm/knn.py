@@ -140,26 +140,43 @@ def _hot_pairs(index: DataFrame, busy: DataFrame, heads: DataFrame, k: int, hot:
     return units.groupBy("key", "lo", "hi").applyInPandas(best, "a bigint, b bigint")
 
 
-def exact_knn(queries: DataFrame, base: DataFrame, *, k: int = 5, dim: int = 64, block: int = 2000) -> DataFrame:
-    """Brute force: a stated query set (id, v) against all rows (id, v), in blocks of queries. To measure recall with."""
-    q = queries.where(valid_vector(F.col("v"), dim)).select("id", "v").toPandas()
-    sc, ids = base.sparkSession.sparkContext, q["id"].to_numpy()
-    shared = sc.broadcast(_unit(q["v"]).astype(np.float32)) if len(q) else None
-    schema = f"id {dict(queries.dtypes)['id']}, neighbour {dict(base.dtypes)['id']}, similarity double"
+QUERIES_AT_ONCE = 20_000
+
+
+def exact_knn(queries: DataFrame, base: DataFrame, *, k: int = 5, dim: int = 64, block: int = 500, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
+    """Brute force: a stated query set (id, v) against all rows (id, v). To measure recall with; ids are distinct.
 
-    def scan(batches):
-        for pdf in batches:
-            u, other = _unit(pdf["v"]).astype(np.float32), pdf["id"].to_numpy()
-            for at in range(0, len(ids), block):
-                s = shared.value[at : at + block] @ u.T
-                s[ids[at : at + block, None] == other[None, :]] = -2
-                m = min(k, s.shape[1])
-                floor = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-                i, j = np.nonzero((s >= floor[:, None]) & (s > -1.5))
-                yield pd.DataFrame({"id": ids[at + i], "neighbour": other[j], "similarity": s[i, j].astype(float)})
-
-    if not len(q):
-        return base.sparkSession.createDataFrame([], schema)
-    found = base.where(valid_vector(F.col("v"), dim)).select("id", "v").mapInPandas(scan, schema)
+    Queries go out about ``at_once`` at a time, so what is broadcast has a bound whatever their number; each turn scans all rows.
+    """
+    spark = base.sparkSession
+    q = queries.where(valid_vector(F.col("v"), dim)).select("id", "v")
+    base = base.where(valid_vector(F.col("v"), dim)).select("id", "v")
+    schema = f"id {dict(queries.dtypes)['id']}, neighbour {dict(base.dtypes)['id']}, similarity double"
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    turns = -(-q.count() // at_once)
+    out = spark.createDataFrame([], schema)
+    for turn in range(turns):
+        some = q.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn).toPandas()
+        if some.empty:
+            continue
+        ids, shared = some["id"].to_numpy(), spark.sparkContext.broadcast(_unit(some["v"]).astype(np.float32))
+
+        def scan(batches, ids=ids, shared=shared):
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                u, other = _unit(pdf["v"]).astype(np.float32), pdf["id"].to_numpy()
+                place = pd.Index(other).get_indexer(ids)
+                for at in range(0, len(ids), block):
+                    s = shared.value[at : at + block] @ u.T
+                    own = np.flatnonzero(place[at : at + block] >= 0)
+                    s[own, place[at : at + block][own]] = -2
+                    m = min(k, s.shape[1])
+                    floor = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+                    i, j = np.nonzero((s >= floor[:, None]) & (s > -1.5))
+                    yield pd.DataFrame({"id": ids[at + i], "neighbour": other[j], "similarity": s[i, j].astype(float)})
+
+        best = base.mapInPandas(scan, schema).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+        out = out.unionByName(materialise(best))
+        shared.unpersist()
+    return out
