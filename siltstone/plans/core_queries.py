@@ -13,7 +13,7 @@ from siltstone.operators import chunking, domain, evaluation, indexing, markdown
 from siltstone.operators.changes import changes_by_run
 from siltstone.runtime import spread, table
 from siltstone.sources.files import matches_any, pattern_regex
-from siltstone.sources.store import Catalog
+from siltstone.sources.store import Catalog, from_columns, to_columns
 
 QUERY = "splitter budget of the go test panic in the retry channel"
 TOKENS = search.query_tokens(QUERY)
@@ -554,3 +554,19 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
     bag = F.create_map(*(x for k in names for x in (F.lit(k), F.coalesce(F.col(f"document.{k}"), F.lit("")))))
     flat = table(spark, d, "ranked_hits").select("search_id", "rank", F.col("result_id").alias("id"), "category", "source_type", "source_id", "namespace", "score", "location.*", "content", bag.alias("metadata"))
     return search.result_rows_of(flat).select("search_id", "rank", "result_id", F.col("document").isNotNull().alias("has_document"), F.col("location.relative_path").alias("relative_path"))
+
+
+@query()
+def range_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of the documents as line ranges, long ones windowed."""
+    docs = wide(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("content"))
+    heads = markdown.heading_lines(docs, "doc_id").select(F.col("path").alias("doc_id"), F.col("line").alias("start_line"), (F.col("next_line") - 1).alias("end_line"), F.lit("section").alias("kind"), F.create_map(F.lit("heading"), F.col("heading")).alias("metadata"))
+    return chunking.range_chunks(docs, heads, "doc_id", max_lines=6, overlap=2).select("doc_id", F.col("metadata")["heading"].alias("heading"), "start_line", "end_line", F.md5("content").alias("content_md5"))
+
+
+@query("""SELECT id, list_sort(list_filter([struct_pack(k := 'chunk_kind', v := metadata['chunk_kind']), struct_pack(k := 'domain_path', v := metadata['domain_path']), struct_pack(k := 'symbol_name', v := metadata['symbol_name'])], lambda e: coalesce(e.v, '') <> ''))::VARCHAR IS NOT NULL AS kept,
+  len(list_filter(['chunk_kind', 'domain_path', 'symbol_name', 'experience_kind', 'document_id', 'section_id', 'heading_path', 'knowledge_kind', 'node_kind', 'version', 'symbol_kind', 'role', 'tool_name', 'command', 'status', 'tags', 'absolute_path'], lambda k: coalesce(metadata[k], '') <> ''))::INT AS n_kept FROM chunks""")
+def column_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata pivoted to columns and back: only entries that have a column and a value are kept."""
+    rows = from_columns(to_columns(table(spark, d, "chunks").select("id", "metadata")))
+    return rows.select("id", F.col("metadata").isNotNull().alias("kept"), F.size("metadata").alias("n_kept"))

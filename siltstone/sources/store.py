@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import ids
+from siltstone.functions.text import truncate_utf8
 from siltstone.operators.indexing import replace_files, upsert
 from siltstone.runtime import materialise
 from siltstone.schema import CATALOG, CHUNKS, FILE_STATES, PROMOTED, SESSION, SNAPSHOTS, STATUSES
@@ -52,6 +53,12 @@ def from_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in PROMOTED], bag.alias("metadata"))
 
 
+def remote_rows(rows: DataFrame) -> DataFrame:
+    """Rows as the remote store takes them: metadata as columns, each text cut to its column's bytes between characters."""
+    flat = to_columns(rows)
+    return flat.select(*(truncate_utf8(c, BYTE_LIMITS[c]).alias(c) if c in BYTE_LIMITS else F.col(c) for c in flat.columns))
+
+
 def checked_vectors(rows: DataFrame, dim: int) -> DataFrame:
     """An empty vector or one of another length is an error."""
     ok = F.coalesce(F.size("vector") == dim, F.lit(False))
