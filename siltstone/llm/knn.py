@@ -1,9 +1,9 @@
 """Most similar vectors by multi-index hashing over learned rotated binary codes.
 
-Three rotations are learned on a bounded sample (iterative quantisation: rotate so that signs lose least). Each gives 64
+Five rotations are learned on a bounded sample (iterative quantisation: rotate so that signs lose least). Each gives 64
 bits, cut into substrings of 16; every substring is an index of its own. Two codes that differ in fewer bits than there are
 substrings agree on one (pigeonhole), so probing the exact substring retrieves every code within that radius, and nearly
-every one within the wider radius that the full code is tested with. Survivors are reranked by their floats.
+every one within the wider radius that the first rotation's code is tested with. Survivors are reranked by their floats.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.runtime import materialise
 
-ROTATIONS, SUBSTRING, SAMPLE, RADIUS, HOT = 3, 16, 4096, 48, 2048
+ROTATIONS, SUBSTRING, SAMPLE, RADIUS, HOT = 5, 16, 4096, 20, 2048
 
 
 def valid_vector(v: Column, dim: int) -> Column:
@@ -60,7 +60,7 @@ def fit(df: DataFrame, vector: str, sample: int = SAMPLE) -> np.ndarray:
 
 
 def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5, dim: int = 64, radius: int = RADIUS, sample: int = SAMPLE, min_similarity: float = -1.0, hot: int = HOT) -> DataFrame:
-    """id, neighbour, similarity, rank: for each vector its ``k`` most similar ones among those within ``radius`` bits of 192.
+    """id, neighbour, similarity, rank: for each vector its ``k`` most similar ones among those within ``radius`` bits of 64.
 
     Null, empty, zero, non-finite vectors and those of another length take no part; an input without a valid vector gives
     no rows. Ties go to the smaller id. Equal vectors form a class that is searched once; a member's copies come first. Keys
@@ -85,18 +85,18 @@ def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5
     # One row for each distinct vector with its smallest ids; more of them can't be among anyone's k.
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("id"))).where(F.col("r") <= k + 1)
     heads = materialise(ranked.groupBy("c").agg(F.min_by("v", "id").alias("v"), F.array_sort(F.collect_set("id")).alias("ids")))
-    codes = heads.select("c", encode("v").alias("h"))
-    words = [F.col("h")[i].alias(f"h{i}") for i in range(ROTATIONS)]
+    # The codes are kept, not the index: it is twenty times as long and made from them in the JVM.
+    codes = materialise(heads.select("c", encode("v").alias("h")))
     mask = (1 << SUBSTRING) - 1
     keys = [
         (F.lit(i * per + j) * (1 << SUBSTRING) + F.shiftrightunsigned(F.col("h")[i], SUBSTRING * j).bitwiseAND(F.lit(mask).cast("bigint"))).cast("int")
         for i in range(ROTATIONS) for j in range(per)
     ]
-    index = materialise(codes.select("c", *words, F.explode(F.array(*keys)).alias("key")))
+    index = codes.select("c", F.col("h")[0].alias("code"), F.explode(F.array(*keys)).alias("key"))
     crowd = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     shared, busy = crowd.where((F.col("n") > 1) & (F.col("n") <= hot)).select("key"), crowd.where(F.col("n") > hot)
     cold = index.join(shared, "key", "left_semi")
-    apart = sum((F.bit_count(F.col(f"a.h{i}").bitwiseXOR(F.col(f"b.h{i}"))) for i in range(ROTATIONS)), F.lit(0))
+    apart = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code")))
     near = cold.alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (apart <= radius)).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
     near = near.unionByName(_hot_pairs(index, busy, heads, k, hot)).distinct()
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
