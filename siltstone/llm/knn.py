@@ -1,9 +1,13 @@
-"""Most similar vectors by multi-index hashing over learned rotated binary codes.
+"""Most similar vectors: all true neighbours by an exact blocked search, near ones by multi-index hashing.
 
-Five rotations are learned on a bounded sample (iterative quantisation: rotate so that signs lose least). Each gives 64
-bits, cut into substrings of 16; every substring is an index of its own. Two codes that differ in fewer bits than there are
-substrings agree on one (pigeonhole), so probing the exact substring retrieves every code within that radius, and nearly
-every one within the wider radius that the first rotation's code is tested with. Survivors are reranked by their floats.
+Without a threshold neighbours lie at any similarity (in the test data mostly near 0.5, where codes agree on nothing), so
+every vector meets every other once, in blocks. Blocks are cells of a clustering: a vector's best within its own block give a
+floor, and only pairs above a floor leave the other blocks. The time grows with the square of the distinct vectors.
+
+From a least similarity of ``NEAR`` on, hashing serves. Five rotations are learned on a bounded sample (iterative
+quantisation: rotate so that signs lose least). Each gives 64 bits, cut into substrings of 16; every substring is an index of
+its own, probed exactly. Codes within 3 bits agree on one for sure (pigeonhole); at ``NEAR`` with five rotations nearly all
+pairs do, below it soon few. Survivors of a wider radius in the first code are reranked by their floats.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from siltstone.runtime import materialise
 
 ROTATIONS, SUBSTRING, SAMPLE, RADIUS, HOT = 5, 16, 4096, 20, 2048
+#: Least similarity from which hashing finds nearly all; rows of a cell and a block, most cells.
+NEAR, CELL, BLOCK, CELLS = 0.9, 2048, 4096, 512
 
 
 def valid_vector(v: Column, dim: int) -> Column:
@@ -49,18 +55,32 @@ def learn_rotations(x: np.ndarray, rotations: int = ROTATIONS, bits: int = 64, r
     return np.hstack(out)
 
 
-def fit(df: DataFrame, vector: str, sample: int = SAMPLE) -> np.ndarray:
-    """Learns on at most ``sample`` rows, those with the smallest hash; every row is indexed."""
+def sampled(df: DataFrame, vector: str, sample: int = SAMPLE) -> np.ndarray:
+    """Unit vectors of at most ``sample`` rows, those with the smallest hash, to learn on."""
     v = df.select(F.col(vector).alias("v"), F.xxhash64(vector).alias("x"))
     parts = max(1, v.count() // (2 * sample))  # so that the tasks together send about twice the sample
     rows = v.where(F.pmod("x", F.lit(parts)) == 0).orderBy(F.xxhash64("x")).limit(sample).toPandas()["v"].tolist()
     if not rows:
         raise ValueError("no valid vector")
-    return learn_rotations(_unit(rows))
+    return _unit(rows)
+
+
+def centres(x: np.ndarray, cells: int, rounds: int = 15, seed: int = 5) -> np.ndarray:
+    """Unit centres of at most ``cells`` clusters of unit vectors."""
+    out = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        own = (x @ out.T).argmax(1)
+        for j in range(len(out)):
+            m = x[own == j].sum(0)
+            if l := np.linalg.norm(m):
+                out[j] = m / l
+    return out
 
 
 def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5, dim: int = 64, radius: int = RADIUS, sample: int = SAMPLE, min_similarity: float = -1.0, hot: int = HOT) -> DataFrame:
-    """id, neighbour, similarity, rank: for each vector its ``k`` most similar ones among those within ``radius`` bits of 64.
+    """id, neighbour, similarity, rank: for each vector its ``k`` most similar ones of at least ``min_similarity``.
+
+    Exact below a ``min_similarity`` of ``NEAR``; from there on by hashing, among those within ``radius`` bits of 64.
 
     Null, empty, zero, non-finite vectors and those of another length take no part; an input without a valid vector gives
     no rows. Ties go to the smaller id. Equal vectors form a class that is searched once; a member's copies come first. Keys
@@ -70,9 +90,27 @@ def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & valid_vector(F.col("v"), dim))
     rows = rows.withColumn("c", F.xxhash64("v"))
     try:
-        projection = fit(rows, "v", sample)
+        some = sampled(rows, "v", sample)
     except ValueError:
         return df.sparkSession.createDataFrame([], f"id {dict(df.dtypes)[id_col]}, neighbour {dict(df.dtypes)[id_col]}, similarity double, rank int")
+    # One row for each distinct vector with its smallest ids; more of them can't be among anyone's k.
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("id"))).where(F.col("r") <= k + 1)
+    heads = materialise(ranked.groupBy("c").agg(F.min_by("v", "id").alias("v"), F.array_sort(F.collect_set("id")).alias("ids")))
+    if min_similarity < NEAR:
+        other = _exact_pairs(heads, some, k, "<f4" if dict(df.dtypes)[vector] == "array<float>" else "<f8").where(F.col("s") >= min_similarity)
+    else:
+        other = _hashed_pairs(heads, learn_rotations(some), k, radius, hot, min_similarity)
+    ids = heads.select(F.col("c").alias("o"), "ids")
+    target = other.join(ids, "o").unionByName(heads.where(F.size("ids") > 1).select(F.lit(None).cast("bigint").alias("o"), "c", F.lit(1.0).alias("s"), "ids").select("o", "c", "s", "ids"))
+    target = target.select("c", "s", F.explode("ids").alias("neighbour"))
+    best = target.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("s"), "neighbour"))).where(F.col("r") <= k + 1)
+    mine = rows.select("id", "c").distinct().join(best, "c").where("id <> neighbour")
+    w = Window.partitionBy("id").orderBy(F.desc("s"), "neighbour")
+    return mine.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "neighbour", F.col("s").alias("similarity"), "rank")
+
+
+def _hashed_pairs(heads: DataFrame, projection: np.ndarray, k: int, radius: int, hot: int, min_similarity: float) -> DataFrame:
+    """c, o, s in both directions: pairs that share a substring of a code, with their similarity."""
     per = 64 // SUBSTRING
 
     @F.pandas_udf("array<bigint>")
@@ -82,9 +120,6 @@ def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5
         bits = np.packbits((_unit(v) @ projection) >= 0, axis=1, bitorder="little")
         return pd.Series(list(bits.view("<i8")))
 
-    # One row for each distinct vector with its smallest ids; more of them can't be among anyone's k.
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("id"))).where(F.col("r") <= k + 1)
-    heads = materialise(ranked.groupBy("c").agg(F.min_by("v", "id").alias("v"), F.array_sort(F.collect_set("id")).alias("ids")))
     # The codes are kept, not the index: it is twenty times as long and made from them in the JVM.
     codes = materialise(heads.select("c", encode("v").alias("h")))
     mask = (1 << SUBSTRING) - 1
@@ -104,14 +139,81 @@ def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5
     both = near.join(unit.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("l").alias("la")), "a").join(unit.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("l").alias("lb")), "b")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     both = both.select("a", "b", F.least(dot / (F.col("la") * F.col("lb")), F.lit(1.0)).alias("s")).where(F.col("s") >= min_similarity)
-    other = both.select(F.col("a").alias("c"), F.col("b").alias("o"), "s").unionByName(both.select(F.col("b").alias("c"), F.col("a").alias("o"), "s"))
-    ids = heads.select(F.col("c").alias("o"), "ids")
-    target = other.join(ids, "o").unionByName(heads.where(F.size("ids") > 1).select(F.lit(None).cast("bigint").alias("o"), "c", F.lit(1.0).alias("s"), "ids").select("o", "c", "s", "ids"))
-    target = target.select("c", "s", F.explode("ids").alias("neighbour"))
-    best = target.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("s"), "neighbour"))).where(F.col("r") <= k + 1)
-    mine = rows.select("id", "c").distinct().join(best, "c").where("id <> neighbour")
-    w = Window.partitionBy("id").orderBy(F.desc("s"), "neighbour")
-    return mine.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "neighbour", F.col("s").alias("similarity"), "rank")
+    return both.select(F.col("a").alias("c"), F.col("b").alias("o"), "s").unionByName(both.select(F.col("b").alias("c"), F.col("a").alias("o"), "s"))
+
+
+def _above(s: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of at least the row's floor; of a crowd the row's ``k + 16`` best."""
+    m = s >= floor[:, None]
+    if np.count_nonzero(m) > len(s) * (k + 16) and s.shape[1] > k + 16:
+        top = np.argpartition(-s, k + 15, axis=1)[:, : k + 16]
+        few = np.zeros_like(m)
+        np.put_along_axis(few, top, np.take_along_axis(m, top, 1), 1)
+        m = few
+    return np.divmod(np.flatnonzero(m), s.shape[1])
+
+
+def _exact_pairs(heads: DataFrame, some: np.ndarray, k: int, kind: str) -> DataFrame:
+    """c, o, s: for each distinct vector its best ``k`` others (more where equal), every vector compared with every other."""
+    spark, slack = heads.sparkSession, 2e-6  # more than single precision loses in a product
+    middle = centres(some, min(CELLS, -(-heads.count() // CELL)))
+
+    def cells(v: pd.Series) -> np.ndarray:
+        return (_unit(v) @ middle.T).argmax(1)
+
+    cell = F.pandas_udf(lambda v: pd.Series(cells(v) if len(v) else [], dtype="int32"), "int")
+    sizes = heads.groupBy(cell("v").alias("cell")).count().toPandas()  # at most CELLS rows
+    blocks = np.ones(len(middle), np.int64)
+    blocks[sizes["cell"]] = -(-sizes["count"] // BLOCK)
+    first, total = np.cumsum(blocks) - blocks, int(blocks.sum())
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                own = cells(pdf["v"])
+                x = [np.asarray(v).astype(kind).tobytes() for v in pdf["v"]]
+                yield pd.DataFrame({"c": pdf["c"], "block": first[own] + pdf["c"].to_numpy() % blocks[own], "x": x})
+
+    def vectors(raw: bytes, n: int) -> np.ndarray:
+        return _unit(np.frombuffer(raw, kind).reshape(n, -1))
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, raw = pdf["c"].to_numpy(), b"".join(pdf["x"])
+        u = vectors(raw, len(c))
+        f, floor, found = u.astype(np.float32), np.full(len(c), -2.0, np.float32), []
+        for at in range(0, len(c), 512):
+            s = f[at : at + 512] @ f.T
+            s[np.arange(len(s)), np.arange(at, at + len(s))] = -3
+            if len(c) > k:
+                floor[at : at + 512] = -np.partition(-s, k - 1, axis=1)[:, k - 1] - slack
+            i, j = _above(s, floor[at : at + 512], k)
+            found.append((c[at + i], c[j], np.einsum("ij,ij->i", u[at + i], u[j])))
+        a, b, s = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cs": [c.tobytes()], "xs": [raw], "floors": [floor.tobytes()], "a": [a], "b": [b], "s": [s]})
+
+    parts = min(total, max(2 * spark.sparkContext.defaultParallelism, total // 4))
+    packs = heads.select("c", "v").mapInPandas(place, "c bigint, block int, x binary").repartition(parts, "block")
+    packs = materialise(packs.groupBy("block").applyInPandas(own, "block int, cs binary, xs binary, floors binary, a array<bigint>, b array<bigint>, s array<double>"))
+    near = packs.select(F.inline(F.arrays_zip("a", "b", "s"))).toDF("c", "o", "s")
+
+    def meet(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ca, cb = np.frombuffer(r.ca, np.int64), np.frombuffer(r.cb, np.int64)
+                fa, fb = np.frombuffer(r.fa, np.float32), np.frombuffer(r.fb, np.float32)
+                ua, ub = vectors(r.xa, len(ca)), vectors(r.xb, len(cb))
+                right = ub.astype(np.float32).T
+                for at in range(0, len(ca), 512):
+                    s = ua[at : at + 512].astype(np.float32) @ right
+                    i, j = _above(s, fa[at : at + 512], k)
+                    yield pd.DataFrame({"c": ca[at + i], "o": cb[j], "s": np.einsum("ij,ij->i", ua[at + i], ub[j])})
+                    j, i = _above(np.ascontiguousarray(s.T), fb, k)
+                    yield pd.DataFrame({"c": cb[j], "o": ca[at + i], "s": np.einsum("ij,ij->i", ua[at + i], ub[j])})
+
+    side = lambda x: packs.select(*(F.col(a).alias(b + x) for a, b in (("block", "n"), ("cs", "c"), ("xs", "x"), ("floors", "f"))))
+    both = side("a").join(side("b").hint("shuffle_replicate_nl"), F.col("na") < F.col("nb"))
+    pairs = near.unionByName(both.mapInPandas(meet, "c bigint, o bigint, s double")).withColumn("s", F.least("s", F.lit(1.0)))
+    return pairs.withColumn("r", F.rank().over(Window.partitionBy("c").orderBy(F.desc("s")))).where(F.col("r") <= k).drop("r")
 
 
 def _hot_pairs(index: DataFrame, busy: DataFrame, heads: DataFrame, k: int, hot: int) -> DataFrame:

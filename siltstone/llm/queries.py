@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_top5(spark: SparkSession, d: str) -> DataFrame:
-    """The five best neighbours of every vector among those within the search radius."""
+    """The five best neighbours of every vector, at whatever similarity."""
     return knn(table(spark, d, "chunks"))
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from siltstone.llm import knn as knn_module
 from siltstone.llm.knn import exact_knn, knn
 from siltstone.llm.neardup import near_duplicates
 
@@ -48,6 +49,24 @@ def test_crowded_keys_and_copies(spark):
     assert all(best[i] >= true[i][0][1] - 1e-6 for i in range(120))
 
 
+def test_all_five_are_found_at_any_similarity(spark, monkeypatch):
+    monkeypatch.setattr(knn_module, "CELL", 100)
+    monkeypatch.setattr(knn_module, "BLOCK", 60)
+    x = np.random.default_rng(4).normal(size=(700, 64))  # nothing is near: the best lie at about 0.4
+    for kind in ("float", "double"):
+        got = {(r["id"], r["neighbour"]) for r in knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"id int, vector array<{kind}>")).collect()}
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        s = u @ u.T - 3 * np.eye(len(u))
+        assert got == {(i, int(j)) for i, row in enumerate(s) for j in np.argsort(-row)[:5]}
+
+
+def test_hashing_of_crowded_keys(spark):
+    r = np.random.default_rng(2)
+    one = r.normal(size=8)
+    df = spark.createDataFrame([(i, (one + 0.001 * r.normal(size=8)).tolist()) for i in range(120)], "id int, vector array<double>")
+    assert knn(df, dim=8, hot=32, min_similarity=0.9).count() == 120 * 5
+
+
 def test_empty_vectors(spark):
     assert knn(spark.createDataFrame([], "id int, vector array<float>")).count() == 0
     assert knn(spark.createDataFrame([(1, None)], "id int, vector array<float>")).count() == 0
