@@ -5,6 +5,7 @@ import numpy as np
 from siltstone.llm import knn as knn_module
 from siltstone.llm.knn import exact_knn, knn
 from siltstone.llm.neardup import near_duplicates
+from siltstone.llm.queries import p2_recall, recall_by_band
 
 
 def brute_topk(rows, k):
@@ -67,6 +68,21 @@ def test_hashing_of_crowded_keys(spark):
     assert knn(df, dim=8, hot=32, min_similarity=0.9).count() == 120 * 5
 
 
+def test_recall_counts_far_neighbours(spark):
+    true = spark.createDataFrame([(1, 2, 0.95), (1, 3, 0.55), (1, 4, 0.51), (1, 5, 0.3)], "id int, neighbour int, similarity double")
+    found = spark.createDataFrame([(1, 2), (1, 4), (1, 9)], "id int, neighbour int")
+    got = {r["band"]: (r["n_true"], r["n_found"], r["recall"]) for r in recall_by_band(true, found, "x").collect()}
+    assert got == {"all": (4, 2, 0.5), ">= 0.92": (1, 1, 1.0), ">= 0.5": (2, 1, 0.5), "< 0.5": (1, 0, 0.0)}
+
+
+def test_recall_query_measures_all_five(spark, tmp_path):
+    r = np.random.default_rng(6)
+    rows = [(f"chunk_{i:016x}", r.normal(size=64).tolist()) for i in range(200)]
+    spark.createDataFrame(rows, "id string, vector array<float>").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {(x["search"], x["band"]): x for x in p2_recall(spark, str(tmp_path)).collect()}
+    assert got["top5", "all"]["n_true"] == got["top5", "all"]["n_found"] == 10 * 5
+
+
 def test_empty_vectors(spark):
     assert knn(spark.createDataFrame([], "id int, vector array<float>")).count() == 0
     assert knn(spark.createDataFrame([(1, None)], "id int, vector array<float>")).count() == 0
