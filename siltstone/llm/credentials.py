@@ -4,7 +4,8 @@ A line is cut into lexical tokens (string contents, values of assignments, parts
 shape features (what it looks like) and context features (the key it is assigned to, its neighbours, where it stands); the
 chain's weights are trained on generated lines (``train_credentials``) and kept in ``credentials_weights.json``. Viterbi spans
 say which literal characters are redacted: only those, so quotes, commas and brackets around them stay. Lines without any
-word, prefix or URL form that a credential needs are not decoded; the chain would label them all "other".
+word, prefix or URL form that the features know a credential by are not decoded: the gate holds every form of the same
+lists. It is needed, as the chain was not trained on other lines and takes quantities such as "306Mi" in them for credentials.
 
 Private keys of several lines are one literal from their BEGIN line to their END line.
 """
@@ -55,9 +56,19 @@ _PLACE = re.compile(
     r"dummy.*|fake.*|example.*|sample.*|placeholder.*|redacted.*|masked.*|hidden.*|removed.*|none$|null$|nil$|true$|false$|undefined$|empty$|n/?a$|test$|password$|secret$|token$|foo(?:bar)?$|bar$|xxx.*|\[.*\]$|0+$|1234.*$)"
 )
 _REF = re.compile(r"(?i)^(?:vault[:/].*|env[:/].*|ref\+.*|secret(?:s|smanager)?[:/].*|ssm[:/].*|arn:.*|file:.*|keychain:.*|op://.*|sops:.*|kms:.*|gcp[-_]?secret.*|azure[-_]?keyvault.*|projects/.*/secrets/.*|os\.environ.*|os\.getenv.*|process\.env.*|getenv.*|env\..*|config\..*|settings\..*|self\..*|cfg\..*|conf\..*|this\..*|viper\..*|system\.getenv.*|import\.meta\.env.*|@.*@)$")
-_VENDOR = re.compile(r"^(?:AKIA|ASIA|AROA)[A-Z0-9]{12,}$|^(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[-_]|pk_live_|rk_live_|AIza|npm_|pypi-|hf_|SG\.|ya29\.|dop_v1_|shpat_)[A-Za-z0-9_\-.]{6,}$|^[a-z]{2,6}_(?:pat|live|prod|test|secret|key|tok|sk|api)_[A-Za-z0-9]{6,}$")
+#: What vendors' credentials begin with, or hold after a short name of the vendor.
+CAPITALS = ("AKIA", "ASIA", "AROA")
+PREFIXES = ("gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk-", "sk_", "pk_live_", "rk_live_", "AIza", "npm_", "pypi-", "hf_", "SG.", "ya29.", "dop_v1_", "shpat_")
+MIDDLES = ("_pat_", "_live_", "_prod_", "_test_", "_secret_", "_key_", "_tok_", "_sk_", "_api_")
+_any = lambda words: "|".join(map(re.escape, words))
+_VENDOR = re.compile(rf"^(?:{_any(CAPITALS)})[A-Z0-9]{{12,}}$|^(?:{_any(PREFIXES)})[A-Za-z0-9_\-.]{{6,}}$|^[a-z]{{2,6}}(?:{_any(MIDDLES)})[A-Za-z0-9]{{6,}}$")
 _PARTIAL = re.compile(r"^(?:AKIA[A-Z0-9]{4,}|gh[pousr]_[A-Za-z0-9]{4,}|sk-[A-Za-z0-9]{4,}|eyJ[A-Za-z0-9+/_\-.]{6,})")
 
+#: Names of SENSITIVE for the gate: "pat" and "pw" as a whole part of a name, long ones also with separators inside.
+_SHORT = re.compile(r"p(?<![A-Za-z]p)(?:at|w)(?![a-z])|P(?<![A-Z]P)(?:(?:at|w)(?![a-z])|(?:AT|W)(?![A-Za-z]))")
+_LONG = tuple(dict.fromkeys(w.replace("_", "") for w in SENSITIVE if len(w) > 4))
+_PARTED = re.compile("|".join("[-._]*".join(w) for w in _LONG))
+
 
 def split_name(name: str) -> list[str]:
     """Lower-case parts of an identifier."""
@@ -352,20 +363,33 @@ def _get_chain() -> Chain:
 _ONLY_STRING = re.compile(r"\s*[\"'`][^\"'`]*[\"'`][)\],;.]*\s*\+?\\?\s*$")
 
 
-def find_spans(text: str, chain: Chain | None = None) -> list[Span]:
-    """Character spans of the credentials of one text, with the number of the line (from 1) each is on."""
+def gate(text: str) -> list[int]:
+    """Places that may make a credential of something on their line."""
     low = text.lower()
-    hits: list[int] = []
-    for needle in NEEDLES:
-        at = low.find(needle)
-        while at >= 0:
-            hits.append(at)
-            at = low.find(needle, at + 1)
-    at = low.find("://")
+    if len(low) != len(text):  # a few letters are longer in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    hits = [m.start() for m in _SHORT.finditer(text)]
+    for where, words in ((low, NEEDLES), (text, CAPITALS + PREFIXES + MIDDLES + ("eyJ",))):
+        for word in words:
+            at = where.find(word)
+            while at >= 0:
+                hits.append(at)
+                at = where.find(word, at + 1)
+    squeezed = low.replace("_", "").replace("-", "").replace(".", "")
+    if any(squeezed.count(w) > low.count(w) for w in _LONG):
+        hits += [m.start() for m in _PARTED.finditer(low)]
+    at = text.find("://")
     while at >= 0:
-        if (m := _URL.match(text, max(0, at - 20))) or _URL.search(text, max(0, at - 20), at + 200):
+        end = m.start() if (m := LINE_END.search(text, at)) else len(text)
+        if text.find("@", at, end) >= 0:
             hits.append(at)
-        at = low.find("://", at + 1)
+        at = text.find("://", end)
+    return hits
+
+
+def find_spans(text: str, chain: Chain | None = None, gated: bool = True) -> list[Span]:
+    """Character spans of the credentials of one text, with the number of the line (from 1) each is on."""
+    hits = gate(text) if gated else [0, *(m.end() for m in LINE_END.finditer(text))]
     if not hits:
         return []
     chain = chain or _get_chain()

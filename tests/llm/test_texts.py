@@ -68,6 +68,16 @@ def test_credentials():
     assert eval(ok.split("=", 1)[1])["n"] == 1 and "ghp_" not in ok
 
 
+def test_the_gate_lets_every_known_form_through():
+    values = [p + "AB12CD34EF56GH78" for p in C.CAPITALS] + [p + "aB3dE5gH7jK9mN1pQ3sT" for p in C.PREFIXES] + ["acme" + m + "9f8e7d6c5b4a" for m in C.MIDDLES]
+    lines = [f'x = "{v}"' for v in values] + [f'{n} = "hT7$kQ9!vX2@pL5"' for w in C.SENSITIVE for n in (w, f"my_{w}", f"my_{w.upper()}", "repo" + w.title().replace("_", ""), "web_hook")]
+    lines += ["u = '" + "a" * 30 + "://user:" + "xY7q" * 60 + "@db.example.org/x'", "İİİİİİİİİİİİ", "z = 1"]
+    text = "\n".join(lines)
+    flat = lambda spans: [(s.start, s.end, s.starts) for s in spans]
+    assert flat(C.find_spans(text)) == flat(C.find_spans(text, gated=False))
+    assert {s.line_no for s in C.find_spans(text)} >= set(range(1, len(values) + 1)) | {len(lines) - 2}
+
+
 def test_credential_model_on_fresh_lines():
     precision, recall = held_out_lines(C.Chain.load(), 1500, seed=5)
     assert precision > 0.97 and recall > 0.93
