@@ -7,7 +7,8 @@ say which literal characters are redacted: only those, so quotes, commas and bra
 word, prefix or URL form that the features know a credential by are not decoded: the gate holds every form of the same
 lists. It is needed, as the chain was not trained on other lines and takes quantities such as "306Mi" in them for credentials.
 
-Private keys of several lines are one literal from their BEGIN line to their END line.
+Private keys of several lines are one literal from their BEGIN line to their END line, however far; without an END (cut off at
+a chunk's end, or another BEGIN comes first) to the last of the lines below that look like a key's.
 """
 
 from __future__ import annotations
@@ -360,6 +361,24 @@ def _get_chain() -> Chain:
     return _chain
 
 
+#: A line of a key's body: base64 (a padded end may be short), a header or a checksum, in a comment or a string or not.
+_KEY_LINE = re.compile(r"[\s#/*\"'`+|>]*(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}|=[A-Za-z0-9+/]{4}|(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): ?[^\r\n\"'`]*)(?:\\[nr])*[\s\"'`,;+\\)]*")
+_KEY_CUT = re.compile(r"[\s#/*\"'`+|>]*[A-Za-z0-9+/]+[\s\"'`]*")
+
+
+def _key_run(text: str, starts: list[int], ends: list[int], n: int) -> int:
+    """The last line of a key without an END that begins on line n; the text's last line may be cut anywhere."""
+    last = j = n
+    while j + 1 < len(starts):
+        j += 1
+        line = text[starts[j] : ends[j]]
+        if _KEY_LINE.fullmatch(line) or j == len(starts) - 1 and last == j - 1 > n and _KEY_CUT.fullmatch(line):
+            last = j
+        elif line.strip(" \t#/*"):
+            break
+    return last
+
+
 _ONLY_STRING = re.compile(r"\s*[\"'`][^\"'`]*[\"'`][)\],;.]*\s*\+?\\?\s*$")
 
 
@@ -410,18 +429,21 @@ def find_spans(text: str, chain: Chain | None = None, gated: bool = True) -> lis
         line = text[starts[n] : ends[n]]
         pem = _PEM.search(line)
         if pem and not line[pem.end() :].lstrip().startswith("\\n") and "-----END" not in line[pem.end() :]:
-            stop = next((j for j in range(n, min(len(starts), n + 400)) if _PEM_END.search(text, starts[j], ends[j])), None)
-            body = text[starts[n] + pem.end() : (ends[stop] if stop is not None else min(len(text), ends[n] + 4000))]
-            core = re.sub(r"[^A-Za-z0-9+/=]", "", body.split("-----END")[0])
-            if len(core) >= 24 and not re.search(r"\.\.\.|<|redacted|\*\*\*|xxxx", body.split("-----END")[0], re.I):
-                last = stop if stop is not None else n
-                end_at = _PEM_END.search(text, starts[last], ends[last]).end() if stop is not None else ends[n]
+            begin = starts[n] + pem.end()
+            other = _PEM.search(text, begin)
+            mark = _PEM_END.search(text, begin, other.start() if other else len(text))
+            last = bisect.bisect_right(starts, mark.start()) - 1 if mark else _key_run(text, starts, ends, n)
+            body = text[begin : mark.start() if mark else ends[last] if last > n else min(len(text), ends[n] + 4000)].split("-----END")[0]
+            core = re.sub(r"[^A-Za-z0-9+/=]", "", body)
+            if len(core) >= 24 and not re.search(r"\.\.\.|<|redacted|\*\*\*|xxxx", body, re.I):
+                lead = " \t#/*" if "/" in line[: pem.start()] else " \t#*"  # a slash may belong to the key
+                end_at = mark.end() if mark else ends[last]
                 for j in range(n, last + 1):
-                    a = starts[n] + pem.start() if j == n else starts[j] + len(text[starts[j] : ends[j]]) - len(text[starts[j] : ends[j]].lstrip(" \t#/*"))
+                    a = starts[n] + pem.start() if j == n else starts[j] + len(text[starts[j] : ends[j]]) - len(text[starts[j] : ends[j]].lstrip(lead))
                     b = end_at if j == last else ends[j]
                     if b > a:
                         out.append(Span(j + 1, a, b, j == n))
-            skip_to = stop if stop is not None else n
+            skip_to = last
             continue
         if extra == n:
             m = re.match(r"\s*[\"'`]([^\"'`]*)", line)
