@@ -1,9 +1,9 @@
 """Filling containers of fixed capacity with texts, measured in tokens.
 
 A global histogram of lengths (at most ``capacity`` rows, however many texts) is all that the driver sees. A dynamic program
-over it chooses the length buckets that minimise padding. Token-budget batches open inside each bucket, from the longest
-lengths down; the room a batch leaves is filled with the longest lengths that still fit, first of its own bucket, then of
-shorter ones. The plan repeats each batch pattern until one of its lengths is used up, so it has at most as many patterns as
+over it chooses the length buckets that minimise padding; they only label the rows. Token-budget batches are longest-fit over
+the histogram: each takes the longest remaining length that still fits, whatever its bucket, so the containers are the same
+for any number of buckets. The plan repeats each batch pattern until one of its lengths is used up, so it has at most as many patterns as
 there are lengths; texts find their container by their rank among texts of their length.
 """
 

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.llm import credentials as C
+from siltstone.llm import packing
 from siltstone.llm.abuse import _Chunks, encode, rates, score_documents
 from siltstone.llm.conversations import instant, rebuild_conversations
 from siltstone.llm.leaks import leaks
@@ -175,6 +176,14 @@ def test_packing(spark):
     assert pack(spark.createDataFrame([], "doc_id int, text string")).count() == 0
 
 
+def test_buckets_are_labels_only():
+    counts = np.random.default_rng(1).integers(0, 9, CAPACITY + 1)
+    one, many = plan(counts, CAPACITY, 1), plan(counts, CAPACITY, 32)
+    same = all(np.array_equal(x, y) for l in one.ranges for x, y in zip(one.ranges[l], many.ranges[l]))
+    assert same and one.containers == many.containers and len(many.buckets) == 32
+    assert "only label" in packing.__doc__
+
+
 def test_leaks(spark):
     words = [f"alpha{i}" if i % 3 else "beta" for i in range(40)]
     case = " ".join(words)
