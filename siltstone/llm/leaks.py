@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders; every window of 13 words of a case is a template, hash-joined with the
 templates of every window of the corpus. Where a template matches, the slots decide: equal words in every slot are an exact
 leak, a consistent renaming (equal slots stay equal, different ones different) is a re-parameterised question. Equal windows
-have equal templates, so exact leaks are never lost to the templates.
+have equal templates, so exact leaks are never lost to the templates. Names beyond ``NAME_LIMIT`` are kept as hashes in a
+bitmap: none is missed, and a word taken for a name by chance is a slot on both sides.
 """
 
 import unicodedata
@@ -21,6 +22,8 @@ WINDOW = 13
 #: Up to so many template hashes (8 bytes each) of the cases are sent to the executors; beyond, the corpus is joined by shuffle.
 SHARED_LIMIT = 2_000_000
 NAME_LIMIT = 200_000
+#: Bits that more names than NAME_LIMIT are hashed to, 8 MB for any number; 32,768 a row on their way to the driver.
+NAME_BITS, BITMAP = 1 << 26, 1 << 15
 #: Words of measure.
 UNITS = frozenset("ms s sec secs second seconds min mins minute minutes hour hours day days week weeks month months year years b kb mb gb tb byte bytes bit bits row rows line lines token tokens percent px cm mm m km kg g usd eur dollars euros".split())
 _INVISIBLE = {c: None for c in [0xAD, 0x34F, 0x61C, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE0080), 0x115F, 0x1160, 0x17B4, 0x17B5]}
@@ -36,10 +39,31 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFKC", text.translate(_INVISIBLE)).lower().translate(_INVISIBLE)
 
 
+class HashedNames:
+    """A set of names in a bitmap of fixed size: holds every name, and a few words besides (as many as the bits set)."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, names: DataFrame) -> "HashedNames":
+        """From the column n."""
+        at = F.pmod(F.xxhash64("n"), F.lit(NAME_BITS))
+        rows = names.select(at.alias("at")).groupBy(F.floor(F.col("at") / BITMAP).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bits")).toPandas()
+        out = np.zeros((NAME_BITS // BITMAP, BITMAP // 8), np.uint8)
+        for row, bits in zip(rows["row"], rows["bits"]):
+            out[row] = np.frombuffer(bits, np.uint8)
+        return cls(out.reshape(-1))
+
+    def __contains__(self, word: str) -> bool:
+        at = xxhash.xxh64_intdigest(word, seed=42) % NAME_BITS  # Spark's xxhash64
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+
 class Vocabulary:
     """Numbers words; keeps each word's hash and its placeholder's hash."""
 
-    def __init__(self, names: frozenset[str], limit: int = 400_000):
+    def __init__(self, names: frozenset[str] | HashedNames, limit: int = 400_000):
         self.names, self.limit = names, limit
         self.clear()
 
@@ -107,7 +131,7 @@ def _lists(k: np.ndarray, rows: list[dict], n: int) -> pd.Series:
     return pd.Series(out)
 
 
-def _window_udf(names: frozenset[str], width: int, wanted):
+def _window_udf(names: frozenset[str] | HashedNames, width: int, wanted):
     """Windows of each text; of a corpus only those whose template is ``wanted`` (a broadcast sorted array)."""
 
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -148,8 +172,9 @@ def leaks(docs: DataFrame, cases: DataFrame, *, doc_id: str = "doc_id", text: st
     texts = cases.select(F.col(case_id).alias("case_id"), F.explode(F.array(*case_texts)).alias("x")).where("x is not null and case_id is not null")
 
     capitals = F.transform(F.regexp_extract_all("x", F.lit(NAME), F.lit(1)), F.lower)
-    found = texts.select(F.explode(capitals).alias("n")).distinct().limit(NAME_LIMIT + 1).toPandas()["n"].tolist()
-    names = frozenset(found) if len(found) <= NAME_LIMIT else frozenset()
+    distinct = texts.select(F.explode(capitals).alias("n")).distinct()
+    found = distinct.limit(NAME_LIMIT + 1).toPandas()["n"].tolist()
+    names = frozenset(found) if len(found) <= NAME_LIMIT else HashedNames.of(distinct)
     table = texts.select("case_id", F.inline(_window_udf(names, width, None)("x"))).distinct()
     n = table.select("t").distinct()
     few = n.limit(SHARED_LIMIT + 1).toPandas()["t"].to_numpy()

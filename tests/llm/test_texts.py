@@ -1,4 +1,5 @@
 import random
+import sys
 from datetime import datetime, timezone
 
 import numpy as np
@@ -198,6 +199,17 @@ def test_leaks(spark):
     assert leaks(spark.createDataFrame(docs, "doc_id int, text string"), cases.limit(0)).count() == 0
 
 
+def test_leaks_with_more_names_than_the_limit(spark, monkeypatch):
+    case = "yesterday the clerk Zoë gave a very small parcel to Benjamin near that old mill in Casablanca, said Dorothea"
+    doc = case.replace("in Casablanca", "in Benjamin").replace("Zoë", "Casablanca").replace("to Benjamin", "to Zoë")
+    cases = spark.createDataFrame([("c1", case, None)], "id string, problem_statement string, query string")
+    docs = spark.createDataFrame([(1, doc), (2, case), (3, case.replace("parcel", "package"))], "doc_id int, text string")
+    run = lambda: {tuple(r) for r in leaks(docs, cases).collect()}
+    whole = run()
+    monkeypatch.setattr(sys.modules["siltstone.llm.leaks"], "NAME_LIMIT", 2)
+    assert run() == whole and any(r[0] == 1 and r[3] > 0 for r in whole)
+
+
 def test_disguises():
     k = _Chunks()
     same = lambda a, b: list(encode(a, k)) == list(encode(b, k))
