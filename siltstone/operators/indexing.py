@@ -14,19 +14,20 @@ from siltstone.operators import domain
 from siltstone.operators.chunking import line_chunks, syntax_chunks
 
 
-def diff_files(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """relative_path, hash, change: one full outer join. ``added``, ``modified``, ``removed``, ``touched`` (other time, same bytes) or ``unchanged``.
+def diff_files(previous: DataFrame, current: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The keys (relative_path), hash, change: one full outer join. ``added``, ``modified``, ``removed``, ``touched`` (other time, same bytes) or ``unchanged``.
 
-    Both sides have relative_path, hash, size, mod_time_ns. Equal size and time make a file unchanged without its hash; a
+    Both sides have the keys, hash, size, mod_time_ns. Equal size and time make a file unchanged without its hash; a
     current hash that is null (not read yet) with other size or time is ``modified``.
     """
-    p = previous.select("relative_path", F.col("hash").alias("old_hash"), F.col("size").alias("old_size"), F.col("mod_time_ns").alias("old_time"))
-    c = current.select("relative_path", "hash", "size", "mod_time_ns")
-    both = p.withColumn("_p", F.lit(True)).join(c.withColumn("_c", F.lit(True)), "relative_path", "full_outer")
+    keys = keys or ["relative_path"]
+    p = previous.select(*keys, F.col("hash").alias("old_hash"), F.col("size").alias("old_size"), F.col("mod_time_ns").alias("old_time"))
+    c = current.select(*keys, "hash", "size", "mod_time_ns")
+    both = p.withColumn("_p", F.lit(True)).join(c.withColumn("_c", F.lit(True)), keys, "full_outer")
     still = (F.col("size") == F.col("old_size")) & (F.col("mod_time_ns") == F.col("old_time"))
     same = F.coalesce(F.col("hash") == F.col("old_hash"), F.lit(False))
     change = F.when(F.col("_p").isNull(), "added").when(F.col("_c").isNull(), "removed").when(F.coalesce(still, F.lit(False)), "unchanged").when(same, "touched").otherwise("modified")
-    return both.select("relative_path", F.coalesce("hash", "old_hash").alias("hash"), change.alias("change"))
+    return both.select(*keys, F.coalesce("hash", "old_hash").alias("hash"), change.alias("change"))
 
 
 def diff_hashes(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -36,8 +37,8 @@ def diff_hashes(previous: DataFrame, current: DataFrame) -> DataFrame:
     return p.join(c, "relative_path", "full_outer").select("relative_path", F.coalesce("new", "old").alias("hash"), change.alias("change"))
 
 
-def stats(changes: DataFrame) -> DataFrame:
-    return changes.agg(*(F.count_if(F.col("change") == k).alias(k) for k in ("added", "modified", "removed", "touched", "unchanged")), F.count_if(F.col("change") != "removed").alias("files"))
+def stats(changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return changes.groupBy(*keys).agg(*(F.count_if(F.col("change") == k).alias(k) for k in ("added", "modified", "removed", "touched", "unchanged")), F.count_if(F.col("change") != "removed").alias("files"))
 
 
 def replace_files(rows: DataFrame, paths: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:

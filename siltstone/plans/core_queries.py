@@ -361,12 +361,51 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, 'old' AS origin FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.namespace = c.namespace AND p.relative_path = c.relative_path)
 UNION ALL SELECT DISTINCT 'chunk_' || left(sha256(relative_path || ':1:1:' || namespace), 16), 'new' FROM p""")
 def replace_files(spark: SparkSession, d: str) -> DataFrame:
-    paths = table(spark, d, "file_states").where("run_no = 2").select("namespace", "relative_path").distinct()
+    return _replaced(spark, d, table(spark, d, "file_states").where("run_no = 2"))
+
+
+def _replaced(spark: SparkSession, d: str, states: DataFrame) -> DataFrame:
+    paths = states.select("namespace", "relative_path").distinct()
     new = paths.select(ids.chunk_id(F.col("relative_path"), F.lit(1), F.lit(1), F.col("namespace")).alias("id"), "namespace", "relative_path", F.lit("new").alias("origin")).distinct()
     old = table(spark, d, "chunks").select("id", "namespace", "relative_path", F.lit("old").alias("origin"))
     return indexing.replace_files(old, paths, new, ["namespace", "relative_path"]).select("id", "origin")
 
 
+_RUN_CHANGES = f"""WITH n AS (SELECT run_no, lead(run_no) OVER (ORDER BY run_no) AS next FROM (SELECT DISTINCT run_no FROM file_states WHERE run_no IS NOT NULL)),
+p AS (SELECT relative_path, next AS run_no, s FROM {_STATES} JOIN n USING (run_no) WHERE next IS NOT NULL), c AS (SELECT relative_path, run_no, s FROM {_STATES} WHERE run_no > (SELECT min(run_no) FROM n)),
+x AS (SELECT coalesce(p.run_no, c.run_no) AS run_no, coalesce(p.relative_path, c.relative_path) AS relative_path, CASE WHEN p.s IS NULL THEN 'added' WHEN c.s IS NULL THEN 'removed' WHEN c.s.size = p.s.size AND c.s.mod_time_ns = p.s.mod_time_ns THEN 'unchanged' WHEN c.s.hash = p.s.hash THEN 'touched' ELSE 'modified' END AS change
+FROM p FULL JOIN c ON p.relative_path = c.relative_path AND p.run_no = c.run_no)"""
+
+
+def _run_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "file_states").where("run_no is not null")
+    order = F.concat(F.date_format("recorded_at", "yyyy-MM-dd HH:mm:ss"), F.coalesce("hash", F.lit("")), F.col("size").cast("string"), F.col("mod_time_ns").cast("string"))
+    last = rows.groupBy("run_no", F.concat_ws("/", "namespace", "relative_path").alias("relative_path")).agg(F.max_by(F.struct("hash", "size", "mod_time_ns"), order).alias("s"))
+    last = last.select("run_no", "relative_path", "s.hash", "s.size", "s.mod_time_ns")
+    runs = rows.select("run_no").distinct().withColumn("next", F.lead("run_no").over(Window.orderBy("run_no"))).where("next is not null")  # one row a run
+    before = last.join(runs, "run_no").drop("run_no").withColumnRenamed("next", "run_no")
+    return indexing.diff_files(before, last.join(runs.select(F.col("next").alias("run_no")), "run_no"), ["run_no", "relative_path"])
+
+
+@query(_RUN_CHANGES + " SELECT run_no, relative_path, change FROM x")
+def file_diff_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every run against the one before it."""
+    return _run_changes(spark, d).select("run_no", "relative_path", "change")
+
+
+@query(_RUN_CHANGES + """ SELECT run_no, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'touched') AS touched, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change <> 'removed') AS files FROM x GROUP BY run_no""")
+def index_stats_runs(spark: SparkSession, d: str) -> DataFrame:
+    return indexing.stats(_run_changes(spark, d), ("run_no",))
+
+
+@query("""WITH p AS (SELECT DISTINCT namespace, relative_path FROM file_states)
+SELECT id, 'old' AS origin FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.namespace = c.namespace AND p.relative_path = c.relative_path)
+UNION ALL SELECT DISTINCT 'chunk_' || left(sha256(relative_path || ':1:1:' || namespace), 16), 'new' FROM p""")
+def replace_files_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The table after all runs: a file's new chunk has the same id in each, so one replacement by the paths of all is the same."""
+    return _replaced(spark, d, table(spark, d, "file_states"))
+
+
 _MEMORY = r"""
 WITH r AS (SELECT *, CASE WHEN trim(coalesce(experience_kind, '')) <> '' THEN experience_kind ELSE 'general' END AS kind FROM memory_records WHERE content IS NOT NULL AND trim(content) <> ''),
 m AS (SELECT id, content, unnest([
@@ -497,8 +536,9 @@ z AS (SELECT *, CASE WHEN rc > 0 THEN mr / rc::DOUBLE ELSE 0 END AS pr, me / ec:
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("search_id", "rank").orderBy("result_id")
-    hits = table(spark, d, "ranked_hits").where("search_id <= 240").withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    results = hits.withColumn("case_id", F.concat(F.lit("case-"), F.lpad(F.col("search_id").cast("string"), 4, "0")))
+    hits = table(spark, d, "ranked_hits").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    number = F.col("search_id").cast("string")
+    results = hits.withColumn("case_id", F.concat(F.lit("case-"), F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0"))))
     return evaluation.evaluate(results, evaluation.expectations(table(spark, d, "eval_cases")))
 
 
