@@ -570,6 +570,13 @@ def patch_oracles(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("n <= 1").select("id", "files")
 
 
+@query(r"""SELECT id, coalesce(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(patch, ''), '(?m)^--- a/(.+)$', 1), lambda p: regexp_replace(trim(p), '^/', ''))), lambda p: p <> '')), []) AS files FROM eval_cases""")
+def patch_oracles_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of every case, also where the patch changes several files; the list is sorted."""
+    return table(spark, d, "eval_cases").select("id", F.array_sort(evaluation.patch_files(F.col("patch"))).alias("files"))
+
+
+
 _GLOBS = " OR ".join(f"regexp_matches(p, '{pattern_regex(p)}')" for p in PATTERNS)
 
 

@@ -25,3 +25,9 @@ def test_cases_beyond_240_have_their_hits(spark, tmp_path):
     spark.createDataFrame(cases, f"id string, instance_id string, expected {e}, oracle_files array<string>, patch string").write.parquet(str(tmp_path / "eval_cases.parquet"))
     got = {r["case_id"]: r["result_count"] for r in _evaluated(spark, str(tmp_path)).collect()}
     assert got == {"case-0001": 1, "case-0241": 1, "case-1000": 0, "case-10001": 1}
+
+
+def test_patches_of_several_files(spark, tmp_path):
+    patch = "--- a/z.py\n+++ b/z.py\n@@ -1 +1 @@\n--- a/m/a.py\n+++ b/m/a.py\n--- a/z.py\n"
+    spark.createDataFrame([("two", patch), ("none", None)], "id string, patch string").write.parquet(str(tmp_path / "eval_cases.parquet"))
+    assert {r["id"]: r["files"] for r in QUERIES["patch_oracles_all"](spark, str(tmp_path)).collect()} == {"two": ["m/a.py", "z.py"], "none": []}
