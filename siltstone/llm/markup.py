@@ -6,17 +6,22 @@ features of their kind and surroundings; parent-child potentials tie pieces to t
 doubtful piece is read as its neighbours are. Sum-product messages go up and down the tree and give each piece the marginal
 probability of being markup. Weights are trained on labelled pages (``train_markup``) and kept in ``markup_weights.json``.
 
-Pieces above one half are rewritten: headings become lines that begin with ``§``, lists ``- x`` or ``1. x``, code blocks lines
-indented by four blanks, table cells are parted by tabs, formulas follow ``formula:``, links, emphasis and inline code keep
-their text. What merely looks like markup stays as it is.
+Pieces above one half are rewritten on the tree, innermost first: headings become lines that begin with ``§``, lists ``- x`` or
+``1. x``, code blocks lines indented by four blanks, table cells are parted by tabs, formulas follow ``formula:``, links,
+emphasis and inline code keep their text. What merely looks like markup stays as it is. What code holds (fences, ``pre``,
+``verbatim``, ``\\verb``, inline code, ``nowiki``), decoded entities, escaped characters and formulas are opaque: they are put
+away while the rest is rewritten, so nothing in them is ever taken for markup. Markup that only shows once what lies inside
+it is rewritten (nested templates) is looked for again until none is left; each turn uses up markup characters, so it ends.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -37,6 +42,7 @@ _CODE = [
     ("fence", re.compile(r"^[ \t]*(?P<f>```+|~~~+)[^\n]*\n(?P<in>.*?)(?:^[ \t]*(?P=f)[ \t]*$|\Z)", re.M | re.S)),
     ("verbatim", re.compile(r"\\begin\{(?P<e>verbatim\*?|lstlisting|minted|Verbatim)\}(?:\[[^\]]*\])?(?:\{[^}]*\})?\n?(?P<in>.*?)\\end\{(?P=e)\}", re.S)),
     ("pre", re.compile(r"<(?P<t>pre|syntaxhighlight|source)\b[^>]*>\s*(?:<code[^>]*>)?(?P<in>.*?)(?:</code>)?\s*</(?P=t)>", re.S | re.I)),
+    ("verb", re.compile(r"\\verb\*?(?P<f>[^\w\s*{])(?P<in>[^\n]*?)(?P=f)")),
     ("nowiki", re.compile(r"<nowiki>(?P<in>.*?)</nowiki>", re.S | re.I)),
     ("code", re.compile(r"(?<!`)(?P<f>`{1,3})(?!`)(?P<in>[^`\n]+?)(?P=f)(?!`)")),
 ]
@@ -87,6 +93,15 @@ _OTHER = [
     ("angle", re.compile(r"<(?P<in>[^<>\n]{1,80})>")),
     ("compare", re.compile(r"(?<=\w) [<>]=? (?=\w)")),
 ]
+#: What a text must hold, one of each row at least, for a pattern to match in it at all.
+_NEED = {
+    "fence": ("```", "~~~"), "verbatim": ("\\begin",), "pre": ("<",), "verb": ("\\verb",), "nowiki": ("<",), "code": ("`",), "math_env": ("\\begin",), "math_block": ("$$",), "math_bracket": ("\\[",), "math_paren": ("\\(",), "math": ("$",),
+    "comment": ("<!--",), "doctype": ("<!",), "tag": ("<",), "entity": ("&",), "wiki_table": ("{|",), "wiki_heading": ("=",), "wiki_link": ("[[",), "template": ("{{",), "external": ("[",), "quotes": ("''",), "wiki_indent": (":", ";"),
+    "magic": ("__",), "image": ("![",), "link": ("](",), "ref_link": ("][",), "ref_def": ("]:",), "foot_def": ("[^",), "foot": ("[^",), "autolink": ("<",), "heading": ("#",), "setext": ("===", "---"), "attr": ("{",), "quote": (">",),
+    "rule": ("*", "-", "_"), "table_sep": ("--",), "table_row": ("|",), "task": ("[",), "bold": ("**", "__"), "italic": ("*",), "under": ("_",), "strike": ("~~",), "highlight": ("==",), "bbcode": ("[",), "environment": ("\\",),
+    "command": ("\\",), "escape": ("\\",), "angle": ("<",), "compare": ("<", ">"),
+}
+_PATTERN = dict(_CODE + _MATH + _OTHER)
 
 
 @dataclass
@@ -100,7 +115,10 @@ class Piece:
     feats: list[str] = field(default_factory=list)
 
 
-def _features(kind: str, m: re.Match, text: str) -> list[str]:
+def _features(kind: str, m: re.Match, text: str, closed: frozenset[str]) -> list[str]:
+    """Cues of a candidate; ``closed`` holds the beginnings of the names of all closing tags."""
+    if kind == "verb":
+        kind = "verbatim"
     g = m.groupdict()
     inner = g.get("in") or ""
     before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
@@ -118,7 +136,7 @@ def _features(kind: str, m: re.Match, text: str) -> list[str]:
         put("known", name.lower() in TAGS)
         put("upper", name[0].isupper() and not name.isupper())
         put("attrs", bool(g["attrs"]) and "=" in g["attrs"])
-        put("paired", bool(g["close"]) or f"</{name.lower()}" in text.lower())
+        put("paired", bool(g["close"]) or name.lower() in closed)
     elif kind == "entity":
         put("known", html.unescape(m.group()) != m.group())
     elif kind in ("math", "math_block", "math_bracket", "math_paren"):
@@ -169,46 +187,77 @@ def _features(kind: str, m: re.Match, text: str) -> list[str]:
 
 
 _BLANK = re.compile(r"\n[ \t]*\n")
+_CLOSING = re.compile(r"</([A-Za-z][A-Za-z0-9]*)")
+
+
+class _Cover:
+    """Whether a place lies inside one of some pieces."""
+
+    def __init__(self, found: list[Piece], kinds: tuple[str, ...]):
+        spans = sorted((p.start, p.end) for p in found if p.kind in kinds)
+        self.starts, self.ends, far = [a for a, _ in spans], [], -1
+        for _, e in spans:
+            far = max(far, e)
+            self.ends.append(far)
+
+    def __contains__(self, at: int) -> bool:
+        i = bisect_right(self.starts, at) - 1
+        return i >= 0 and at < self.ends[i]
+
+
+def _mask(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` with nothing but line ends left in the spans."""
+    if not spans:
+        return text
+    out, at = [], 0
+    for a, b in spans:
+        out += [text[at:a], re.sub(r"[^\n]", "\0", text[a:b])]
+        at = b
+    return "".join(out) + text[at:]
+
+
+_TEX = ("verbatim", "verb", "math_env", "math_bracket", "math_paren")
+_INSIDE = {"environment": _TEX, "command": (*_TEX, "environment"), "escape": (*_TEX, "environment", "command")}
 
 
 def pieces(text: str) -> tuple[list[Piece], int]:
     """Candidate pieces in order, with their block and the piece that encloses them; the number of blocks."""
     found: list[Piece] = []
     masked = text
+    possible = lambda kind: any(x in masked for x in _NEED[kind])
     for kind, rx in _CODE:
-        for m in rx.finditer(masked):
-            found.append(Piece(kind, m.start(), m.end(), m))
-            a, b = m.span("in")
-            masked = masked[:a] + re.sub(r"[^\n]", "\0", masked[a:b]) + masked[b:]
+        if possible(kind):
+            hits = list(rx.finditer(masked))
+            found += [Piece(kind, m.start(), m.end(), m) for m in hits]
+            masked = _mask(masked, [m.span("in") for m in hits])
     for kind, rx in _MATH:
-        for m in rx.finditer(masked):
-            if "\0" in m.group("in"):
-                continue
-            found.append(Piece(kind, m.start(), m.end(), m))
-            a, b = m.span("in")
-            if kind != "math" or re.search(r"\\[A-Za-z]|[\^_{}=]", m.group("in")):
-                masked = masked[:a] + re.sub(r"[^\n]", "\0", masked[a:b]) + masked[b:]
+        if possible(kind):
+            hits = [m for m in rx.finditer(masked) if "\0" not in m.group("in")]
+            found += [Piece(kind, m.start(), m.end(), m) for m in hits]
+            masked = _mask(masked, [m.span("in") for m in hits if kind != "math" or re.search(r"\\[A-Za-z]|[\^_{}=]", m.group("in"))])
     taken: set[tuple[int, int]] = {(p.start, p.end) for p in found}
     for kind, rx in _OTHER:
+        if not possible(kind):
+            continue
+        cover = _Cover(found, _INSIDE.get(kind, ("autolink", "comment", "tag") if kind == "angle" else ()))
+        at_tag = {p.start for p in found if p.kind in ("tag", "autolink")} if kind == "angle" else ()
         for m in rx.finditer(masked):
-            if (m.start(), m.end()) in taken or masked[m.start()] == "\0" or (kind == "angle" and re.match(r"</?[A-Za-z][\w]*[\s/>]", m.group()) and any(p.kind in ("tag", "autolink") and p.start == m.start() for p in found)):
-                continue
-            if kind == "angle" and any(p.start <= m.start() < p.end for p in found if p.kind in ("autolink", "comment", "tag")):
-                continue
-            if kind in ("escape", "command", "environment") and any(p.start <= m.start() < p.end for p in found if p.kind in ("command", "environment", "verbatim", "math_env", "math_bracket", "math_paren")):
+            s = m.start()
+            if (s, m.end()) in taken or masked[s] == "\0" or s in cover or s in at_tag:
                 continue
-            taken.add((m.start(), m.end()))
-            found.append(Piece(kind, m.start(), m.end(), m))
+            taken.add((s, m.end()))
+            found.append(Piece(kind, s, m.end(), m))
     found.sort(key=lambda p: (p.start, -p.end))
     cuts = [m.start() for m in _BLANK.finditer(text)]
+    closed = frozenset(n[:i] for n in {x.lower() for x in _CLOSING.findall(masked)} for i in range(1, len(n) + 1)) if "</" in masked else frozenset()
     stack: list[int] = []
     for i, p in enumerate(found):
-        p.block = sum(c < p.start for c in cuts)
+        p.block = bisect_left(cuts, p.start)
         while stack and found[stack[-1]].end < p.end:
             stack.pop()
         p.parent = stack[-1] if stack and found[stack[-1]].end >= p.end and found[stack[-1]].start <= p.start else -1
         stack.append(i)
-        p.feats = _features(p.kind, p.m, masked)
+        p.feats = _features(p.kind, p.m, masked, closed)
     return found, len(cuts) + 1
 
 
@@ -263,8 +312,23 @@ class Tree:
         return full[:, 1], pair
 
     def probabilities(self, found: list[Piece], blocks: int) -> np.ndarray:
+        """Marginals of the pieces: ``marginals`` in ratios of the two states, one number a message."""
         parent, edge, unary, first = self.graph(found, blocks)
-        return self.marginals(parent, edge, unary)[0][first:]
+        n, pot = len(parent), {k: [math.exp(x) for row in v for x in row] for k, v in self.e.items()}
+        belief = [math.exp(min(30.0, max(-30.0, u))) for u in unary]
+        up = [1.0] * n
+        for i in range(n - 1, 0, -1):
+            a, b, c, d = pot[edge[i]]
+            r = belief[i]
+            up[i] = (c + d * r) / (a + b * r)
+            belief[parent[i]] = min(1e250, max(1e-250, belief[parent[i]] * up[i]))
+        full = belief[:]
+        for i in range(1, n):
+            a, b, c, d = pot[edge[i]]
+            rest = full[parent[i]] / up[i]
+            full[i] = (b + d * rest) / (a + c * rest) * belief[i]
+        r = np.array(full[first:])
+        return r / (1 + r)
 
 
 def _indent(code: str) -> str:
@@ -291,19 +355,47 @@ def _argument(m: re.Match) -> tuple[str, int]:
     return (m.string[a + 1 : b - 1], a + 1) if a >= 0 else ("", m.end())
 
 
-def edits(p: Piece, text: str) -> list[tuple[int, int, str]]:
-    """Replacements that turn a piece of markup into plain text."""
-    m, k = p.m, p.kind
+#: Elements whose text is code, and those that only colour it.
+CODE_TAGS, _WRAPPERS = frozenset(("code", "tt", "kbd", "samp")), re.compile(r"</(?:span|code|a|font)>|<(?:span|code|a|font)(?:\s[^<>]*)?>", re.I)
+
+
+class Vault:
+    """Texts put away under two private characters each, which are no markup, and brought back at the end."""
+
+    USED = re.compile("[\U000F0000-\U0010FFFD]")
+    MARK = re.compile("([\U000F0000-\U000FFFFD])([\U00100000-\U0010FFFD])")
+
+    def __init__(self):
+        self.texts: list[str] = []
+
+    def put(self, text: str) -> str:
+        if not text:
+            return ""
+        i = len(self.texts)
+        self.texts.append(self.bring(text))
+        return chr(0xF0000 + i // 60_000) + chr(0x100000 + i % 60_000)
+
+    def bring(self, text: str) -> str:
+        return self.MARK.sub(lambda m: self.texts[(ord(m[1]) - 0xF0000) * 60_000 + ord(m[2]) - 0x100000], text)
+
+
+def edits(k: str, m: re.Match, text: str, before: str, keep: Callable[[str], str]) -> list[tuple[int, int, str]]:
+    """Replacements that turn a piece of markup in ``text`` into plain text; ``keep`` makes a text opaque, ``before`` is the character in front."""
     g = m.groupdict()
-    s, e = p.start, p.end
+    s, e = m.span()
     inner = text[slice(*m.span("in"))] if g.get("in") is not None else ""
     around = lambda left="", right="": [(s, m.start("in"), left), (m.end("in"), e, right)]
     if k in ("fence", "verbatim", "pre"):
-        return [(s, e, ("" if s == 0 or text[s - 1] == "\n" else "\n") + _indent(html.unescape(inner) if k == "pre" else inner))]
-    if k in ("code", "nowiki", "bold", "italic", "under", "strike", "quotes", "highlight", "autolink"):
+        code = _indent(html.unescape(_WRAPPERS.sub("", inner)) if k == "pre" else inner)
+        return [(s, e, ("" if before in ("", "\n") else "\n") + keep(code))]
+    if k in ("code", "verb", "autolink"):
+        return [(s, e, keep(inner))]
+    if k == "nowiki":
+        return [(s, e, keep(html.unescape(inner)))]
+    if k in ("bold", "italic", "under", "strike", "quotes", "highlight"):
         return around()
     if k.startswith("math"):
-        return [(s, e, "formula: " + _formula(inner) if k in ("math_env", "math_block", "math_bracket") else _formula(inner))]
+        return [(s, e, keep("formula: " + _formula(inner) if k in ("math_env", "math_block", "math_bracket") else _formula(inner)))]
     if k in ("comment", "doctype", "magic", "rule", "table_sep", "attr", "ref_def", "bbcode"):
         return [(s, e, "")]
     if k == "tag":
@@ -320,11 +412,12 @@ def edits(p: Piece, text: str) -> list[tuple[int, int, str]]:
             return [(s, e, "\n" if close else "")]
         if name == "img" and (alt := re.search(r"alt\s*=\s*[\"']([^\"']*)", g["attrs"], re.I)):
             return [(s, e, alt[1])]
-        return [(s, e, "\n" if name in BLOCK_TAGS and s > 0 and text[s - 1] != "\n" else "")]
+        return [(s, e, "\n" if name in BLOCK_TAGS and before not in ("", "\n") else "")]
     if k == "entity":
-        return [(s, e, html.unescape(m.group()).replace("\xa0", " "))]
+        plain = html.unescape(m.group()).replace("\xa0", " ")
+        return [(s, e, plain if plain.isspace() or plain.isalnum() else keep(plain))]
     if k == "wiki_table":
-        rows = [r for r in re.split(r"^\|-.*$", text[s:e].split("\n", 1)[1].rsplit("\n", 1)[0], flags=re.M)]
+        rows = [r for r in re.split(r"^\|-.*$", "\n".join(text[s:e].split("\n")[1:-1]), flags=re.M)]
         cells = [[c.split("|")[-1].strip() for line in r.strip().split("\n") if line.strip() and not line.startswith("|+") for c in re.split(r"\|\||!!", re.sub(r"^[|!]", "", line.strip()))] for r in rows]
         return [(s, e, "\n".join("\t".join(c) for c in cells if c))]
     if k == "wiki_heading":
@@ -356,7 +449,8 @@ def edits(p: Piece, text: str) -> list[tuple[int, int, str]]:
     if k == "environment":
         return [(s, e, "")]
     if k == "escape":
-        return [(s, e, {",": " ", ";": " ", "!": "", "~": " ", " ": " ", "\\": "\n"}.get(inner, inner))]
+        spacing = {",": " ", ";": " ", "!": "", "~": " ", " ": " ", "\\": "\n"}
+        return [(s, e, spacing[inner] if inner in spacing else keep(inner))]
     if k == "command":
         arg, at = _argument(m)
         name, tie = g["name"], " " if g["tie"] else ""
@@ -381,20 +475,60 @@ def edits(p: Piece, text: str) -> list[tuple[int, int, str]]:
     return []
 
 
-def apply(text: str, chosen: list[Piece]) -> str:
-    out, at = [], 0
-    todo = sorted((x for p in chosen for x in edits(p, text)), key=lambda x: (x[0], -x[1]))
-    tabular = any(p.kind == "environment" and (p.m.group("in") or "").startswith(("tabular", "array")) for p in chosen)
-    for s, e, new in todo:
-        if s < at:
+def _rewrite(text: str, a: int, b: int, todo: list[tuple[int, int, str]]) -> str:
+    """``text[a:b]`` with the replacements made, of overlapping ones the first."""
+    out, at = [], a
+    for s, e, new in sorted(todo, key=lambda x: (x[0], -x[1])):
+        if s >= at:
+            out += [text[at:s], new]
+            at = e
+    return "".join(out) + text[at:b]
+
+
+def apply(text: str, chosen: list[Piece], vault: Vault | None = None) -> str:
+    """The chosen pieces rewritten, each after those inside it. Of two that cross, the later waits for another turn."""
+    own = vault or Vault()
+    tops: list[tuple[Piece, list]] = []
+    open_: list[tuple[Piece, list]] = []
+    for p in sorted(chosen, key=lambda p: (p.start, -p.end)):
+        while open_ and open_[-1][0].end <= p.start:
+            open_.pop()
+        if open_ and p.end > open_[-1][0].end:
             continue
-        out += [text[at:s], new]
-        at = e
-    out.append(text[at:])
-    result = "".join(out)
-    if tabular:
+        node = (p, [])
+        (open_[-1][1] if open_ else tops).append(node)
+        open_.append(node)
+
+    def inside(nodes: list, a: int, b: int) -> str:
+        return _rewrite(text, a, b, [(p.start, p.end, rewritten(p, kids)) for p, kids in nodes])
+
+    def rewritten(p: Piece, kids: list) -> str:
+        before = text[p.start - 1] if p.start else ""
+        if kids:
+            local = inside(kids, p.start, p.end)
+            if m := _PATTERN[p.kind].fullmatch(local):
+                return _rewrite(local, 0, len(local), edits(p.kind, m, local, before, own.put))
+        return _rewrite(text, p.start, p.end, edits(p.kind, p.m, text, before, own.put))
+
+    # Between <code> and </code> only tags and entities count; all else is code.
+    waiting: dict[str, tuple[int, int]] = {}
+    flat: list[tuple[Piece, list]] = []
+    for node in tops:
+        p = node[0]
+        name = p.m["name"].lower() if p.kind == "tag" else ""
+        if name in CODE_TAGS and not p.m["close"]:
+            waiting[name] = (p.end, len(flat) + 1)
+        flat.append(node)
+        if name in waiting and p.m["close"]:
+            a, n = waiting.pop(name)
+            code = inside([x for x in flat[n:-1] if x[0].kind in ("tag", "entity")], a, p.start)
+            flat[n - 1 :] = [flat[n - 1], (Piece("", a, p.start, p.m), [own.put(code)]), node]
+    todo = [(p.start, p.end, kids[0] if p.kind == "" else rewritten(p, kids)) for p, kids in flat]
+    result = _rewrite(text, 0, len(text), todo)
+    if any(p.kind == "environment" and (p.m.group("in") or "").startswith(("tabular", "array")) for p in chosen):
         result = re.sub(r"[ \t]*&[ \t]*", "\t", re.sub(r"[ \t]*\\\\[ \t]*$", "", result, flags=re.M))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", result, flags=re.M)).strip("\n")
+    result = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", result, flags=re.M)).strip("\n")
+    return result if vault else own.bring(result)
 
 
 _tree: Tree | None = None
@@ -416,19 +550,27 @@ def find_markup(text: str | None, tree: Tree | None = None) -> list[Piece]:
     return [x for x, q in zip(found, p) if q > 0.5]
 
 
+_MARKS = re.compile(r"[<>\[\]{}\\*_#`=|~$&:;'!-]")
+
+
 def clean_text(text: str | None, tree: Tree | None = None) -> tuple[str | None, list[str]]:
-    """The text without markup and the kinds of pieces rewritten. Rewriting repeats while something nested comes to light."""
+    """The text without markup and the kinds of pieces rewritten; repeated while something nested comes to light."""
     kinds: list[str] = []
-    for _ in range(4):
+    chosen = find_markup(text, tree)
+    if not chosen:
+        return text, kinds
+    vault = Vault()
+    if Vault.USED.search(text):
+        text = Vault.USED.sub(lambda m: vault.put(m.group()), text)
         chosen = find_markup(text, tree)
-        if not chosen:
-            break
+    while chosen:
         kinds += [p.kind for p in chosen]
-        new = apply(text, chosen)
-        if new == text:
+        new = apply(text, chosen, vault)
+        if len(_MARKS.findall(new)) >= len(_MARKS.findall(text)):
+            text = new
             break
-        text = new
-    return text, kinds
+        text, chosen = new, find_markup(new, tree)
+    return vault.bring(text), kinds
 
 
 CLEAN = "struct<content:string,content_kinds:array<string>,heading_path:array<string>,heading_kinds:array<string>>"

@@ -118,6 +118,39 @@ def test_markup_texts():
     assert clean_text("| a | b |\n|---|---|\n| 1 | 2 |")[0].split("\n") == ["a\tb", "", "1\t2"]
 
 
+def test_code_and_escaped_text_are_opaque():
+    f = "```"
+    clean = {
+        f"See:\n\n{f}html\n<b>x</b> **y** &lt;\n{f}\n\nthen **bold**.": "See:\n\n    <b>x</b> **y** &lt;\n\nthen bold.", "Use &lt;div&gt; &amp;lt; here.": "Use <div> &lt; here.", "Call `**x** {{y}}` now and **b**.": "Call **x** {{y}} now and b.",
+        r"Print \verb|\textbf{x}| now with \textbf{y}.": r"Print \textbf{x} now with y.", "<p>a</p><pre><code>if a &lt; b: **x** <b>z</b></code></pre>": "a\n\n    if a < b: **x** <b>z</b>", "<code>**x** &amp;lt; [[y]]</code> and <b>y</b>": "**x** &lt; [[y]] and y",
+        "<nowiki>''x''</nowiki> and ''y''": "''x'' and y", r"\*not\* and *yes* it is": "*not* and yes it is", "\\begin{verbatim}\n\\emph{x} $y$\n\\end{verbatim}\nis \\emph{z}.": "    \\emph{x} $y$\nis z.",
+    }
+    for t, want in clean.items():
+        assert clean_text(t)[0] == want, t
+
+
+def test_nested_markup_is_rewritten_to_the_end():
+    deep = "x"
+    for i in range(12):
+        deep = f"{{{{t{i}|{deep}}}}}"
+    assert "{" not in clean_text(deep)[0] and clean_text(deep)[0].count("(") == 12
+    assert clean_text("| `a` | **c** |\n|---|---|\n| [x](u.md) | 2 |")[0] == "a\tc\n\nx\t2"
+    for t in ("\U000F0001\U00100001 **x** \U0010FFFD", "**a** \U000F0000"):  # private characters of the text itself
+        assert clean_text(t)[0] == t.replace("**", "")
+
+
+def test_ratios_equal_the_full_messages():
+    from siltstone.llm.markup import Tree, pieces
+    from siltstone.llm.train_markup import Pages
+
+    tree, pages = Tree.load(), Pages(17)
+    for _ in range(200):
+        found, blocks = pieces(pages.page()[0])
+        if found:
+            parent, edge, unary, first = tree.graph(found, blocks)
+            assert np.allclose(tree.marginals(parent, edge, unary)[0][first:], tree.probabilities(found, blocks))
+
+
 def test_markup_model_on_fresh_pages():
     from siltstone.llm.markup import Tree
 
