@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.llm import credentials as C
-from siltstone.llm import packing
 from siltstone.llm.abuse import _Chunks, encode, rates, score_documents
 from siltstone.llm.conversations import instant, rebuild_conversations
 from siltstone.llm.leaks import leaks
@@ -206,16 +205,29 @@ def test_packing(spark):
     assert max(boxes.values()) <= CAPACITY and sorted(boxes) == list(range(len(boxes)))
     assert {x["id"] for x in got} == {i for i, _ in rows} and all(x["n_tokens"] == CAPACITY for x in got if any(y["id"] == x["id"] and y["piece_no"] == x["piece_no"] + 1 for y in got))
     f = fill_report(out).first()
-    assert f["mean_fill"] > 0.97 and f["containers"] <= f["fewest"] + 1
+    assert f["mean_fill"] > 0.97 and f["containers"] <= f["fewest"] + 1 and 0 < f["inside_fill"] <= f["mean_fill"]
     assert pack(spark.createDataFrame([], "doc_id int, text string")).count() == 0
 
 
-def test_buckets_are_labels_only():
+def test_batches_form_inside_buckets():
     counts = np.random.default_rng(1).integers(0, 9, CAPACITY + 1)
     one, many = plan(counts, CAPACITY, 1), plan(counts, CAPACITY, 32)
-    same = all(np.array_equal(x, y) for l in one.ranges for x, y in zip(one.ranges[l], many.ranges[l]))
-    assert same and one.containers == many.containers and len(many.buckets) == 32
-    assert "only label" in packing.__doc__
+    assert len(many.buckets) == 32 and abs(one.containers - many.containers) <= 5
+    assert any(not np.array_equal(x, y) for n in one.ranges for x, y in zip(one.ranges[n], many.ranges[n]))  # bounds change the plan
+    # Every item has a place of its own, no container holds too much.
+    content = np.zeros(many.containers, np.int64)
+    for n, (start, first, each) in many.ranges.items():
+        stop = np.append(start[1:], counts[n])
+        assert start[0] == 0 and ((stop - start) % each == 0).all()
+        for a, b, c, k in zip(start, stop, first, each):
+            content[c : c + (b - a) // k] += k * n
+    assert content.max() <= CAPACITY and content.sum() == (counts * np.arange(CAPACITY + 1)).sum()
+    # Between two bounds of its own, a bucket's batch takes only texts of the bucket before texts of shorter ones.
+    long = np.zeros(CAPACITY + 1, np.int64)
+    long[[1000, 900, 100]] = [4, 4, 40]
+    p = plan(long, CAPACITY, 2)
+    assert p.buckets == [100, 1000] and p.containers == -(-(4 * 1900 + 4000) // CAPACITY)
+    assert set(p.ranges[1000][1].tolist()) | set(p.ranges[900][1].tolist()) <= set(range(4))
 
 
 def test_leaks(spark):
