@@ -1,17 +1,23 @@
-"""Most similar vectors: all true neighbours by an exact blocked search, near ones by multi-index hashing.
+"""Most similar vectors: near ones by multi-index hashing, all true neighbours by an exact blocked search.
+
+From a least similarity of ``NEAR`` on, hashing serves. Rotations are learned on a bounded sample (iterative quantisation:
+rotate so that signs lose least), each gives a code of 64 bits, cut into substrings; every substring is an index of its own.
+A substring has about log2 n bits, so that a key is shared by a few rows whatever n is. By the pigeonhole principle codes
+that differ in fewer bits than there are substrings agree on one; vectors at the least similarity differ in more, and agree
+on a given substring with the probability (1 - angle / pi) to the power of its bits. There are as many rotations as it takes
+for such a pair to miss every index with a probability of at most ``MISS`` (0.12 at the least similarity itself, soon below
+0.001 above it), about n ** 0.2 of them. Pairs within a Hamming radius of the first code are reranked by their floats.
 
 Without a threshold neighbours lie at any similarity (in the test data mostly near 0.5, where codes agree on nothing), so
 every vector meets every other once, in blocks. Blocks are cells of a clustering: a vector's best within its own block give a
-floor, and only pairs above a floor leave the other blocks. The time grows with the square of the distinct vectors.
-
-From a least similarity of ``NEAR`` on, hashing serves. Five rotations are learned on a bounded sample (iterative
-quantisation: rotate so that signs lose least). Each gives 64 bits, cut into substrings of 16; every substring is an index of
-its own, probed exactly. Codes within 3 bits agree on one for sure (pigeonhole); at ``NEAR`` with five rotations nearly all
-pairs do, below it soon few. Survivors of a wider radius in the first code are reranked by their floats.
+floor, two blocks too far apart for any pair above a floor don't meet, and of the others only pairs above a floor are kept.
+The time grows with the square of the distinct vectors where they have no structure.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siltstone.runtime import materialise
 
-ROTATIONS, SUBSTRING, SAMPLE, RADIUS, HOT = 5, 16, 4096, 20, 2048
+BITS, MISS, SAMPLE, HOT = 64, 0.12, 4096, 2048
 #: Least similarity from which hashing finds nearly all; rows of a cell and a block, most cells.
 NEAR, CELL, BLOCK, CELLS = 0.9, 2048, 4096, 512
 
@@ -36,7 +42,16 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def learn_rotations(x: np.ndarray, rotations: int = ROTATIONS, bits: int = 64, rounds: int = 25, seed: int = 5) -> np.ndarray:
+def index_shape(n: int, min_similarity: float, miss: float = MISS) -> tuple[int, int, int]:
+    """Bits of a substring, number of rotations and Hamming radius in one code for ``n`` vectors."""
+    apart = math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi
+    width = min(30, max(8, round(math.log2(max(2, n)))))
+    tables = math.log(1 / miss) / (1 - apart) ** width
+    radius = math.ceil(BITS * apart + 4.5 * math.sqrt(BITS * apart * (1 - apart)))
+    return width, max(1, math.ceil(tables / (BITS // width))), radius
+
+
+def learn_rotations(x: np.ndarray, rotations: int, bits: int = BITS, rounds: int = 25, seed: int = 5) -> np.ndarray:
     """Projection matrix (dim x rotations*bits) fitted by iterative quantisation on unit vectors.
 
     Not centred: differing bits then follow the angle, also where all vectors lie in one narrow cone.
@@ -77,15 +92,15 @@ def centres(x: np.ndarray, cells: int, rounds: int = 15, seed: int = 5) -> np.nd
     return out
 
 
-def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5, dim: int = 64, radius: int = RADIUS, sample: int = SAMPLE, min_similarity: float = -1.0, hot: int = HOT) -> DataFrame:
+def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5, dim: int = 64, sample: int = SAMPLE, min_similarity: float = -1.0, hot: int = HOT) -> DataFrame:
     """id, neighbour, similarity, rank: for each vector its ``k`` most similar ones of at least ``min_similarity``.
 
-    Exact below a ``min_similarity`` of ``NEAR``; from there on by hashing, among those within ``radius`` bits of 64.
+    Exact below a ``min_similarity`` of ``NEAR``; from there on by hashing (see the module).
 
     Null, empty, zero, non-finite vectors and those of another length take no part; an input without a valid vector gives
     no rows. Ties go to the smaller id. Equal vectors form a class that is searched once; a member's copies come first. Keys
-    shared by more than ``hot`` rows are searched in blocks of that size by floats, every row against every other, and give
-    each row's best ``k`` per block. A row repeated under one id counts once.
+    shared by more than ``hot`` rows are searched in pairs of blocks of that size within the same radius, each row keeping its
+    best ``k`` per pair of blocks, so that ``hot`` never changes the rows. A row repeated under one id counts once.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & valid_vector(F.col("v"), dim))
     rows = rows.withColumn("c", F.xxhash64("v"))
@@ -99,7 +114,7 @@ def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5
     if min_similarity < NEAR:
         other = _exact_pairs(heads, some, k, "<f4" if dict(df.dtypes)[vector] == "array<float>" else "<f8").where(F.col("s") >= min_similarity)
     else:
-        other = _hashed_pairs(heads, learn_rotations(some), k, radius, hot, min_similarity)
+        other = _hashed_pairs(heads, some, k, hot, min_similarity)
     ids = heads.select(F.col("c").alias("o"), "ids")
     target = other.join(ids, "o").unionByName(heads.where(F.size("ids") > 1).select(F.lit(None).cast("bigint").alias("o"), "c", F.lit(1.0).alias("s"), "ids").select("o", "c", "s", "ids"))
     target = target.select("c", "s", F.explode("ids").alias("neighbour"))
@@ -109,9 +124,10 @@ def knn(df: DataFrame, id_col: str = "id", vector: str = "vector", *, k: int = 5
     return mine.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "neighbour", F.col("s").alias("similarity"), "rank")
 
 
-def _hashed_pairs(heads: DataFrame, projection: np.ndarray, k: int, radius: int, hot: int, min_similarity: float) -> DataFrame:
+def _hashed_pairs(heads: DataFrame, some: np.ndarray, k: int, hot: int, min_similarity: float) -> DataFrame:
     """c, o, s in both directions: pairs that share a substring of a code, with their similarity."""
-    per = 64 // SUBSTRING
+    width, rotations, radius = index_shape(heads.count(), min_similarity)
+    projection = learn_rotations(some, rotations)
 
     @F.pandas_udf("array<bigint>")
     def encode(v: pd.Series) -> pd.Series:
@@ -120,20 +136,17 @@ def _hashed_pairs(heads: DataFrame, projection: np.ndarray, k: int, radius: int,
         bits = np.packbits((_unit(v) @ projection) >= 0, axis=1, bitorder="little")
         return pd.Series(list(bits.view("<i8")))
 
-    # The codes are kept, not the index: it is twenty times as long and made from them in the JVM.
+    # The codes are kept, not the index: it is many times as long and made from them in the JVM.
     codes = materialise(heads.select("c", encode("v").alias("h")))
-    mask = (1 << SUBSTRING) - 1
-    keys = [
-        (F.lit(i * per + j) * (1 << SUBSTRING) + F.shiftrightunsigned(F.col("h")[i], SUBSTRING * j).bitwiseAND(F.lit(mask).cast("bigint"))).cast("int")
-        for i in range(ROTATIONS) for j in range(per)
-    ]
+    mask, per = F.lit((1 << width) - 1).cast("bigint"), BITS // width
+    keys = [F.shiftrightunsigned(F.col("h")[i], width * j).bitwiseAND(mask) + F.lit((i * per + j) << width) for i in range(rotations) for j in range(per)]
     index = codes.select("c", F.col("h")[0].alias("code"), F.explode(F.array(*keys)).alias("key"))
     crowd = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     shared, busy = crowd.where((F.col("n") > 1) & (F.col("n") <= hot)).select("key"), crowd.where(F.col("n") > hot)
     cold = index.join(shared, "key", "left_semi")
     apart = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code")))
     near = cold.alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (apart <= radius)).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
-    near = near.unionByName(_hot_pairs(index, busy, heads, k, hot)).distinct()
+    near = near.unionByName(_hot_pairs(index, busy, heads, k, radius, hot)).distinct()
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     unit = heads.select("c", "v", norm(F.col("v")).alias("l"))
     both = near.join(unit.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("l").alias("la")), "a").join(unit.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("l").alias("lb")), "b")
@@ -189,11 +202,14 @@ def _exact_pairs(heads: DataFrame, some: np.ndarray, k: int, kind: str) -> DataF
             i, j = _above(s, floor[at : at + 512], k)
             found.append((c[at + i], c[j], np.einsum("ij,ij->i", u[at + i], u[j])))
         a, b, s = (np.concatenate(x) for x in zip(*found))
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cs": [c.tobytes()], "xs": [raw], "floors": [floor.tobytes()], "a": [a], "b": [b], "s": [s]})
+        mid = u.sum(0)
+        mid = mid / l if (l := np.linalg.norm(mid)) else u[0]
+        wide = float(np.arccos(np.clip(u @ mid, -1, 1)).max())
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cs": [c.tobytes()], "xs": [raw], "floors": [floor.tobytes()], "mid": [mid], "wide": [wide], "least": [float(floor.min())], "a": [a], "b": [b], "s": [s]})
 
     parts = min(total, max(2 * spark.sparkContext.defaultParallelism, total // 4))
     packs = heads.select("c", "v").mapInPandas(place, "c bigint, block int, x binary").repartition(parts, "block")
-    packs = materialise(packs.groupBy("block").applyInPandas(own, "block int, cs binary, xs binary, floors binary, a array<bigint>, b array<bigint>, s array<double>"))
+    packs = materialise(packs.groupBy("block").applyInPandas(own, "block int, cs binary, xs binary, floors binary, mid array<double>, wide double, least double, a array<bigint>, b array<bigint>, s array<double>"))
     near = packs.select(F.inline(F.arrays_zip("a", "b", "s"))).toDF("c", "o", "s")
 
     def meet(batches):
@@ -210,30 +226,37 @@ def _exact_pairs(heads: DataFrame, some: np.ndarray, k: int, kind: str) -> DataF
                     j, i = _above(np.ascontiguousarray(s.T), fb, k)
                     yield pd.DataFrame({"c": cb[j], "o": ca[at + i], "s": np.einsum("ij,ij->i", ua[at + i], ub[j])})
 
-    side = lambda x: packs.select(*(F.col(a).alias(b + x) for a, b in (("block", "n"), ("cs", "c"), ("xs", "x"), ("floors", "f"))))
-    both = side("a").join(side("b").hint("shuffle_replicate_nl"), F.col("na") < F.col("nb"))
+    side = lambda x: packs.select(*(F.col(a).alias(b + x) for a, b in (("block", "n"), ("cs", "c"), ("xs", "x"), ("floors", "f"), ("mid", "m"), ("wide", "w"), ("least", "l"))))
+    # Two blocks meet if their nearest points could lie within the lower floor (triangle inequality of angles).
+    clamp = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    angle = F.acos(clamp(F.aggregate(F.zip_with("ma", "mb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)))
+    close = angle - F.col("wa") - F.col("wb") <= F.acos(clamp(F.least("la", "lb"))) + 1e-6
+    both = side("a").join(side("b").hint("shuffle_replicate_nl"), (F.col("na") < F.col("nb")) & close).drop("ma", "mb", "wa", "wb", "la", "lb")
     pairs = near.unionByName(both.mapInPandas(meet, "c bigint, o bigint, s double")).withColumn("s", F.least("s", F.lit(1.0)))
     return pairs.withColumn("r", F.rank().over(Window.partitionBy("c").orderBy(F.desc("s")))).where(F.col("r") <= k).drop("r")
 
 
-def _hot_pairs(index: DataFrame, busy: DataFrame, heads: DataFrame, k: int, hot: int) -> DataFrame:
-    """Candidate pairs under crowded keys: rows salted into blocks, each pair of blocks one unit of float work."""
+def _hot_pairs(index: DataFrame, busy: DataFrame, heads: DataFrame, k: int, radius: int, hot: int) -> DataFrame:
+    """Candidate pairs under crowded keys: rows salted into blocks, each pair of blocks one unit of work. The radius is that
+    of all keys; of a row's partners in a unit only the best ``k`` can be among its best, so no crowd is written out."""
     n = F.ceil(F.col("n") / hot).cast("int")
-    rows = index.select("key", "c").join(busy, "key").withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
-    units = rows.select("key", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    units = units.select("key", "c", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")).join(heads.select("c", "v"), "c")
+    rows = index.join(busy, "key").withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
+    units = rows.select("key", "c", "code", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    units = units.select("key", "c", "code", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")).join(heads.select("c", "v"), "c")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         u, c, own = _unit(pdf["v"]).astype(np.float32), pdf["c"].to_numpy(), pdf["own"].to_numpy()
+        code = pdf["code"].to_numpy(np.int64).view(np.uint64)
         same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
         out = []
         for at in range(0, len(u), 512):
             s = u[at : at + 512] @ u.T
+            s[np.bitwise_count(code[at : at + 512, None] ^ code[None, :]) > radius] = -2
             if not same:
                 s[own[at : at + 512, None] == own[None, :]] = -2
             s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
             m = min(k + 1, s.shape[1])
-            floor = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+            floor = -np.partition(-s, m - 1, axis=1)[:, m - 1] - np.float32(2e-6)  # single precision may turn near ties round
             i, j = np.nonzero((s >= floor[:, None]) & (s > -1.5))
             out.append(pd.DataFrame({"a": c[at + i], "b": c[j]}))
         p = pd.concat(out)

@@ -30,7 +30,7 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    best = knn(table(spark, d, "chunks"), min_similarity=0.9).where("similarity >= 0.92 - 1e-9")
+    best = knn(table(spark, d, "chunks"), min_similarity=0.92 - 1e-9)
     return best.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
@@ -51,7 +51,7 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     number = F.pmod(F.conv(F.left(digits, F.lit(8)), 16, 10).cast("bigint") * 16 + F.conv(F.right(digits, F.lit(8)), 16, 10).cast("bigint"), F.lit(20))
     base = chunks.select("id", F.col("vector").cast("array<double>").alias("v"))
     true = exact_knn(base.where(number == 0), base)
-    return recall_by_band(true, knn(chunks), "top5").unionByName(recall_by_band(true.where("similarity >= 0.92"), knn(chunks, min_similarity=0.9), "near"))
+    return recall_by_band(true, knn(chunks), "top5").unionByName(recall_by_band(true.where("similarity >= 0.92"), knn(chunks, min_similarity=0.92 - 1e-9), "near"))
 
 
 #: Lower bounds of the bands of similarity that recall is told by.

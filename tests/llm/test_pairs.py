@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from siltstone.llm import knn as knn_module
-from siltstone.llm.knn import exact_knn, knn
+from siltstone.llm.knn import exact_knn, index_shape, knn
 from siltstone.llm.neardup import near_duplicates
 from siltstone.llm.queries import p2_recall, recall_by_band
 
@@ -68,6 +68,29 @@ def test_hashing_of_crowded_keys(spark):
     assert knn(df, dim=8, hot=32, min_similarity=0.9).count() == 120 * 5
 
 
+def test_the_size_of_a_crowd_changes_no_row(spark):
+    rows = vectors(400, 8, 8)
+    r = np.random.default_rng(3)
+    rows += [(1000 + i, (np.array(rows[0][1]) + 0.01 * r.normal(size=8)).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, vector array<double>")
+    few, many = ({(x["id"], x["neighbour"], x["rank"]) for x in knn(df, dim=8, hot=h, min_similarity=0.92).collect()} for h in (32, 10**9))
+    assert few == many and len(few) > 1000
+
+
+def test_index_shape_follows_the_number_of_vectors():
+    shapes = [index_shape(n, 0.92) for n in (900, 90_000, 90_000_000)]
+    assert [s[0] for s in shapes] == [10, 16, 26] and all(64 // w * r * (1 - np.arccos(0.92) / np.pi) ** w >= np.log(1 / 0.12) for w, r, _ in shapes)
+    assert shapes[2][1] * (64 // 26) < 90 and shapes[0][2] <= 21
+
+
+def test_far_blocks_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(knn_module, "CELL", 40)
+    monkeypatch.setattr(knn_module, "BLOCK", 50)
+    rows = vectors(400, 8, 12)
+    got = {(r["id"], r["neighbour"]) for r in knn(spark.createDataFrame(rows, "id int, vector array<double>"), dim=8).collect()}
+    assert got == {(i, j) for i, best in brute_topk(rows, 5).items() for j, _ in best}
+
+
 def test_recall_counts_far_neighbours(spark):
     true = spark.createDataFrame([(1, 2, 0.95), (1, 3, 0.55), (1, 4, 0.51), (1, 5, 0.3)], "id int, neighbour int, similarity double")
     found = spark.createDataFrame([(1, 2), (1, 4), (1, 9)], "id int, neighbour int")
