@@ -73,3 +73,61 @@ def test_manifest_survives_failures(spark, tmp_path):
     later = spark.createDataFrame([("a", 1, "z"), ("c", 3, "q")], f)
     assert process_new(spark, later, root, out, lambda p: p) == 2
     assert {r["relative_path"] for r in m.read().collect()} == {"a", "c"}
+
+
+F_ = "relative_path string, size bigint, checksum string"
+
+
+@pytest.mark.parametrize("step", ["begin", "half written", "written", "half committed", "committed"])
+def test_each_record_once_after_a_crash_at_any_step(spark, tmp_path, monkeypatch, step):
+    """a and b are there, the run breaks off, c arrives and b changes: every file's current record comes once."""
+    root, out = str(tmp_path / "m"), str(tmp_path / "out")
+    first = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], F_)
+    m, made = Manifest(spark, root), lambda p: p.select("relative_path", "checksum")
+
+    class Crash(Exception):
+        pass
+
+    def stop(*_):
+        raise Crash
+
+    pending = m.pending(first)
+    if step == "begin":
+        m.begin(out)
+    elif step == "half written":
+        batch = m.begin(out)
+        made(pending).limit(1).write.parquet(f"{out}/batch_id={batch}")
+    elif step == "written":
+        m.write(made(pending), out, pending)
+    else:
+        m.write(made(pending), out, pending)
+        monkeypatch.setattr(Manifest, "_mark" if step == "half committed" else "recover", stop)
+        with pytest.raises(Crash):
+            m.commit(pending)
+        monkeypatch.undo()
+    assert Manifest(spark, root).read().count() == (2 if step == "committed" else 0)
+    later = spark.createDataFrame([("a", 1, "x"), ("./b", 2, "z"), ("c", 3, "q")], F_)
+    assert process_new(spark, later, root, out, made) == (2 if step == "committed" else 3)
+    now = Manifest(spark, root)
+    assert sorted((r["relative_path"], r["checksum"]) for r in now.output(out).collect()) == [("a", "x"), ("b", "z"), ("c", "q")]
+    assert process_new(spark, later, root, out, made) == 0 and now._names("open") == []
+    seen = [(r["relative_path"], r["checksum"]) for r in spark.read.parquet(out).collect()]  # without the manifest: b's superseded row at most
+    assert len(seen) == len(set(seen))
+
+
+def test_a_log_of_commits(spark, tmp_path, monkeypatch):
+    from siltstone.operators import changes
+
+    monkeypatch.setattr(changes, "COMPACT_EVERY", 3)
+    root, out, want = str(tmp_path / "m"), str(tmp_path / "out"), {}
+    for run in range(7):
+        want = {f"f{i}": f"{run // (i + 1)}" for i in range(4) if (run + i) % 3}
+        listing = spark.createDataFrame([(p, None, c) for p, c in want.items()], F_)
+        process_new(spark, listing, root, out, lambda p: p.select("relative_path", "checksum"))
+        m = Manifest(spark, root)
+        assert {r["relative_path"]: r["checksum"] for r in m.read().collect()} == want
+        assert sorted(map(tuple, m.output(out).select("relative_path", "checksum").collect())) == sorted(want.items())
+    assert m._numbers("s") == [3, 6] and m.vacuum(out) and sorted(map(tuple, m.output(out).select("relative_path", "checksum").collect())) == sorted(want.items())
+    with pytest.raises(ValueError):
+        m.write(spark.range(1), out, m.pending(listing))
+    assert m.output(out).count() == len(want) and process_new(spark, listing.limit(0), root, out, lambda p: p) == 0 and m.output(out) is None
