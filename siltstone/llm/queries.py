@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.abuse import rates, score_documents
-from siltstone.llm.conversations import rebuild_conversations
+from siltstone.llm.conversations import clean_messages, clock_offsets, rebuild_conversations
 from siltstone.llm.credentials import find_credentials, redact
 from siltstone.llm.knn import exact_knn, knn
 from siltstone.llm.leaks import leaks
@@ -86,6 +86,12 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return rebuild_conversations(table(spark, d, "memory_records"))
 
 
+def p4_clocks(spark: SparkSession, d: str) -> DataFrame:
+    """Least-squares clock offsets of every conversation that alternates, in seconds, and whether its constraints can be met."""
+    fix = clock_offsets(clean_messages(table(spark, d, "memory_records")), derive=True)
+    return fix.select("conversation_id", "speaker", (F.col("offset") / 1e6).alias("seconds"), "feasible")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "chunks"), threshold=0.7, width=3).pairs()
 
@@ -144,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_turns": p4_turns,
+    "p4_clocks": p4_clocks,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p7_found": p7_found,

@@ -50,6 +50,47 @@ def test_clock_offsets(spark):
     assert talk(spark, skewed + broken, reply_to=F.col("r")) == [("a", i, str(i)) for i in range(1, 5)]
 
 
+def test_least_squares_offsets_match_a_grid():
+    from itertools import product
+
+    from siltstone.llm.conversations import SPEAKERS, least_squares_offsets
+
+    r, names, met = random.Random(4), [s for s in SPEAKERS], 0
+    for _ in range(120):
+        needs = {(c, p): r.randint(-6, 4) for c in names for p in names if c != p and r.random() < 0.4}
+        grid = [dict(zip(names, (0, *x))) for x in product(range(-8, 9), repeat=3)]
+        fit = [o for o in grid if all(o[c] - o[p] >= v for (c, p), v in needs.items())]
+        got = least_squares_offsets(needs)
+        assert (got is None) == (not fit)
+        if got:
+            met += 1
+            assert all(got[c] - got[p] >= v for (c, p), v in needs.items())
+            # the real optimum lies within one rounding of the best whole one
+            assert sum(x * x for x in got.values()) <= min(sum(x * x for x in o.values()) for o in fit) + 2 * sum(abs(x) for x in got.values()) + 3
+    assert met > 40
+
+
+def test_infeasible_cycles_and_tool_edges(spark):
+    at = lambda s: f"2031-01-02T00:00:{s:02}Z"
+    # user < assistant < tool < user's first message again: no clocks can do that
+    cycle = [("a", "1", "user", "q", at(1), None, "3"), ("a", "2", "ai", "r", at(2), None, "1"), ("a", "3", "tool", "x", at(3), None, "2"), ("a", "4", "ai", "r", at(4), None, None)]
+    # the tool's clock is behind that of the assistant it answers
+    tool = [("b", "1", "user", "q", at(10), None, None), ("b", "2", "ai", "r", at(20), None, "1"), ("b", "3", "tool", "x", at(5), None, "2")]
+    assert talk(spark, cycle + tool, reply_to=F.col("r")) == [("b", i, str(i)) for i in (1, 2, 3)]
+
+
+def test_offsets_from_alternation(spark):
+    at = lambda m, s=0: f"2031-01-02T00:{m:02}:{s:02}Z"
+    behind = [x for k in range(4) for x in (("a", f"u{k}", "user", "q", at(10 + 4 * k), None), ("a", f"v{k}", "ai", "r", at(5 + 4 * k), None))]
+    fine = [("b", "1", "user", "q", at(1), None), ("b", "2", "ai", "r", at(2), None)]
+    uneven = [("c", "1", "ai", "q", at(1), None), ("c", "2", "user", "r", at(2), None), ("c", "3", "ai", "r", at(3), None)]
+    never = [x for k, (u, v) in enumerate([(10, 20), (15, 40), (60, 50)]) for x in (("d", f"u{k}", "user", "q", at(u), None), ("d", f"v{k}", "ai", "r", at(v), None))]
+    rows = behind + fine + uneven + never
+    assert talk(spark, rows) == [("b", 1, "1"), ("b", 2, "2")]
+    want = [("a", 2 * k + i + 1, f"{'uv'[i]}{k}") for k in range(4) for i in (0, 1)]
+    assert talk(spark, rows, derive=True) == want + [("b", 1, "1"), ("b", 2, "2")]
+
+
 def test_credentials():
     find = lambda t: [t[s.start : s.end] for s in C.find_spans(t)]
     assert find('password = "hU7!kd93Lq"') == ["hU7!kd93Lq"]
