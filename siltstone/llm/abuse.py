@@ -2,8 +2,10 @@
 
 Words are normalised (case, invisible characters, look-alike letters and digits, stretched and dotted spellings, spaced
 letters), hashed into a table of embeddings, and read by filters of several widths; each filter's maximum over the whole text
-feeds a logistic output. Trained on at most ``TRAIN_LIMIT`` labelled rows; scores of rows a model didn't see calibrate a
-threshold for each language. Every document is scored over its whole text.
+feeds a logistic output. Trained on at most ``TRAIN_LIMIT`` labelled rows of ``WORDS_LIMIT`` words together; scores of rows a
+model didn't see calibrate a threshold for each language. With fewer than ``LEAST_POSITIVES`` labels of 1, or where those scores
+reach no precision of ``LEAST_PRECISION`` (as a lower bound), nothing is flagged and ``calibrated`` is false: so few labels
+don't support a decision. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -17,18 +19,27 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.runtime import materialise
+
 BITS, DIM, WIDTHS, FILTERS = 15, 16, (1, 2, 3, 5), 16
 #: A label is doubted where the score of a model that didn't see it lies this near the other one; words of fewer documents aren't learned.
 DOUBT, LEAST_DOCUMENTS = 0.12, 3
 #: At most so many labelled rows are fitted on: those with the smallest hash of their id, labels of 1 first up to a half.
 TRAIN_LIMIT = 6000
+#: Beyond so many words in all of them (2 bytes each on their way to the driver), further rows in order of that hash are left out.
+WORDS_LIMIT = 20_000_000
+LEAST_POSITIVES, LEAST_PRECISION = 40, 0.6
 PAD = 1 << BITS
 #: Characters that stand for letters in disguised words.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"})
-LOOKALIKE = str.maketrans("аеорсухіјѕԁһոєκνιοαρτ", "aeopcyxijsdhnekviopat".ljust(21)[:21])
+#: Letters of other alphabets that look like Latin ones.
+LOOKALIKE = str.maketrans({
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ո": "n", "є": "e",
+    "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
+})
 _WORD = re.compile(r"[^\W_]+")
 _DISGUISED = re.compile(r"[a-z@$!|€][a-z0-9@$!|+€]*[0-9@$!|+€][a-z0-9@$!|+€]*[a-z0-9]?$|[@$0-9!]+[a-z][a-z0-9@$!|+€]*$")
 _DOTTED = re.compile(r"^(?:[^\W\d_][.\-_*·~]){2,}[^\W\d_]$")
@@ -112,6 +123,7 @@ class Model:
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
+    calibrated: bool = True
 
 
 def _join(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,31 +240,70 @@ def language(lang: Column) -> Column:
     return F.when(code != "", code).otherwise("und")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_LIMIT) -> Model | None:
-    """Classifier from labelled rows (doc_id, toxic); null without rows of both classes. Repeated labels of one document: the first by value."""
+def fit(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_LIMIT, words: int = WORDS_LIMIT) -> Model | None:
+    """Classifier from labelled rows (doc_id, toxic); null without rows of both classes. Repeated labels of one document: the greatest.
+
+    Texts are turned into word buckets where they lie; only these reach the driver.
+    """
     y = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     key = F.xxhash64("doc_id")
     pos, neg = y.where("toxic = 1").orderBy(key).limit(limit // 2), y.where("toxic = 0").orderBy(key).limit(limit - limit // 2)
+
+    @F.pandas_udf("binary")
+    def buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Chunks()
+        for texts in batches:
+            yield pd.Series([encode(t, known).astype("<i2").tobytes() for t in texts], dtype=object)
+
     rows = docs.select("doc_id", "text", language(F.col("lang")).alias("lang")).join(pos.unionByName(neg), "doc_id").where("text is not null")
-    known = _Chunks()
+    rows = materialise(rows.select("doc_id", "toxic", "lang", buckets.asNondeterministic()("text").alias("w")))
+    size = F.coalesce(F.octet_length("w"), F.lit(0)) / 2
+    if (rows.agg(F.sum(size)).first()[0] or 0) > words:
+        rows = rows.withColumn("_sum", F.sum(size).over(Window.orderBy(key, "w")))  # at most ``limit`` rows
+        rows = rows.where(F.col("_sum") <= words).drop("_sum")
     pdf = rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     if pdf.empty or pdf["toxic"].nunique() < 2:
         return None
-    return fit_rows([encode(t, known) for t in pdf["text"]], pdf["toxic"].to_numpy(np.float32), pdf["lang"].to_numpy())
+    return fit_rows([np.frombuffer(w, "<i2").astype(np.int32) for w in pdf["w"]], pdf["toxic"].to_numpy(np.float32), pdf["lang"].to_numpy(), docs.sparkSession)
+
+
+def _held_out(docs: list[np.ndarray], y: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Scores of the rows ``h`` by a model of the others."""
+    if not 0 < y[~h].sum() < (~h).sum():
+        return np.zeros(int(h.sum()))
+    return scores(train([d for d, x in zip(docs, ~h) if x], y[~h]), [d for d, x in zip(docs, h) if x])
 
 
-def fit_rows(docs: list[np.ndarray], y: np.ndarray, lang: np.ndarray) -> Model:
-    """Two halves score each other. Labels that the other half's model firmly contradicts are left out of the final fit (a few
-    per cent are wrong, and a model that learns them learns names); thresholds come from the halves' scores."""
-    half = np.arange(len(docs)) % 2 == 1
+def fit_rows(docs: list[np.ndarray], y: np.ndarray, lang: np.ndarray, spark: SparkSession | None = None) -> Model:
+    """Two halves score each other, as two tasks where there is a session. Labels that the other half's model firmly contradicts
+    are left out of the final fit (a few per cent are wrong, and a model that learns them learns names); thresholds come from
+    the halves' scores."""
+    half = np.zeros(len(docs), bool)  # every other one of each class
+    for one in (0, 1):
+        half[np.flatnonzero(y == one)[1::2]] = True
     p = np.zeros(len(docs))
-    for h in (half, ~half):
-        if 0 < y[~h].sum() < (~h).sum():
-            p[h] = scores(train([d for d, x in zip(docs, ~h) if x], y[~h]), [d for d, x in zip(docs, h) if x])
+    if y.sum() < LEAST_POSITIVES or spark is None:
+        for h in (half, ~half):
+            p[h] = _held_out(docs, y, h)
+    else:
+        shared = spark.sparkContext.broadcast((docs, y, half))
+
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for one in pdf["id"]:
+                    d, labels, h = shared.value
+                    got = _held_out(d, labels, h == bool(one))
+                    yield pd.DataFrame({"id": [one], "p": [got.tobytes()]})
+
+        for row in spark.range(0, 2, 1, 2).mapInPandas(fold, "id bigint, p binary").collect():
+            p[half == bool(row["id"])] = np.frombuffer(row["p"])
+        shared.unpersist()
     sure = ~(((y == 1) & (p < DOUBT)) | ((y == 0) & (p > 1 - DOUBT))) if y.sum() >= 100 else np.ones(len(docs), bool)
     model = train([d for d, s in zip(docs, sure) if s], y[sure])
+    all_p, all_y = p, y
     p, y, lang = p[sure], y[sure], lang[sure]
     model.threshold = best_threshold(p, y) if y.sum() >= 3 else 0.5
+    model.calibrated = bool(all_y.sum() >= LEAST_POSITIVES and precision_bound(all_p, all_y, model.threshold) >= LEAST_PRECISION)
     for one in np.unique(lang):
         at = lang == one
         n = y[at].sum()
@@ -261,15 +312,26 @@ def fit_rows(docs: list[np.ndarray], y: np.ndarray, lang: np.ndarray) -> Model:
     return model
 
 
+def precision_bound(p: np.ndarray, y: np.ndarray, threshold: float) -> float:
+    """Lower end of the 95 % interval (Wilson's) of the share of right ones among scores of at least the threshold; 0 where there are none."""
+    at = p >= threshold
+    n = int(at.sum())
+    if not n:
+        return 0.0
+    share, z = float(y[at].mean()), 1.96
+    return (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_LIMIT) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source) with abuse_score in [0, 1] and is_abusive.
+    """``docs`` (doc_id, text, lang, source) with abuse_score in [0, 1], is_abusive and calibrated.
 
-    Null and blank texts score 0. Without labels of both classes every score is null and nothing is flagged.
+    Null and blank texts score 0. Without labels of both classes every score is null and nothing is flagged; where the labels
+    are too few (see the module) scores are given, calibrated is false and nothing is flagged either.
     """
     model = fit(docs, labels, limit=limit)
     base = docs.select("doc_id", "source", language(F.col("lang")).alias("language"), "text")
     if model is None:
-        return base.drop("text").withColumns({"abuse_score": F.lit(None).cast("double"), "is_abusive": F.lit(False)})
+        return base.drop("text").withColumns({"abuse_score": F.lit(None).cast("double"), "is_abusive": F.lit(False), "calibrated": F.lit(False)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: the table and the filters
 
     @F.pandas_udf("double")
@@ -282,11 +344,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_LI
 
     limits = F.create_map(*(F.lit(x) for kv in model.thresholds.items() for x in kv)) if model.thresholds else None
     cut = F.coalesce(limits[F.col("language")], F.lit(model.threshold)) if limits is not None else F.lit(model.threshold)
-    return base.withColumn("abuse_score", score.asNondeterministic()("text")).withColumn("is_abusive", F.col("abuse_score") >= cut).drop("text")
+    flag = (F.col("abuse_score") >= cut) & F.lit(model.calibrated)
+    return base.withColumn("abuse_score", score.asNondeterministic()("text")).withColumns({"is_abusive": flag, "calibrated": F.lit(model.calibrated)}).drop("text")
 
 
 def rates(scored: DataFrame) -> DataFrame:
-    """Documents, flagged ones and their share per source; a null source is a group of its own."""
+    """Documents, flagged ones and their share per source, and whether flags rest on enough labels; a null source is a group of its own."""
     return scored.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.count_if("is_abusive").alias("n_abusive"), F.round(F.avg(F.col("is_abusive").cast("int")), 6).alias("rate"), F.round(F.avg("abuse_score"), 6).alias("mean_score")
+        F.count(F.lit(1)).alias("n_docs"), F.count_if("is_abusive").alias("n_abusive"), F.round(F.avg(F.col("is_abusive").cast("int")), 6).alias("rate"), F.round(F.avg("abuse_score"), 6).alias("mean_score"), F.bool_or("calibrated").alias("calibrated")
     )

@@ -129,7 +129,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     scored = score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
-    return scored.select("doc_id", "source", "language", F.round("abuse_score", 6).alias("abuse_score"), "is_abusive")
+    return scored.select("doc_id", "source", "language", F.round("abuse_score", 6).alias("abuse_score"), "is_abusive", "calibrated")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -300,9 +300,18 @@ def test_disguises():
     k = _Chunks()
     same = lambda a, b: list(encode(a, k)) == list(encode(b, k))
     assert same("You 1D10T!", "you idiot") and same("iddddiot", "idiot") and same("s.l.u.g", "slug") and same("i d i o t", "idiot") and same("pa\u200bthetic", "pathetic") and same("f@ilure", "failure")
+    assert same("fαilure", "failure") and same("ρathetic", "pathetic") and same("іdiοt", "idiot")
     assert len(encode(None, k)) == 0 and len(encode("你这个废物", k)) == 4
 
 
+def test_the_words_to_learn_from_have_a_bound(spark):
+    from siltstone.llm.abuse import fit
+
+    docs = spark.createDataFrame([(i, "word " * 50 + ("idiot" if i % 2 else "index"), "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    assert fit(docs, labels, words=10) is None and fit(docs, labels, words=2000) is not None
+
+
 def test_abuse(spark):
     r = random.Random(2)
     plain = ["the index is stable", "please keep the queue", "we moved the writer", "a filter for rude words like idiot", "the report took long"]
@@ -322,5 +331,10 @@ def test_abuse(spark):
     held = [rows[i]["is_abusive"] == (i % 4 == 0) for i in range(320, 400)]
     assert sum(held) >= 76 and rows[900]["abuse_score"] == 0 and not rows[901]["is_abusive"]
     assert rates(scored).count() == 4
+    assert all(x["calibrated"] for x in rows.values())
+    few = score_documents(d, y.where("doc_id < 120")).collect()  # 30 labels of 1: scores, but no flags
+    assert all(not x["is_abusive"] and not x["calibrated"] and x["abuse_score"] is not None for x in few)
+    noise = y.where("toxic is not null").withColumn("toxic", (F.xxhash64("doc_id") % 4 == 0).cast("int"))
+    assert not any(x["is_abusive"] for x in score_documents(d, noise).collect())
     none = score_documents(d, y.where("toxic = 0")).collect()
     assert all(x["abuse_score"] is None and not x["is_abusive"] for x in none)
