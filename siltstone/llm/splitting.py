@@ -104,8 +104,9 @@ def split_texts(
     begin = np.where(has, np.maximum(line_head[last_over], last_over - (overlap_chars - 1)), begin)
     if overlap_chars <= 0:
         begin = np.where(over, idx + 1, begin)
-    # Shrink it only as far as the next unit needs room.
+    # A cut whose whole overlap leaves room for the next unit is preferred; else it shrinks as far as that needs room.
     nxt = np.minimum(idx + 1, n - 1)
+    whole = (ge[nxt] - gs[np.minimum(begin, idx)] <= max_bytes) & (gl[nxt] - gl[np.minimum(begin, idx)] < max_lines)
     begin = np.maximum(begin, np.searchsorted(gs, ge[nxt] - max_bytes, "left"))
     begin = np.maximum(begin, np.searchsorted(gl, gl[nxt] - (max_lines - 1), "left"))
     begin = np.minimum(begin, np.minimum(idx + 1, tail))
@@ -121,10 +122,13 @@ def split_texts(
     low = np.maximum(ended + 1, ended + 1 + (far - ended) // 2)
     grows = np.searchsorted(begin + own * 0, begin_of, "right")
     low = np.minimum(np.maximum(low, np.minimum(grows, far)), far)
+    soonest = np.minimum(np.maximum(ended + 1, grows), far)
     to = np.full(len(far), -1)
-    for level in (4, 3, 2, 1, 0):
-        last = np.maximum.accumulate(np.where(strength == level, idx, -1))[far]
-        to = np.where((to < 0) & (last >= low), last, to)
+    latest = lambda ok: np.maximum.accumulate(np.where(ok, idx, -1))[far]
+    choices = [(whole & (strength == level), low) for level in (4, 3, 2, 1, 0)] + [(whole, soonest)] + [(strength == level, low) for level in (4, 3, 2, 1, 0)]
+    for ok, least in choices:
+        last = latest(ok)
+        to = np.where((to < 0) & (last >= least), last, to)
     to = np.where(far == stop, stop, to)
     succ = to + 1 + node_own  # node of unit `to`
     at_end = ended == stop
@@ -172,8 +176,8 @@ def split_oversized(
     """One row per piece: all columns of ``df`` and a struct ``piece`` (piece_no, content, start_line, end_line, char_start, char_end) and ``n_pieces``.
 
     A piece has at most ``max_lines`` lines and ``max_bytes`` UTF-8 bytes and starts with the last ``overlap_lines`` lines of
-    the one before (of an overlong line, its last ``overlap_chars`` characters); the overlap is shorter only where the next
-    line would not fit beside it. Row within both limits, null and empty contents: one piece, the content as it is. A null
+    the one before (of an overlong line, its last ``overlap_chars`` characters); the overlap is shorter only where no cut
+    leaves room for the next line beside all of it. Row within both limits, null and empty contents: one piece, the content as it is. A null
     or non-positive start line counts as 1. Names already taken get a leading underscore. Repeated rows are split alike.
     """
     if overlap_lines >= max_lines or overlap_chars * 4 >= max_bytes:

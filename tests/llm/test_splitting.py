@@ -55,6 +55,18 @@ def test_overlap_and_boundaries():
     assert split_texts([code])[0][0][3] == 92  # before the second function
 
 
+def test_a_cut_with_the_whole_overlap_is_preferred():
+    r = random.Random(9)
+    for _ in range(60):
+        text = "\n".join("w" * r.choice([0, r.randint(100, 500)]) for _ in range(200))
+        size = [len(x) for x in text.split("\n")]
+        room = lambda a, b: sum(size[a : b + 1]) + b - a
+        cuts = split_texts([text])[0]
+        for p, q in zip(cuts, cuts[1:]):
+            if p[3] - q[2] + 1 < 20:  # only where no cut leaves room for the next line beside 20 lines
+                assert not [u for u in range(p[2] + 20, 199) if room(p[2], u) <= 4000 and u - p[2] < 120 and room(u - 19, u + 1) <= 4000]
+
+
 def test_frame(spark):
     big = "\n".join("x" for _ in range(121))
     rows = [("a", big, None, 1), ("a", big, None, 1), ("b", None, 5, 2), ("c", "", 7, 3), ("d", "one\ntwo", 9, 4), ("e", "y" * 5000, -1, 5)]
