@@ -10,6 +10,13 @@ Reference distances alone don't enumerate pairs in less than quadratic time, so
 block, the references are the permutations' minimal shingles, and two texts meet in a block when their distance to its
 nearest references vanishes, i.e. when all minima of the block agree. With 24 blocks of 4 a pair at a similarity of 0.7
 meets with a probability of 99.9 %, at 0.75 of 99.99 %.
+
+A block that more than ``CROWD`` different texts share (a common preamble) is split: its texts are parted by size into
+geometric cells, since sizes of a linked pair differ by no more than the factor t, and each cell is salted into parts of at
+most ``CROWD`` texts. Two parts of one cell or of neighbouring cells are one unit of work of a bounded size. In a unit the
+table's further references count: they split the shingle space into 1,024 classes, a text's coordinate is whether it holds an
+odd number of a class, and each shingle in which two texts differ turns one coordinate, so that pairs with more different
+coordinates than the bound are discarded without loss there too.
 """
 
 from __future__ import annotations
@@ -23,12 +30,13 @@ from siltstone.llm.words import WordHashes, mix, shingle_set
 from siltstone.runtime import materialise
 
 BLOCKS, PER_BLOCK, REFERENCES = 24, 4, 16
+CROWD, CLASSES = 1024, 1024
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, BLOCKS * PER_BLOCK, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, BLOCKS * PER_BLOCK, dtype=np.uint64)
 _SALT = _RNG.integers(0, 2**63, BLOCKS, dtype=np.uint64)
 _HALF = 32768
-TABLE = "struct<k1:bigint,k2:bigint,n:int,blocks:array<bigint>,d0:bigint,d1:bigint,d2:bigint,d3:bigint>"
+TABLE = "struct<k1:bigint,k2:bigint,n:int,blocks:array<bigint>,d0:bigint,d1:bigint,d2:bigint,d3:bigint,odd:binary>"
 
 
 def _coordinates(s: np.ndarray) -> tuple[int, int, int, int]:
@@ -54,7 +62,12 @@ def table_row(text: str | None, known: WordHashes, width: int):
         acc = mix(acc + b[:, j])
     k1, k2 = (int(x) for x in np.array([np.bitwise_xor.reduce(mix(s)), mix(s + np.uint64(7)).sum(dtype=np.uint64)], np.uint64).astype(np.int64))
     d = _coordinates(s)
-    return {"k1": k1, "k2": k2, "n": len(s), "blocks": acc.astype(np.int64), "d0": d[0], "d1": d[1], "d2": d[2], "d3": d[3]}
+    return {"k1": k1, "k2": k2, "n": len(s), "blocks": acc.astype(np.int64), "d0": d[0], "d1": d[1], "d2": d[2], "d3": d[3], "odd": _odd(s)}
+
+
+def _odd(s: np.ndarray) -> bytes:
+    """One bit for each class of shingles: whether the set holds an odd number of it."""
+    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) & (CLASSES - 1), minlength=CLASSES).astype(np.uint8) & 1).tobytes()
 
 
 def _far(a: str, b: str) -> Column:
@@ -63,6 +76,49 @@ def _far(a: str, b: str) -> Column:
     return F.greatest(*(F.abs(at(a, i) - at(b, i)) for i in range(REFERENCES)))
 
 
+def _crowded(rows: DataFrame, odd: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """Pairs a, b under crowded blocks (rep, n, block), in units of at most two parts of about ``crowd`` texts."""
+    # A size is linked to sizes down to threshold times its own, so to the same cell or the one below.
+    cell = F.floor(F.log(F.col("n").cast("double")) / float(1e-6 - np.log(threshold))).cast("int") if threshold < 1 else F.col("n")
+    rows = rows.withColumn("cell", cell)
+    parts = rows.groupBy("block", "cell").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("parts"))
+    below = parts.select("block", (F.col("cell") + 1).alias("cell"), F.col("parts").alias("below"))
+    above = parts.select("block", (F.col("cell") - 1).alias("cell"), F.col("parts").alias("above"))
+    rows = rows.join(parts, ["block", "cell"]).join(below, ["block", "cell"], "left").join(above, ["block", "cell"], "left")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "block"), F.col("parts")).cast("int"))
+    # A unit: cell and part of the one side, cell and part of the other, the greater first; a text goes to all units of its part.
+    unit = lambda c1, p1, c2, p2, side: F.struct(c1.alias("c1"), p1.alias("p1"), c2.alias("c2"), p2.alias("p2"), side.alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    c, own = F.col("cell"), F.col("own")
+    same = F.transform(upto(F.col("parts")), lambda p: unit(c, F.greatest(own, p), c, F.least(own, p), (own < p).cast("int")))
+    down = F.transform(upto(F.coalesce("below", F.lit(0))), lambda p: unit(c, own, c - 1, p, F.lit(0)))
+    up = F.transform(upto(F.coalesce("above", F.lit(0))), lambda p: unit(c + 1, p, c, own, F.lit(1)))
+    units = rows.select("rep", "n", "block", F.inline(F.concat(same, down, up))).join(odd, "rep")
+    share = (1 - threshold) / (1 + threshold)
+    kind = dict(rows.dtypes)["rep"]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, bits = pdf["c1"].iloc[0] == pdf["c2"].iloc[0] and pdf["p1"].iloc[0] == pdf["p2"].iloc[0], np.stack([np.frombuffer(x, np.uint64) for x in pdf["odd"]])
+        n, rep, side = pdf["n"].to_numpy(np.int64), pdf["rep"].to_numpy(), pdf["side"].to_numpy()
+        left, right = (np.arange(len(n)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        out_a, out_b = [], []
+        for at in range(0, len(left), 128):
+            i = left[at : at + 128]
+            apart = np.zeros((len(i), len(right)), np.int64)
+            for k in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[i, k][:, None] ^ bits[right, k][None, :])
+            x, y = np.nonzero(apart <= (n[i][:, None] + n[right][None, :]) * share + 1e-9)
+            out_a.append(rep[i[x]])
+            out_b.append(rep[right[y]])
+        a, b = (np.concatenate(o) if o else np.empty(0, rep.dtype) for o in (out_a, out_b))
+        ok = a < b if one else a != b
+        a, b = a[ok], b[ok]
+        turn = a > b
+        return pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b)})
+
+    return units.groupBy("block", "c1", "p1", "c2", "p2").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 class NearDuplicates:
     """Classes of equal shingle sets and the links between them.
 
@@ -70,25 +126,29 @@ class NearDuplicates:
     Texts that are null, blank or too short for a shingle take no part. Rows repeated under one id count once.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, threshold: float, width: int):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, threshold: float, width: int, crowd: int = CROWD):
         texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
         @F.pandas_udf(TABLE)
         def rows(text: pd.Series) -> pd.DataFrame:
             known = WordHashes()
-            empty = dict.fromkeys(("k1", "k2", "n", "blocks", "d0", "d1", "d2", "d3"))
+            empty = dict.fromkeys(("k1", "k2", "n", "blocks", "d0", "d1", "d2", "d3", "odd"))
             return pd.DataFrame([table_row(t, known, width) or empty for t in text], dtype=object)
 
         base = materialise(texts.select("doc_id", rows.asNondeterministic()("text").alias("t")).select("doc_id", "t.*").where("n is not null"))
-        reps = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("blocks").alias("blocks"), *(F.first(f"d{i}").alias(f"d{i}") for i in range(4)))
+        reps = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "blocks", "d0", "d1", "d2", "d3", "odd")))
         self.classes = base.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "k1", "k2", "rep").distinct()
         met = reps.select("rep", "n", "d0", "d1", "d2", "d3", F.explode("blocks").alias("block"))
         # Most blocks hold one text; they leave before the join.
-        shared = met.groupBy("block").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("block")
-        met = materialise(met.join(shared, "block", "left_semi"))
+        sizes = met.groupBy("block").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        met = materialise(met.join(sizes, "block"))
+        few, many = met.where(F.col("c") <= crowd), met.where(F.col("c") > crowd)
         bound = (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-9
-        pairs = met.alias("a").join(met.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep")) & (_far("a", "b") <= bound))
-        pairs = materialise(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
+        pairs = few.alias("a").join(few.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep")) & (_far("a", "b") <= bound))
+        pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+        if not many.isEmpty():
+            pairs = pairs.unionByName(_crowded(many.select("rep", "n", "block"), reps.select("rep", "odd"), threshold, crowd))
+        pairs = materialise(pairs.distinct())
 
         @F.pandas_udf("array<bigint>")
         def full(text: pd.Series) -> pd.Series:
@@ -117,8 +177,11 @@ class NearDuplicates:
         return linked.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "content", *, threshold: float = 0.8, width: int = 5) -> NearDuplicates:
-    """Groups of texts whose sets of ``width`` neighbouring words overlap by at least ``threshold`` of their union."""
+def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "content", *, threshold: float = 0.8, width: int = 5, crowd: int = CROWD) -> NearDuplicates:
+    """Groups of texts whose sets of ``width`` neighbouring words overlap by at least ``threshold`` of their union.
+
+    Blocks of more than ``crowd`` different texts are compared in bounded units; the links are the same for any ``crowd``.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    return NearDuplicates(df, id_col, text_col, threshold, width)
+    return NearDuplicates(df, id_col, text_col, threshold, width, crowd)

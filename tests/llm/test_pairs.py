@@ -148,3 +148,34 @@ def test_a_hot_group_loses_no_link(spark):
     rows = [(i, " ".join(words[:30] + [f"edit{i}"] + words[30:])) for i in range(40)]
     got = near_duplicates(spark.createDataFrame(rows, "id int, content string"), threshold=0.7, width=3).pairs()
     assert got.count() == 40 * 39 // 2
+
+
+def test_crowded_blocks_give_the_same_links(spark):
+    """Texts of many lengths that all begin alike: their blocks are crowded, and few of them are linked."""
+    r = random.Random(8)
+    head = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        tail = [f"t{r.randint(0, 9999)}" for _ in range(r.choice([3, 10, 25, 60]))]
+        rows.append((2 * i, " ".join(head + tail)))
+        tail[r.randrange(len(tail))] = "edit"
+        rows.append((2 * i + 1, " ".join(head + tail)))
+    df = spark.createDataFrame(rows, "id int, content string")
+    for t, w in ((0.7, 3), (0.8, 5)):
+        links = lambda crowd: {(p["id_a"], p["id_b"]) for p in near_duplicates(df, threshold=t, width=w, crowd=crowd).pairs().collect()}
+        whole, split = links(10**9), links(20)
+        assert whole == split == {(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y, w) >= t}
+
+
+def test_a_block_of_twenty_thousand_texts(spark):
+    """No task does more than a few times the middle one's work, and no link is lost."""
+    from siltstone.llm import neardup
+
+    r = np.random.default_rng(5)
+    n = 20_000
+    sets = [np.unique(r.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(n // 2)]
+    sets += [np.append(s[:-1], np.uint64(7 + i)) for i, s in enumerate(sets)]  # one shingle of about 60 differs
+    rows = spark.createDataFrame([(i, len(s), 1) for i, s in enumerate(sets)], "rep bigint, n int, block bigint")
+    odd = spark.createDataFrame([(i, neardup._odd(s)) for i, s in enumerate(sets)], "rep bigint, odd binary")
+    got = {(x["a"], x["b"]) for x in neardup._crowded(rows, odd, 0.7, neardup.CROWD).collect()}
+    assert got >= {(i, i + n // 2) for i in range(n // 2)} and len(got) < n
