@@ -50,6 +50,15 @@ _LEX = re.compile(
     r"|(?P<q>[\"'`])"
     r"|(?P<word>[^\s\"'`,;()\[\]{}<>|=:]+(?:={1,2}(?=[\s\"'`]|$))?)"
 )
+#: Options of command lines whose value is a password, written to a flag or behind it; programs and flags are fixed values.
+_ARGUMENT = r"(?!\$|-)[^\s'\"`|;<>]+"
+_OPTION = re.compile(
+    rf"\b(?:(?:mysql|mariadb)[\w-]*\s(?:[^|;&\r\n]*?\s)?(?P<f1>-p)(?P<v1>{_ARGUMENT})|curl\s(?:[^|;&\r\n]*?\s)?(?P<f2>-u|--user|-U|--proxy-user)[ =]?['\"]?[\w.@+-]+:(?P<v2>{_ARGUMENT})"
+    rf"|redis-cli\s(?:[^|;&\r\n]*?\s)?(?P<f3>-a)\s+['\"]?(?P<v3>{_ARGUMENT})|ldap[a-z]+\s(?:[^|;&\r\n]*?\s)?(?P<f4>-w)\s+['\"]?(?P<v4>{_ARGUMENT}))"
+)
+_PROGRAMS = ("mysql", "mariadb", "curl", "redis-cli", "ldap")
+#: A connection string: names and values, parted by semicolons or ampersands.
+_PAIRS = re.compile(r"[A-Za-z_][\w.\-]*=[^;]*(?:;[A-Za-z_][\w.\-]*=[^;]*)+;?|[A-Za-z_][\w.\-]*=[^&;]*(?:&[A-Za-z_][\w.\-]*=[^&;]*)+")
 _VALUE = re.compile(r"[^\s\"'`,;()\[\]{}<>]+")
 _TRAIL = re.compile(r"[.,;:]+$")
 _PLACE = re.compile(
@@ -181,7 +190,14 @@ def lex(line: str) -> list[Token]:
     """Lexical tokens of one line; the value of an unquoted assignment is one token."""
     out: list[Token] = []
     i, n = 0, len(line)
+    options = {m.start(f"f{m.lastgroup[1]}"): m for m in _OPTION.finditer(line)} if any(p in line for p in _PROGRAMS) else {}
     while i < n:
+        if i in options:
+            m, k = options[i], options[i].lastgroup[1]
+            a, b = m.span(f"v{k}")
+            out += [Token("key", "password", i, m.end(f"f{k}")), Token("op", "=", a, a), Token("val", line[a:b], a, b)]
+            i = b
+            continue
         if line[i].isspace():
             i += 1
             continue
@@ -224,6 +240,18 @@ def lex(line: str) -> list[Token]:
                         out.append(Token(k, m.group(g), m.start(g), m.end(g)))
                 i = m.end()
                 continue
+            if kind == "str" and "=" in text and "://" not in text and _PAIRS.fullmatch(text):
+                by = ";" if ";" in text else "&"
+                for part in text.split(by):
+                    name, eq, value = part.partition("=")
+                    if eq:
+                        at = i + len(name)
+                        out += [Token("key", name, i, at), Token("op", "=", at, at + 1)]
+                        if value:
+                            out.append(Token("val", value, at + 1, at + 1 + len(value)))
+                    i += len(part) + 1
+                i = end
+                continue
             if kind == "str" and (kv := re.match(r"([A-Za-z_][\w.\-]*)([=:])(?=[^\s=])", text)) and "://" not in text and not _REF.match(text) and (key_class(kv.group(1)) != "other" or shape(text[kv.end() :]) in ("vendor", "jwt", "partial")):
                 out += [Token("key", kv.group(1), i, i + kv.end(1)), Token("op", kv.group(2), i + kv.end(1), i + kv.end(2))]
                 out.append(Token("val", text[kv.end() :], i + kv.end(), end))
@@ -397,6 +425,8 @@ def gate(text: str) -> list[int]:
     squeezed = low.replace("_", "").replace("-", "").replace(".", "")
     if any(squeezed.count(w) > low.count(w) for w in _LONG):
         hits += [m.start() for m in _PARTED.finditer(low)]
+    if any(p in low for p in _PROGRAMS):
+        hits += [m.start(m.lastgroup) for m in _OPTION.finditer(text)]
     at = text.find("://")
     while at >= 0:
         end = m.start() if (m := LINE_END.search(text, at)) else len(text)

@@ -110,6 +110,17 @@ def test_credentials():
     assert eval(ok.split("=", 1)[1])["n"] == 1 and "ghp_" not in ok
 
 
+def test_spans_in_connection_strings_and_command_lines():
+    find = lambda t: [t[s.start : s.end] for s in C.find_spans(t)]
+    for line in ('"Server=db;Uid=sa;Pwd=Xk29!fjQ2;"', 'conn = "Host=h;Port=5432;Username=app;Password=Xk29!fjQ2"', "q = 'a=b&user=c&password=Xk29!fjQ2'"):
+        assert find(line) == ["Xk29!fjQ2"], line
+    assert find('"AccountName=abc;AccountKey=Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3A=;EndpointSuffix=core"') == ["Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3A="]
+    for line in ("mysql -u root -pS3cr3tX9z db", "curl -u bob:S3cr3tX9z https://x.example/y", "curl -s --user 'bob:S3cr3tX9z' https://x", "redis-cli -h x -a S3cr3tX9z ping", "ldapsearch -D cn=admin -w S3cr3tX9z", "mysqldump --password=S3cr3tX9z -h x db"):
+        assert find(line) == ["S3cr3tX9z"], line
+    for line in ("mysql -p$PW db", 'mysql -p "${DB_PASS}"', "mkdir -p /tmp/a1B2c3/x", "ssh -p 2222 a@b", "psql -p 5432 -U bob", "cp -pR a b", "curl -u $USER:$PASS https://x", "curl -o a1B2c3 https://x:80/y"):
+        assert find(line) == [], line
+
+
 def test_private_keys_that_are_long_or_cut_off():
     r = random.Random(3)
     body = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64)) for _ in range(600)]
