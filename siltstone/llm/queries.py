@@ -173,8 +173,7 @@ def _micros(column: str) -> str:
   WHEN regexp_matches(trim({column}), '{_ISO}') THEN epoch_us(try_cast(trim({column}) AS TIMESTAMPTZ)) END"""
 
 
-ORACLES: dict[str, str] = {
-    "p4_found": rf"""
+_TURNS = rf"""
 WITH r AS (SELECT nullif(regexp_replace(conversation_id, '^\s+|\s+$', '', 'g'), '') AS c, nullif(regexp_replace(message_id, '^\s+|\s+$', '', 'g'), '') AS m, content, {_micros('created_at')} AS t, {_micros('updated_at')} AS u,
   CASE WHEN lower(trim(role)) IN ('user', 'human', 'customer', 'client', 'end_user', 'end-user', 'enduser', 'visitor') THEN 'user'
        WHEN lower(trim(role)) IN ('assistant', 'ai', 'bot', 'model', 'agent', 'chatbot', 'gpt', 'llm') THEN 'assistant'
@@ -184,9 +183,22 @@ l AS (SELECT * FROM r WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION B
 g AS (SELECT * FROM l WHERE c NOT IN (SELECT c FROM l WHERE m IS NULL OR s IS NULL OR t IS NULL) AND trim(coalesce(content, ''), E' \t\r\n') <> ''),
 n AS (SELECT *, row_number() OVER w AS turn FROM g WINDOW w AS (PARTITION BY c ORDER BY t, m)),
 h AS (SELECT c, arg_min(s, turn) AS head FROM n WHERE s <> 'system' GROUP BY c),
-a AS (SELECT c, s, lead(s) OVER (PARTITION BY c ORDER BY turn) AS nxt FROM n WHERE s IN ('user', 'assistant'))
-SELECT c AS conversation_id, turn::INT AS turn_no, m AS message_id FROM n
-WHERE c IN (SELECT c FROM h WHERE head = 'user') AND c NOT IN (SELECT c FROM a WHERE s = 'user' AND coalesce(nxt, '') <> 'assistant')""",
+a AS (SELECT c, s, lead(s) OVER (PARTITION BY c ORDER BY turn) AS nxt FROM n WHERE s IN ('user', 'assistant'))"""
+_KEPT = """
+WHERE c IN (SELECT c FROM h WHERE head = 'user') AND c NOT IN (SELECT c FROM a WHERE s = 'user' AND coalesce(nxt, '') <> 'assistant')"""
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"{_TURNS} SELECT c AS conversation_id, turn::INT AS turn_no, m AS message_id FROM n {_KEPT}",
+    "p4_turns": f"{_TURNS} SELECT c AS conversation_id, turn::INT AS turn_no, m AS message_id, s AS speaker, content, t AS at FROM n {_KEPT}",
+    "p5_groups": r"""
+WITH w AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL),
+g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+k AS (SELECT id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS k FROM g GROUP BY id),
+r AS (SELECT id, n, min(id) OVER (PARTITION BY k) AS rep FROM k),
+h AS (SELECT g.* FROM g JOIN r USING (id) WHERE id = rep),
+c AS (SELECT a.id, b.id AS other, count(*) AS c FROM h a JOIN h b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
+l AS (SELECT c.id, count(*) AS links FROM c JOIN r x ON x.id = c.id JOIN r y ON y.id = c.other WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9 GROUP BY 1)
+SELECT r.id AS doc_id, r.rep AS class_id, coalesce(l.links, 0) AS n_links FROM r LEFT JOIN l ON l.id = r.rep""",
     "p9_found": r"""
 WITH z AS (SELECT '[\x{00AD}\x{034F}\x{061C}\x{180E}\x{FEFF}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}]' AS p),
 c AS (SELECT id AS case_id, regexp_extract_all(lower(regexp_replace(t, p, '', 'g')), '[\p{L}\p{N}]+') AS w FROM (SELECT id, unnest([problem_statement, query]) AS t FROM eval_cases), z WHERE t IS NOT NULL),
