@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 import secrets
 import time
@@ -15,10 +16,11 @@ from siltstone.functions.text import language_of
 from siltstone.functions.vectors import embed_query
 from siltstone.operators import domain, evaluation, indexing, markdown, search, sessions
 from siltstone.operators.chunking import node_chunks
-from siltstone.runtime import importable, materialise
+from siltstone.runtime import absolute, importable, materialise
 from siltstone.sources import store
 from siltstone.sources.config import Config
-from siltstone.sources.files import read_markdown, scan_files
+from siltstone.sources.embedders import make_embedder
+from siltstone.sources.files import read_files, read_markdown, scan_files
 from siltstone.sources.records import checked_cases, memory_type, read_cases, read_memory
 
 SESSION_ID = re.compile(r"[A-Za-z0-9_-]{1,128}")
@@ -29,24 +31,48 @@ class NotIndexed(ValueError):
 
 
 class Engine:
-    """One root folder: chunk rows, catalog, snapshots, file states, sessions."""
+    """One root folder, on any file system Spark knows: chunk rows, catalog, snapshots, file states, sessions.
 
-    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), embed=None):
+    Texts and queries are embedded by the configured provider, or by ``embed`` (a function of a Column and a dimension) named
+    ``model``. A root remembers whose vectors it holds and takes no others.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), embed=None, model: str = "custom"):
         importable(spark)
         self.spark, self.config = spark, config
-        self.root = os.path.abspath(os.path.expanduser(root))
-        self.chunks = store.ChunkStore(spark, self.root)
+        self.root = absolute(root)
+        self._hashed = embed is None and config.provider == "hash"
+        if embed is None:
+            embed, model = make_embedder(config.provider, dim=config.dim, base_url=config.base_url, key=os.environ.get("SILTSTONE_API_KEY", ""), model=config.model)
+        self._embed, self.model = embed, model
+        self.chunks = store.ChunkStore(spark, self.root, config.dim if self._hashed else None)
         self.catalog, self.snapshots = store.Catalog(spark, self.root), store.snapshots(spark, self.root)
-        self.states, self.sessions = store.file_states(spark, self.root), store.sessions(spark, self.root)
-        self._embed = embed or indexing.hash_embedding
+        self.states, self.sessions = store.FileStates(spark, self.root), store.sessions(spark, self.root)
+        self.meta = store.index_meta(spark, self.root)
+
+    def _query_vectors(self, queries: list[str]) -> list[list[float]]:
+        """Vectors of queries, from where those of the texts come."""
+        if self._hashed:
+            return [embed_query(q, self.config.dim) for q in queries]
+        rows = self.spark.createDataFrame(list(enumerate(queries)), "i int, q string").coalesce(1)
+        return [list(map(float, r["v"])) for r in sorted(rows.select("i", self._embed(F.col("q"), self.config.dim).alias("v")).collect())]
+
+    def _check_model(self) -> None:
+        """The first write names the model and its dimension; another is an error."""
+        known = self.meta.read().first()
+        mine = (self.model, self.config.dim if self._hashed else len(self._query_vectors(["dimension"])[0]))
+        if known is None:
+            self.meta.upsert(self.spark.createDataFrame([mine], "model string, dim int"))
+        elif (known["model"], known["dim"]) != mine:
+            raise ValueError(f"{self.root} holds vectors of {known['model']} with {known['dim']} numbers, not of {mine[0]} with {mine[1]}")
 
     # Indexing
 
     def namespace(self, path: str) -> str:
-        return self.spark.range(1).select(ids.code_namespace(F.lit(os.path.abspath(path))).alias("n")).first()["n"]
+        return self.spark.range(1).select(ids.code_namespace(F.lit(absolute(path))).alias("n")).first()["n"]
 
     def _report(self, path: str, namespace: str, status: str, files: int = 0, chunks: int = 0, error: str = "") -> None:
-        row = [(os.path.abspath(path), namespace, status, files, chunks, error)]
+        row = [(absolute(path), namespace, status, files, chunks, error)]
         rows = self.spark.createDataFrame(row, "path string, namespace string, status string, indexed_files int, total_chunks int, error_message string").withColumn("updated_at", F.current_timestamp())
         self.snapshots.upsert(rows)
 
@@ -60,25 +86,36 @@ class Engine:
         whole = last is None or last["status"] != "indexed"
         self._report(path, namespace, "indexing")
         try:
-            found = materialise(scan_files(self.spark, os.path.abspath(path), extensions=self.config.extensions, names=self.config.ignored_names, patterns=self.config.ignored_patterns))
-            old = self.states.read().where((F.col("namespace") == namespace) & ~F.lit(whole))
+            self._check_model()
+            root, rules = absolute(path), {"extensions": self.config.extensions, "names": self.config.ignored_names, "patterns": self.config.ignored_patterns}
+            old = self.states.read(namespace)
+            old = materialise(old.limit(0) if whole else old)
+            listing = materialise(scan_files(self.spark, root, content=False, **rules))
+            # Files of the size and time seen before keep their hash and aren't read.
+            fresh = indexing.diff_files(old, listing.withColumn("hash", F.lit(None).cast("string"))).where(F.col("change").isin("added", "modified"))
+            if whole:
+                read = scan_files(self.spark, root, **rules).select("absolute_path", "relative_path", "extension", "content", "hash")
+            else:
+                read = read_files(self.spark, root, listing.join(fresh.select("relative_path"), "relative_path", "left_semi").select("absolute_path", "relative_path", "extension"), **rules)
+            read = materialise(read)
+            kept = listing.join(fresh.select("relative_path"), "relative_path", "left_anti").join(old.select("relative_path", "hash"), "relative_path")
+            found = kept.select("relative_path", "hash", "size", "mod_time_ns").unionByName(listing.join(read.select("relative_path", "hash"), "relative_path").select("relative_path", "hash", "size", "mod_time_ns"))
+            found = materialise(found)
             changes = materialise(indexing.diff_files(old, found))
             stats = indexing.stats(changes).first().asDict()
             todo = changes.where(F.col("change").isin("added", "modified")).select("relative_path")
             options = indexing.ChunkOptions(self.config.max_lines, self.config.overlap)
-            new = indexing.chunk_rows(found.join(todo, "relative_path", "left_semi"), F.lit(namespace), dim=self.config.dim, options=options, embed=self._embed)
+            new = indexing.chunk_rows(read.join(todo, "relative_path", "left_semi"), F.lit(namespace), dim=self.config.dim, options=options, embed=self._embed)
             if whole:
-                self.chunks.clear(namespace)
-                self.chunks.put(new)
+                self.chunks.put(new, namespace)
             elif stats["added"] + stats["modified"] + stats["removed"]:
                 self.chunks.replace_files(namespace, changes.where(F.col("change").isin("added", "modified", "removed")), new)
-            states = found.select(F.lit(namespace).alias("namespace"), "relative_path", "hash", "size", "mod_time_ns")
-            self.states.write(self.states.read().where(F.col("namespace") != namespace).unionByName(states))
+            self.states.write(namespace, found)
             total = self.chunks.count(namespace)
             self._report(path, namespace, "indexed", stats["files"], total)
             return stats | {"chunks": total, "full": whole}
         except Exception as e:
-            self.states.delete(F.col("namespace") == namespace)  # the next run is a full one
+            self.states.delete(namespace)  # the next run is a full one
             self._report(path, namespace, "failed", error=str(e)[:512])
             raise
 
@@ -86,44 +123,50 @@ class Engine:
         """Re-indexes one indexed path, or all of them in order; the first error ends it."""
         known = [r for r in self.snapshots.read().orderBy("path", "namespace").collect() if r["path"] and r["status"] != "indexing"]
         if path is not None:
-            known = [r for r in known if r["path"] == os.path.abspath(path)]
+            known = [r for r in known if r["path"] == absolute(path)]
             if not known:
                 raise NotIndexed(f"{path} is not indexed")
         return {r["path"]: self.index(r["path"]) for r in known}
 
     def status(self, path: str) -> dict:
         row = self._last(self.namespace(path))
-        return row.asDict() if row else {"path": os.path.abspath(path), "status": "not_indexed"}
+        return row.asDict() if row else {"path": absolute(path), "status": "not_indexed"}
 
     def clear(self, path: str) -> None:
         namespace = self.namespace(path)
         self.chunks.clear(namespace)
-        self.states.delete(F.col("namespace") == namespace)
+        self.states.delete(namespace)
         self.snapshots.delete(F.col("namespace") == namespace)
 
     # Imports
 
     def _register(self, scope: tuple[str, str], source: tuple[str, str], rows: DataFrame, column: str) -> str:
-        namespace = rows.select("namespace").first()
-        self.chunks.put(rows)
-        total = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(ids.checksum_part(F.col("id"), F.col("relative_path"), F.col("content")))).alias("x")).first()
-        counts = {c: F.lit(total["n"] if c == column else 0).cast("int") for c in ("document_count", "memory_count", "knowledge_count")}
+        """Replaces what the source held, by nothing if ``rows`` is empty. While it is replaced the source isn't searched."""
+        namespace = self.spark.range(1).select(self._source_namespace(scope, source).alias("n")).first()["n"]
+        self._check_model()
+        self._enter(scope, source, "indexing", 0, "", column)
+        self.chunks.put(rows, namespace)
+        total = indexing.source_checksum(rows, []).first()
+        self._enter(scope, source, "indexed", total["n_rows"], total["checksum"], column)
+        return namespace
+
+    def _enter(self, scope: tuple[str, str], source: tuple[str, str], status: str, n: int, checksum: str, column: str) -> None:
+        counts = {c: F.lit(n if c == column else 0).cast("int") for c in ("document_count", "memory_count", "knowledge_count")}
         empty = F.lit(None).cast("map<string,string>")
         entry = self.spark.range(1).select(
             F.struct(F.lit(scope[0]).alias("scope_type"), F.lit(scope[1]).alias("scope_id")).alias("scope"), F.struct(F.lit(source[0]).alias("source_type"), F.lit(source[1]).alias("source_id"), F.lit("").alias("tool_name"), empty.alias("metadata")).alias("source"),
-            F.lit(int(time.time())).cast("bigint").alias("version"), F.lit(f"xor64:{(total['x'] or 0) & (2**64 - 1):016x}").alias("checksum"), F.current_timestamp().alias("indexed_at"), F.lit("indexed").alias("status"),
+            F.lit(int(time.time())).cast("bigint").alias("version"), F.lit(checksum).alias("checksum"), F.current_timestamp().alias("indexed_at"), F.lit(status).alias("status"),
             *(v.alias(k) for k, v in counts.items()), empty.alias("metadata"),
         )
         self.catalog.put(entry)
-        return namespace["namespace"] if namespace else ""
 
     def _source_namespace(self, scope: tuple[str, str], source: tuple[str, str]):
         return ids.source_namespace(*(F.lit(x) for x in (*scope, *source)))
 
     def import_knowledge(self, path: str, source_id: str | None = None, external: bool = False) -> str:
         """Markdown files under ``path`` as one source; replaces what the source held."""
-        path = os.path.abspath(path)
-        scope, source = ("workspace", path), ("external_knowledge" if external else "document", source_id or os.path.basename(path).rsplit(".", 1)[0] or "documents")
+        path = absolute(path)
+        scope, source = ("workspace", path), ("external_knowledge" if external else "document", source_id or posixpath.basename(path).rsplit(".", 1)[0] or "documents")
         nodes = markdown.parse_markdown(read_markdown(self.spark, path).select("absolute_path", "relative_path", "extension", "content"))
         parts = node_chunks(nodes, max_lines=self.config.max_lines, overlap=self.config.overlap)
         heading = F.array_join("heading_path", " > ")
@@ -138,12 +181,12 @@ class Engine:
 
     def import_memory(self, path: str, kind: str, source_id: str | None = None) -> str:
         """Memory records of one file as one source of the given kind."""
-        path = os.path.abspath(path)
-        scope, source = ("workspace", os.path.dirname(path)), (memory_type(kind), source_id or os.path.basename(path).rsplit(".", 1)[0])
+        path = absolute(path)
+        scope, source = ("workspace", posixpath.dirname(path)), (memory_type(kind), source_id or posixpath.basename(path).rsplit(".", 1)[0])
         records = read_memory(self.spark, path)
         # Positions only tell rows without an id apart; the order of a file read as one split is its order of lines.
         records = records.withColumn("_at", F.monotonically_increasing_id().cast("string"))
-        rows = indexing.memory_rows(records, self._source_namespace(scope, source), source[0], source[1], path, dim=self.config.dim, position="_at")
+        rows = indexing.memory_rows(records, self._source_namespace(scope, source), source[0], source[1], path, dim=self.config.dim, position="_at", embed=self._embed)
         return self._register(scope, source, materialise(rows), "memory_count")
 
     def sources(self, **wanted: str | None) -> DataFrame:
@@ -163,10 +206,10 @@ class Engine:
         limit = self.config.limit if limit is None else limit
         labels, _ = search.select_types(types)
         domains = domain.domain_filters(self.spark, query)
-        vector = embed_query(query, self.config.dim)
+        vector = self._query_vectors([query])[0]
         wide = limit * search.OVERFETCH if session and limit > 0 else limit
         hits = search.search_all(self.chunks.read(), self.catalog.searchable(), query, vector, limit=wide, types=types, code_namespace=self.namespace(path) if path else None, domains=domains, weights=self.config.weights)
-        rows = [r.asDict(recursive=True) for r in search.result_rows(search.ranked(hits)).orderBy("rank").collect()]  # at most the limit
+        rows = [r.asDict(recursive=True) for r in search.result_rows(search.ranked(hits)).orderBy("rank").collect()]  # the response: at most the limit, or all where none is set
         dropped = 0
         if session:
             rows, dropped = self._remember(session, rows, limit)
@@ -195,15 +238,17 @@ class Engine:
         cases = checked_cases(read_cases(self.spark, cases_path))
         expected = evaluation.expectations(cases)
         plain = cases.select(evaluation.case_id(F.col("id"), F.col("instance_id")).alias("case_id"), evaluation.query_text(F.col("query"), F.col("problem_statement")).alias("q"), "limit", evaluation.type_list(F.col("search_types"), F.col("types"), types or "all").alias("t"))
-        results, latency = None, []
-        for c in plain.collect():  # a held-out set of cases, a response of at most ``limit`` rows each
+        answers, schema, latency = [], None, []
+        listed = plain.collect()  # a held-out set of cases, a response of at most ``limit`` rows each
+        chunks, catalog, namespace = self.chunks.read(), self.catalog.searchable(), self.namespace(path) if path else None
+        for c, vector in zip(listed, self._query_vectors([c["q"] for c in listed])):
             start = time.time()
             n = next((x for x in (limit, c["limit"] or 0, self.config.limit) if x > 0), 8)
-            hits = search.search_all(self.chunks.read(), self.catalog.searchable(), c["q"], embed_query(c["q"], self.config.dim), limit=n, types=c["t"], code_namespace=self.namespace(path) if path else None, domains=domain.domain_filters(self.spark, c["q"]), weights=self.config.weights)
+            hits = search.search_all(chunks, catalog, c["q"], vector, limit=n, types=c["t"], code_namespace=namespace, domains=domain.domain_filters(self.spark, c["q"]), weights=self.config.weights)
             rows = search.result_rows(search.ranked(hits)).withColumn("case_id", F.lit(c["case_id"]))
-            rows = self.spark.createDataFrame(rows.collect(), rows.schema)
+            answers, schema = answers + rows.collect(), rows.schema
             latency.append((c["case_id"], (time.time() - start) * 1000))
-            results = rows if results is None else results.unionByName(rows)
+        results = self.spark.createDataFrame(answers, schema)
         per_case = evaluation.evaluate(results, expected).join(self.spark.createDataFrame(latency, "case_id string, latency_ms double"), "case_id", "left")
         p95 = evaluation.nearest_rank(per_case.withColumn("_", F.lit(1)), "latency_ms", ["_"]).select(F.col("p").alias("p95_latency_ms"))
         return per_case, evaluation.summarize(per_case).crossJoin(p95)  # one row each

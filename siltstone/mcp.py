@@ -102,13 +102,12 @@ class Server:
         from pyspark.sql import functions as F
 
         from siltstone.functions.scoring import strategy_for
-        from siltstone.functions.vectors import embed_query
         from siltstone.operators import domain, search
 
         e, s = self.engine, strategy_for("codebase", self.engine.config.weights)
         domains = args.get("domainFilter") or domain.domain_filters(e.spark, args["query"])
         options = search.SearchOptions(query=args["query"], limit=args.get("limit") or e.config.limit, extensions=tuple(args.get("extensionFilter") or ()), filters={"domain_path": tuple(domains)}, semantic=s.semantic, keyword=s.keyword, profile=s.profile, fusion=s.fusion)
         namespace = e.namespace(args["path"])
-        hits = search.search_namespace(e.chunks.read([namespace]), namespace, embed_query(args["query"], e.config.dim), options)
+        hits = search.search_namespace(e.chunks.read([namespace]), namespace, e._query_vectors([args["query"]])[0], options)
         cols = ["relative_path", "start_line", "end_line", "language", "content", "score"]
         return [r.asDict() for r in hits.select(*cols, F.col("metadata")["domain_path"].alias("domain_path")).collect()]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import ids
-from siltstone.functions.text import language_of, overlay
+from siltstone.functions.text import language_of, overlay, trim_space
 from siltstone.functions.vectors import hash_embedding
 from siltstone.operators import domain
 from siltstone.operators.chunking import line_chunks, syntax_chunks
@@ -78,24 +78,24 @@ def memory_metadata(source_type: Column, source_id: Column, absolute_path: Colum
     """Metadata of an imported record: base, then the source's, then the record's entries, then its own fields; later ones win, blank fields are left out."""
     empty = F.create_map().cast("map<string,string>")
     base = F.create_map(F.lit("absolute_path"), absolute_path, F.lit("source_type"), source_type, F.lit("source_id"), source_id)
-    kind = F.coalesce(F.when(F.trim("experience_kind") != "", F.col("experience_kind")), F.when(source_type == "experience", F.lit("general")))
+    kind = F.coalesce(F.when(trim_space(F.col("experience_kind")) != "", F.col("experience_kind")), F.when(source_type == "experience", F.lit("general")))
     pairs = {
         "record_id": F.col("id"), "summary": F.col("summary"), "role": F.col("role"), "conversation_id": F.col("conversation_id"), "message_id": F.col("message_id"), "tool_name": F.col("tool_name"), "created_at": F.col("created_at"), "updated_at": F.col("updated_at"),
         "importance": F.when(F.col("importance") > 0, F.regexp_replace(F.col("importance").cast("string"), r"\.0$", "")), "tags": F.when(F.size("tags") > 0, F.array_join("tags", ",")), "domain_path": F.col("domain_path"), "experience_kind": kind,
     }
-    own = F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull() & (F.trim(v) != ""))
+    own = F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull() & (trim_space(v) != ""))
     return overlay(overlay(overlay(base, F.coalesce(source_metadata, empty)), F.coalesce(F.col("metadata"), empty)), own)
 
 
-def memory_rows(records: DataFrame, namespace: Column, source_type: str, source_id: str, absolute_path: str, *, dim: int = 256, position: str | None = None) -> DataFrame:
+def memory_rows(records: DataFrame, namespace: Column, source_type: str, source_id: str, absolute_path: str, *, dim: int = 256, position: str | None = None, embed=hash_embedding) -> DataFrame:
     """Stored rows of memory records with content; ids from the record's id, else from its position (``position`` column) and content."""
     kind, sid = F.lit(source_type), F.lit(source_id)
-    records = records.where("content is not null and trim(content) <> ''")
+    records = records.where(F.coalesce(trim_space(F.col("content")) != "", F.lit(False)))
     own = ids.stable_id("memory", namespace, kind, sid, F.col("id"))
     by_place = ids.stable_id("memory", namespace, kind, sid, F.col(position) if position else F.lit("0"), F.col("content"))
     name = F.regexp_extract(F.lit(absolute_path), r"([^/]*)$", 1)
     rows = records.select(
-        F.when(F.coalesce("id", F.lit("")) != "", own).otherwise(by_place).alias("id"), namespace.alias("namespace"), hash_embedding(F.col("content"), dim).alias("vector"), "content",
+        F.when(F.coalesce("id", F.lit("")) != "", own).otherwise(by_place).alias("id"), namespace.alias("namespace"), embed(F.col("content"), dim).alias("vector"), "content",
         F.coalesce(F.nullif("relative_path", F.lit("")), name).alias("relative_path"), F.coalesce("line", F.lit(0)).alias("start_line"), F.coalesce("line", F.lit(0)).alias("end_line"),
         F.regexp_extract(F.lit(absolute_path), r"(\.[^./]*)$", 1).alias("file_extension"), F.lit("memory").alias("language"), memory_metadata(kind, sid, F.lit(absolute_path), F.lit(None).cast("map<string,string>")).alias("metadata"),
     )
@@ -103,12 +103,16 @@ def memory_rows(records: DataFrame, namespace: Column, source_type: str, source_
 
 
 def source_checksum(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Manifest numbers per source: rows and an order-independent checksum of (id, path, content).
+    """Manifest numbers per source: rows and an order-independent checksum of (id, path, content), text.
 
-    An ordered hash over all rows would gather a whole source in one task; the exclusive-or of row hashes is a two-phase aggregate.
+    An ordered hash over all rows would gather a whole source in one task. Number, sum and exclusive-or of the row hashes are a
+    two-phase aggregate; the sum tells repeated rows, which cancel in the exclusive-or.
     """
-    part = F.xxhash64(ids.checksum_part(F.col("id"), F.col("relative_path"), F.col("content")))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(part).alias("checksum"))
+    part = ids.checksum_part(F.col("id"), F.col("relative_path"), F.col("content"))
+    first, second = F.xxhash64(part), F.xxhash64(part, F.lit("2"))
+    n, x, s = F.count(F.lit(1)), F.bit_xor(first), F.sum(second.cast("decimal(38,0)"))
+    text = F.concat_ws("-", n.cast("string"), F.coalesce(x, F.lit(0)).cast("string"), F.coalesce(s, F.lit(0)).cast("string"))
+    return rows.groupBy(*by).agg(n.alias("n_rows"), F.concat(F.lit("mix:"), F.sha2(text, 256)).alias("checksum"))
 
 
 def ordered_checksum(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -28,7 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the session names in ``spark.checkpoint.dir``.
 
-    Only a session that names none, as in tests on one machine, gets a temporary folder of its own.
+    Only a session on one machine that names none, as in tests, gets a temporary folder of its own; on a cluster executors
+    would each write to a disk of their own, so there a missing folder is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -36,12 +38,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="siltstone-checkpoint-")
         atexit.register(shutil.rmtree, named, True)
     sc.setCheckpointDir(named)
     return named
 
 
+def absolute(path: str) -> str:
+    """A path with a scheme as it is, without a slash at its end; any other as an absolute one of this machine."""
+    return path.rstrip("/") if re.match(r"[A-Za-z][A-Za-z0-9+.\-]+:/", path) else os.path.abspath(os.path.expanduser(path))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, read by several branches, survives the loss of an executor."""
     checkpoint_dir(df.sparkSession)

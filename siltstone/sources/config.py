@@ -16,6 +16,8 @@ PREFIX = "SILTSTONE_"
 class Config:
     root: str = "~/.siltstone"
     provider: str = "hash"
+    base_url: str = ""
+    model: str = ""
     dim: int = 1024
     max_lines: int = 120
     overlap: int = 20
@@ -92,5 +94,5 @@ def write_default(path: str, force: bool = False) -> None:
         raise FileExistsError(path)
     p.parent.mkdir(parents=True, exist_ok=True)
     c = Config()
-    p.write_text(f"provider: {c.provider}\ndim: {c.dim}\nmax_lines: {c.max_lines}\noverlap: {c.overlap}\nlimit: {c.limit}\n")
+    p.write_text(f"provider: {c.provider}\nbase_url: {c.base_url!r}\nmodel: {c.model!r}\ndim: {c.dim}\nmax_lines: {c.max_lines}\noverlap: {c.overlap}\nlimit: {c.limit}\n")
     p.chmod(0o600)

@@ -106,7 +106,10 @@ def ollama_client(base_url: str, model: str, timeout: float = 120) -> Callable[[
 
 
 def make_embedder(provider: str, *, dim: int = 1024, base_url: str = "", key: str = "", model: str = "") -> tuple[Callable[..., Column], str]:
-    """The Column function of a provider and the model's name: hash, openai, openai-compatible or ollama."""
+    """The Column function of a provider and the model's name: hash, openai, openai-compatible or ollama.
+
+    Hash vectors have ``dim`` numbers; how many a service's have is its own affair, only all must have as many.
+    """
     if provider == "hash":
         return (lambda column, d=None: hash_embedding(column, dim)), f"hash-{dim}"
     if provider in ("openai", "openai-compatible"):

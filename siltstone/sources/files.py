@@ -46,11 +46,11 @@ def pattern_regex(pattern: str) -> str | None:
 
 
 def clean_patterns(patterns) -> list[str]:
-    """Trimmed, without leading ``./``, each once, blanks dropped."""
+    """Trimmed, without leading ``./``, each once; blanks, comments and negated ones dropped."""
     out = {}
     for p in patterns:
         q = re.sub(r"^\./", "", p.strip().replace("\\", "/"))
-        if q:
+        if q and q[0] not in "#!":
             out[q] = None
     return list(out)
 
@@ -88,8 +88,7 @@ def ignore_file_patterns(spark: SparkSession, root: str) -> list[str]:
                 lines += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
             finally:
                 stream.close()
-    kept = (x.strip() for x in lines)
-    return clean_patterns(x for x in kept if x and x[0] not in "#!")
+    return clean_patterns(lines)
 
 
 def scan_files(spark: SparkSession, root: str, *, extensions=EXTENSIONS, names=IGNORED_NAMES, patterns=IGNORED_PATTERNS, content: bool = True) -> DataFrame:
@@ -107,6 +106,31 @@ def scan_files(spark: SparkSession, root: str, *, extensions=EXTENSIONS, names=I
     return files.select(*cols, F.decode("content", "UTF-8").alias("content"), file_hash(F.col("content")).alias("hash")) if content else files.select(*cols)
 
 
+#: Up to so many paths are handed to the reader by name; beyond, the whole tree is read and the rest left out.
+LISTED = 10_000
+
+
+def read_files(spark: SparkSession, root: str, wanted: DataFrame, **options) -> DataFrame:
+    """relative_path, content and hash of the files of a listing (absolute_path, relative_path); one that has vanished is left out."""
+    paths = [r["absolute_path"] for r in wanted.select("absolute_path").limit(LISTED + 1).collect()]
+    if len(paths) > LISTED:
+        return wanted.join(scan_files(spark, root, **options).select("absolute_path", "content", "hash"), "absolute_path")
+    scheme = "file:" if root.startswith("file:") else ""
+    there = [scheme + p for p in paths if _there(spark, scheme + p)]
+    if not there:
+        rows = spark.createDataFrame([], "absolute_path string, content string, hash string")
+    else:
+        names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in there]  # the reader takes names for globs
+        files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(names)
+        rows = files.select(F.regexp_replace("path", r"^file:/+", "/").alias("absolute_path"), F.decode("content", "UTF-8").alias("content"), file_hash(F.col("content")).alias("hash"))
+    return wanted.join(rows, "absolute_path")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files under ``root`` (a folder or one file), without those in skipped folders."""
     files = scan_files(spark, root, extensions=(".md", ".markdown"), names=(), patterns=()) if not re.search(r"\.(md|markdown)$", root, re.I) else None

@@ -65,32 +65,49 @@ def checked_vectors(rows: DataFrame, dim: int) -> DataFrame:
     return rows.withColumn("vector", F.when(ok, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector doesn't have {dim} numbers"))))
 
 
+#: Parts of a namespace by the hash of the path: replacing a few files rewrites only the parts they lie in.
+PARTS = 16
+
+
 class ChunkStore:
-    """Put, replace_files, read, clear, count over one table partitioned by namespace."""
+    """Put, replace_files, read, clear, count over one table partitioned by namespace and part.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files, self.path = spark, Files(spark, root), f"{root.rstrip('/')}/chunks"
+    With ``dim``, rows whose vector has another length are an error.
+    """
 
-    def read(self, namespaces: list[str] | None = None) -> DataFrame:
-        columns = CHUNKS + "".join(f", {k} string" for k in PROMOTED)
+    def __init__(self, spark: SparkSession, root: str, dim: int | None = None):
+        self.spark, self.files, self.path, self.dim = spark, Files(spark, root), f"{root.rstrip('/')}/chunks", dim
+
+    def _stored(self, namespaces: list[str] | None) -> DataFrame:
+        columns = f"{CHUNKS}, {', '.join(f'{k} string' for k in PROMOTED)}, part int"
         if not self.files.exists("chunks"):
             return self.spark.createDataFrame([], columns)
         rows = self.spark.read.schema(columns).parquet(self.path)
         return rows.where(F.col("namespace").isin(namespaces)) if namespaces is not None else rows
 
-    def put(self, rows: DataFrame) -> None:
-        """Replaces every namespace in ``rows``; others stay."""
-        promote(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(self.path)
+    def read(self, namespaces: list[str] | None = None) -> DataFrame:
+        return self._stored(namespaces).drop("part")
+
+    def _prepared(self, rows: DataFrame) -> DataFrame:
+        rows = promote(checked_vectors(rows, self.dim) if self.dim else rows)
+        return rows.withColumn("part", F.pmod(F.xxhash64("relative_path"), F.lit(PARTS)).cast("int"))
+
+    def put(self, rows: DataFrame, namespace: str) -> None:
+        """All rows of a namespace: what it held before goes, also where ``rows`` is empty."""
+        self.clear(namespace)
+        self._prepared(rows).write.mode("append").partitionBy("namespace", "part").parquet(self.path)
 
     def replace_files(self, namespace: str, paths: DataFrame, new: DataFrame) -> None:
-        old = self.read([namespace])
-        rows = replace_files(old, paths.select("relative_path").distinct(), promote(new).select(*old.columns))
-        # The partition is read and overwritten: the new state is made durable first.
-        rows = materialise(rows)
-        if rows.isEmpty():
-            self.clear(namespace)
-        else:
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(self.path)
+        """Rows of the files ``paths`` replaced by ``new``, which lie in the same files."""
+        paths = paths.select("relative_path").distinct()
+        touched = [r["part"] for r in paths.select(F.pmod(F.xxhash64("relative_path"), F.lit(PARTS)).cast("int").alias("part")).distinct().collect()]  # at most PARTS
+        old = self._stored([namespace]).where(F.col("part").isin(touched))
+        # The parts are read and overwritten: the new state is made durable first.
+        rows = materialise(replace_files(old, paths, self._prepared(new).select(*old.columns)))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "part").parquet(self.path)
+        left = {r["part"] for r in rows.select("part").distinct().collect()}
+        for part in set(touched) - left:
+            self.files.delete(f"chunks/namespace={namespace}/part={part}")
 
     def clear(self, namespace: str) -> None:
         self.files.delete(f"chunks/namespace={namespace}")
@@ -134,8 +151,27 @@ def snapshots(spark: SparkSession, root: str) -> SmallTable:
     return SmallTable(spark, root, "snapshots", SNAPSHOTS, ["namespace"])
 
 
-def file_states(spark: SparkSession, root: str) -> SmallTable:
-    return SmallTable(spark, root, "file_states", FILE_STATES, ["namespace"])
+def index_meta(spark: SparkSession, root: str) -> SmallTable:
+    return SmallTable(spark, root, "meta", "model string, dim int", ["model"])
+
+
+class FileStates:
+    """What the last run saw of each file, partitioned by namespace: a run reads and writes its own namespace's rows only."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.files, self.path = spark, Files(spark, root), f"{root.rstrip('/')}/file_states"
+
+    def read(self, namespace: str) -> DataFrame:
+        at = f"{self.path}/namespace={namespace}"
+        columns = ", ".join(c for c in FILE_STATES.split(", ") if not c.startswith("namespace "))
+        return self.spark.read.schema(columns).parquet(at) if self.files.exists(f"file_states/namespace={namespace}") else self.spark.createDataFrame([], columns)
+
+    def write(self, namespace: str, rows: DataFrame) -> None:
+        """``rows`` must not be read from the table lazily."""
+        rows.select(*self.read(namespace).columns).write.mode("overwrite").parquet(f"{self.path}/namespace={namespace}")
+
+    def delete(self, namespace: str) -> None:
+        self.files.delete(f"file_states/namespace={namespace}")
 
 
 def sessions(spark: SparkSession, root: str) -> SmallTable:

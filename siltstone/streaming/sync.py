@@ -41,15 +41,20 @@ STATE = "keys array<string>, hashes array<string>"
 def dedup_stream(hits: DataFrame, limit: int):
     """Streamed responses (session_id, rank, result_key, content_hash) without what their session returned before.
 
-    State is one row of seen keys and hashes for each session; it times out after a day without a response.
+    State is one row of seen keys and hashes for each session; it times out after a day without a response. A session's rows of
+    one micro-batch are one response, or one for each ``response_id`` where there is such a column, however the rows are
+    framed; ``limit`` holds for each response.
     """
+    parted = "response_id" in hits.columns
+
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         keys, hashes = (set(x) for x in state.get) if state.exists else (set(), set())
-        for pdf in frames:
+        whole = pd.concat(list(frames))
+        for _, pdf in whole.groupby("response_id", sort=True, dropna=False) if parted else [(None, whole)]:
             pdf = pdf.sort_values("rank", kind="stable")
             at, dropped = fold(pdf["result_key"].tolist(), pdf["content_hash"].tolist(), limit, keys, hashes)
             out = pdf.iloc[at].copy()
@@ -59,5 +64,5 @@ def dedup_stream(hits: DataFrame, limit: int):
         state.setTimeoutDuration(86_400_000)
 
     schema = "session_id string, rank int, result_key string, content_hash string, deduped_count int"
-    rows = hits.select(F.col("session_id").cast("string").alias("session_id"), "rank", "result_key", "content_hash")
+    rows = hits.select(F.col("session_id").cast("string").alias("session_id"), "rank", "result_key", "content_hash", *(["response_id"] if parted else []))
     return rows.groupBy("session_id").applyInPandasWithState(step, schema, STATE, "append", "ProcessingTimeTimeout")

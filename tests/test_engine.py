@@ -55,6 +55,88 @@ def test_index_search_sync_clear(spark, tmp_path, code):
     assert e.status(str(code))["status"] == "failed"
 
 
+def test_only_files_of_another_size_or_time_are_read(spark, tmp_path, code):
+    import os
+
+    (code / "od[d]{x}.go").write_text("package odd\n")
+    e = Engine(spark, f"file:{tmp_path}/root", Config(dim=32))
+    assert e.root == f"file:{tmp_path}/root" and e.index(str(code))["files"] == 3
+    seen = os.stat(code / "auth.go")
+    text = (code / "auth.go").read_text()
+    (code / "auth.go").write_text(text.replace("token", "tokem"))
+    os.utime(code / "auth.go", ns=(seen.st_atime_ns, seen.st_mtime_ns))  # same size and time: not read
+    (code / "sub" / "other.go").write_text("package sub\n\nfunc Paint() {}\n")
+    os.utime(code / "sub" / "other.go", ns=(1, seen.st_mtime_ns + 10**10))  # another time: read, same bytes
+    (code / "od[d]{x}.go").write_text("package even\n")
+    r = e.index(str(code))
+    assert (r["full"], r["added"], r["modified"], r["removed"], r["touched"], r["unchanged"]) == (False, 0, 1, 0, 1, 1)
+    rows = {x["relative_path"]: x["content"] for x in e.chunks.read().collect()}
+    assert "even" in rows["od[d]{x}.go"] and "tokem" not in rows["auth.go"]
+
+
+def test_states_without_size_and_time_are_filled(spark, tmp_path, code):
+    e = Engine(spark, str(tmp_path / "root"), Config(dim=32))
+    e.index(str(code))
+    n = e.namespace(str(code))
+    old = spark.createDataFrame([tuple(r) for r in e.states.read(n).withColumns({"size": F.lit(None).cast("bigint"), "mod_time_ns": F.lit(None).cast("bigint")}).collect()], "relative_path string, hash string, size bigint, mod_time_ns bigint")
+    e.states.write(n, old)
+    r = e.index(str(code))
+    assert (r["full"], r["added"], r["modified"], r["removed"]) == (False, 0, 0, 0)
+    assert all(x["size"] and x["mod_time_ns"] for x in e.states.read(n).collect())
+
+
+def test_replacing_a_file_leaves_other_parts_alone(spark, tmp_path, code):
+    for i in range(20):
+        (code / f"f{i}.go").write_text(f"package f{i}\n")
+    e = Engine(spark, str(tmp_path / "root"), Config(dim=32))
+    e.index(str(code))
+    at = tmp_path / "root" / "chunks" / f"namespace={e.namespace(str(code))}"
+    names = lambda: {p.name: sorted(f.name for f in p.glob("part-*")) for p in at.iterdir()}
+    before = names()
+    (code / "f3.go").unlink()
+    assert e.index(str(code))["removed"] == 1
+    after = names()
+    assert len(before) > 3 and sum(before[k] != after.get(k) for k in before) == 1 and e.chunks.read().where("relative_path = 'f3.go'").count() == 0
+
+
+def test_an_empty_import_replaces_what_was_there(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "root"), Config(dim=32))
+    m = tmp_path / "m.jsonl"
+    m.write_text('{"id":"1","content":"the index was slow"}\n{"id":"2","content":"the index is fast"}\n')
+    n = e.import_memory(str(m), "conversation")
+    assert e.chunks.count(n) == 2 and e.search(None, "index", types="conversation")["result_count"] == 2
+    m.write_text("")
+    assert e.import_memory(str(m), "conversation") == n and e.chunks.count(n) == 0
+    assert e.sources().first()["memory_count"] == 0 and e.search(None, "index", types="conversation")["result_count"] == 0
+
+
+def test_texts_and_queries_come_from_one_embedder(spark, tmp_path, code):
+    from siltstone.sources.embedders import embedder
+
+    def client():  # two numbers: does the text say "Paint"
+        return lambda texts: [(i, [1.0, 0.0] if "paint" in t.lower() else [0.0, 1.0]) for i, t in enumerate(texts)]
+
+    root = str(tmp_path / "root")
+    e = Engine(spark, root, Config(limit=1), embed=embedder(client), model="paint-2")
+    e.index(str(code))
+    assert e._query_vectors(["paint", "x"]) == [[1.0, 0.0], [0.0, 1.0]]
+    assert e.search(str(code), "paint", types="code")["results"][0]["location"]["relative_path"] == "sub/other.go"
+    with pytest.raises(ValueError, match="paint-2"):
+        Engine(spark, root, Config(dim=32)).index(str(code))
+    with pytest.raises(ValueError, match="key"):
+        Engine(spark, root, Config(provider="openai", base_url="http://localhost:1", model="m"))
+    with pytest.raises(ValueError, match="unsupported"):
+        Engine(spark, root, Config(provider="other"))
+
+
+def test_checksums_tell_repeated_rows(spark):
+    from siltstone.operators.indexing import source_checksum
+
+    one = spark.createDataFrame([("a", "p", "x")], "id string, relative_path string, content string")
+    sums = [source_checksum(d, []).first()["checksum"] for d in (one, one.union(one), one.union(one).union(one), one.limit(0))]
+    assert len(set(sums)) == 4
+
+
 def test_imports_and_sessions(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "root"), Config(dim=32, limit=5))
     docs = tmp_path / "docs"
@@ -151,3 +233,16 @@ def test_streams(spark, tmp_path):
     q = dedup_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "hits")), 10).writeStream.format("memory").queryName("deduped").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.awaitTermination(120)
     assert {(r["session_id"], r["rank"]) for r in spark.sql("select * from deduped").collect()} == {("s", 1), ("s", 3), ("t", 1)}
+
+
+def test_the_limit_holds_for_a_response_in_many_frames(spark, tmp_path):
+    schema = "session_id string, response_id int, rank int, result_key string, content_hash string"
+    rows = [("s", r, i, f"k{r}-{i}", f"h{r}-{i}") for r in (1, 2) for i in range(500)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "hits"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        q = dedup_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "hits")), 7).writeStream.format("memory").queryName("framed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["result_key"] for r in spark.sql("select * from framed").collect()) == sorted(f"k{r}-{i}" for r in (1, 2) for i in range(7))
