@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import keyword_tokens
+from siltstone.runtime import materialise
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -63,8 +64,25 @@ def category_for(source_type: str) -> str:
     return {"codebase": "code", "document": "knowledge", "external_knowledge": "knowledge", "preference": "user_preference"}.get(source_type, source_type)
 
 
-def fields(profile: str) -> Column:
+def _fields_of(profile: Column) -> Column:
+    """The same where each row names its own profile: its weights are looked up once a row."""
+    table = F.create_map(*(x for p, w in FIELD_WEIGHTS.items() for x in (F.lit(p), F.create_map(*(F.lit(y) for kv in w.items() for y in kv)))))
+
+    def of(w: Column) -> Column:
+        base = [F.struct(F.coalesce(F.col(c), F.lit("")).alias("text"), w[c].alias("weight")) for c in ("content", "relative_path", "file_extension", "language")]
+        entries = F.map_entries(F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")))
+        own = F.array(*(F.lit(c) for c in ("content", "relative_path", "file_extension", "language", "other")))
+        weight = lambda e: F.when(F.array_contains(own, e["key"]), w["other"]).otherwise(F.coalesce(w[e["key"]], w["other"]))
+        rest = F.transform(entries, lambda e: F.struct(F.coalesce(e["value"], F.lit("")).alias("text"), weight(e).alias("weight")))
+        return F.filter(F.concat(F.array(*base), rest), lambda f: f["weight"] > 0)
+
+    return F.transform(F.array(F.coalesce(table[profile], table["default"])), of)[0]
+
+
+def fields(profile: str | Column) -> Column:
     """array<struct<text, weight>> of a row's searchable fields, weight 0 left out."""
+    if isinstance(profile, Column):
+        return _fields_of(profile)
     w = FIELD_WEIGHTS.get(profile, FIELD_WEIGHTS["default"])
     base = [F.struct(F.coalesce(F.col(c), F.lit("")).alias("text"), F.lit(w[c]).alias("weight")) for c in ("content", "relative_path", "file_extension", "language") if w[c] > 0]
     listed = {k: v for k, v in w.items() if k not in ("content", "relative_path", "file_extension", "language", "other")}
@@ -74,7 +92,7 @@ def fields(profile: str) -> Column:
     return F.concat(F.array(*base), F.filter(of, lambda f: f["weight"] > 0))
 
 
-def term_weights(rows: DataFrame, tokens: list[str], profile: str) -> DataFrame:
+def term_weights(rows: DataFrame, tokens: list[str], profile: str | Column) -> DataFrame:
     """``rows`` with doc_len (sum of weights of all tokens) and tf (array of the query tokens' weighted frequencies).
 
     One pass over each row's own text: no token rows, so no shuffle.
@@ -108,19 +126,36 @@ def bm25(rows: DataFrame, tokens: list[str], by: list[str]) -> DataFrame:
 TIEBREAK = ("relative_path", "start_line", "end_line", "id")
 
 
+def rank_over(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``, the row number from 1 in ``order`` within each group, no group gathered in one task.
+
+    Rows are parted by ranges of the order, numbered within a part, and moved on by the sizes of the parts before.
+    """
+    parted = materialise(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    sizes = parted.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return parted.withColumn("_n", inside).join(sizes, [*by, "_part"]).withColumn(name, F.col("_before") + F.col("_n")).drop("_before", "_n", "_part")
+
+
+def reciprocal_ranks(rows: DataFrame, semantic: float, keyword: float, by: list[str]) -> DataFrame:
+    """``rows`` with ``score`` from the ranks of both scores; a row without a keyword score has no keyword rank."""
+    s, k = F.round("semantic_score", 12), F.round("keyword_score", 12)
+    rows = rank_over(rows, by, [s.desc(), *(F.col(c).asc() for c in TIEBREAK)], "_s")
+    rows = rank_over(rows, by, [F.desc(F.col("keyword_score") > 0), k.desc(), *(F.col(c).asc() for c in TIEBREAK)], "_k")
+    score = F.lit(semantic) / (RRF_K + F.col("_s")) + F.when(F.col("keyword_score") > 0, F.lit(keyword) / (RRF_K + F.col("_k"))).otherwise(0.0)
+    return rows.withColumn("score", score).drop("_s", "_k")
+
+
 def fuse(rows: DataFrame, strategy: Strategy, by: list[str], has_query: bool) -> DataFrame:
     """``rows`` (semantic_score, keyword_score) with ``score``.
 
     Ranks order scores rounded to 12 digits, ties by path, lines and id. Every row has a semantic rank, only rows with a positive
     keyword score a keyword rank.
     """
-    s, k = F.round("semantic_score", 12), F.round("keyword_score", 12)
     if not has_query:
         return rows.withColumn("score", F.col("semantic_score") * F.lit(strategy.semantic))
     if strategy.fusion != "rrf":
         return rows.withColumn("score", F.col("semantic_score") * F.lit(strategy.semantic) + F.col("keyword_score") * F.lit(strategy.keyword))
-    w = Window.partitionBy(*by)
-    rows = rows.withColumn("_s", F.row_number().over(w.orderBy(s.desc(), *TIEBREAK)))
-    rows = rows.withColumn("_k", F.when(F.col("keyword_score") > 0, F.row_number().over(w.orderBy(F.desc(F.col("keyword_score") > 0), k.desc(), *TIEBREAK))))
-    score = F.lit(strategy.semantic) / (RRF_K + F.col("_s")) + F.coalesce(F.lit(strategy.keyword) / (RRF_K + F.col("_k")), F.lit(0.0))
-    return rows.withColumn("score", score).drop("_s", "_k")
+    return reciprocal_ranks(rows, strategy.semantic, strategy.keyword, by)

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.ids import content_hash
-from siltstone.functions.scoring import TIEBREAK, Strategy, bm25, category_for, fuse, search_weights, strategy_for, term_weights
+from siltstone.functions.scoring import TIEBREAK, Strategy, bm25, category_for, fuse, rank_over, reciprocal_ranks, search_weights, strategy_for, term_weights
 from siltstone.functions.text import string_literal
 from siltstone.functions.vectors import cosine_to
+from siltstone.runtime import materialise
 from siltstone.schema import FILTERED, SOURCE_TYPES
 
 OVERFETCH = 3
@@ -163,36 +164,50 @@ def search_all(chunks: DataFrame, catalog: DataFrame, query: str, query_vector:
     """Ranked hits over all selected namespaces: chunk columns, scores, source_type, category, source_id, namespace_order, rank.
 
     ``catalog`` has namespace, source_type, source_id, status and key; only indexed rows of the selected types are searched, code
-    first, then in order of the key. Each source type is scored by its own strategy, three times the limit is kept of each
-    namespace, and the union is ordered by score alone, ties by namespace order and rank inside the namespace. Scores of different
+    first, then in order of the key. Each source type is scored by its own strategy (ranks for code, weighted sums elsewhere),
+    three times the limit is kept of each namespace, and the union is ordered by score alone, ties by namespace order and rank inside the namespace. Scores of different
     fusions are not on one scale; ``normalized`` divides each by its namespace's best.
     """
     _, chosen = select_types(types)
-    base = SearchOptions(query=query, filters={"domain_path": tuple(domains)} if domains else {})
-    parts = []
-    if code_namespace and "codebase" in chosen:
-        code = catalog.sparkSession.createDataFrame([(code_namespace, "codebase", "code", "")], "namespace string, source_type string, source_id string, key string")
-        parts.append(("codebase", code.withColumn("namespace_order", F.lit(0))))
+    filters = SearchOptions(query=query, filters={"domain_path": tuple(domains)} if domains else {})
     order = Window.orderBy("key")  # over the catalog: one row per source
-    listed = catalog.where(F.col("status") == "indexed").withColumn("namespace_order", F.row_number().over(order))
-    parts += [(t, listed.where(F.col("source_type") == t)) for t in SOURCE_TYPES if t in chosen and t != "codebase"]
-    hits = None
-    for source_type, names in parts:
-        s = strategy_for(source_type, weights)
-        options = replace(base, semantic=s.semantic, keyword=s.keyword, profile=s.profile, fusion=s.fusion)
-        rows = chunks.join(names.select("namespace", "source_id", "namespace_order"), "namespace")
-        rows = score(rows, query_vector, options).withColumn("source_type", F.lit(source_type)).withColumn("category", F.lit(category_for(source_type)))
-        w = Window.partitionBy("namespace").orderBy(F.round("score", 12).desc(), *TIEBREAK)
-        rows = rows.withColumn("namespace_rank", F.row_number().over(w))
-        if limit > 0:
-            rows = rows.where(F.col("namespace_rank") <= limit * OVERFETCH)
-        hits = rows if hits is None else hits.unionByName(rows, allowMissingColumns=True)
-    if hits is None:
+    names = catalog.where(F.col("status") == "indexed").withColumn("namespace_order", F.row_number().over(order))
+    names = names.where(F.col("source_type").isin([t for t in SOURCE_TYPES if t in chosen and t != "codebase"])).select("namespace", "source_type", "source_id", "namespace_order")
+    if code_namespace and "codebase" in chosen:
+        names = names.unionByName(catalog.sparkSession.createDataFrame([(code_namespace, "codebase", "code", 0)], "namespace string, source_type string, source_id string, namespace_order int"))
+    elif chosen == {"codebase"}:
         raise ValueError("nothing to search")
+    tokens, kinds = query_tokens(query), {t: strategy_for(t, weights) for t in sorted(chosen)}
+    kinds = {t: replace(s, **dict(zip(("semantic", "keyword"), search_weights(query, s.semantic, s.keyword)))) for t, s in kinds.items()}
+    of = lambda value: F.create_map(*(F.lit(x) for t, s in kinds.items() for x in (t, value(s))))[F.col("source_type")]
+    # One scan: each row's terms are counted under its own source's weights. What statistics, scores and ranks need is kept
+    # narrow; contents are fetched for the hits alone.
+    rows = chunks.where(predicate(filters, chunks.columns)).join(names, "namespace").withColumn("semantic_score", cosine_to(F.col("vector"), query_vector))
+    rows = term_weights(rows, tokens, of(lambda s: s.profile)) if tokens else rows
+    rows = materialise(rows.select("namespace", "source_type", "source_id", "namespace_order", *TIEBREAK, "semantic_score", *(["tf", "doc_len"] if tokens else [])))
+    rows = bm25(rows, tokens, ["namespace"]) if tokens else rows.withColumn("keyword_score", F.lit(0.0))
+    linear = F.col("semantic_score") * of(lambda s: s.semantic) + (F.col("keyword_score") * of(lambda s: s.keyword) if tokens else F.lit(0.0))
+    ranks = [t for t, s in kinds.items() if s.fusion == "rrf"] if tokens else []
+    hits = rows.where(~F.col("source_type").isin(ranks)).withColumn("score", linear) if ranks else rows.withColumn("score", linear)
+    for t in ranks:
+        if t != "codebase" or code_namespace:
+            hits = hits.unionByName(reciprocal_ranks(rows.where(F.col("source_type") == t), kinds[t].semantic, kinds[t].keyword, ["namespace"]))
     if normalized:
-        hits = hits.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("namespace")))
-    hits = hits.orderBy(F.round("score", 12).desc(), "namespace_order", "namespace_rank")
-    return hits.limit(limit) if limit > 0 else hits
+        best = hits.groupBy("namespace").agg(F.max("score").alias("_best"))
+        hits = hits.join(best, "namespace").withColumn("score", F.col("score") / F.col("_best")).drop("_best")
+    if limit > 0:
+        w = Window.partitionBy("namespace").orderBy(F.round("score", 12).desc(), *TIEBREAK)
+        hits = hits.withColumn("namespace_rank", F.row_number().over(w)).where(F.col("namespace_rank") <= limit * OVERFETCH)
+    else:
+        hits = rank_over(hits, ["namespace"], [F.round("score", 12).desc(), *(F.col(c).asc() for c in TIEBREAK)], "namespace_rank")
+    final = [F.round("score", 12).desc(), "namespace_order", "namespace_rank"]
+    if limit > 0:
+        hits = hits.orderBy(*final).limit(limit)
+    hits = materialise(hits.withColumn("category", F.create_map(*(F.lit(x) for t in kinds for x in (t, category_for(t))))[F.col("source_type")]))
+    # A row repeated under one id has one content.
+    found = chunks.drop("vector", *TIEBREAK[:3]).join(hits.select("namespace", "id").distinct(), ["namespace", "id"], "left_semi").dropDuplicates(["namespace", "id"])
+    hits = hits.join(found, ["namespace", "id"])
+    return hits.orderBy(*final)
 
 
 def ranked(hits: DataFrame) -> DataFrame:

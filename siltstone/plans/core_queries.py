@@ -312,6 +312,26 @@ def merged_search(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("id", "source_type", F.round("score", 6).alias("score"))
 
 
+_CODE_NAMESPACE = "min(namespace) FILTER (namespace NOT LIKE 'source%')"
+
+
+def _mixed_sql() -> str:
+    s, k = scoring.normalize_weights(0.30, 0.70)
+    code = f"""SELECT *, {s} / (60 + row_number() OVER (ORDER BY round(sem, 12) DESC, {_TIE})) + CASE WHEN key > 0 THEN {k} / (60 + row_number() OVER (ORDER BY (key > 0) DESC, round(key, 12) DESC, {_TIE})) ELSE 0 END AS score FROM scored"""
+    code = f"WITH {_keyword_sql('code', where=f'namespace = (SELECT {_CODE_NAMESPACE} FROM chunks)')} SELECT id, namespace, relative_path, start_line, end_line, score FROM ({code})"
+    whole = _merged_sql().replace("AS (SELECT h.*, ord,", f"AS (SELECT h.*, coalesce(ord, 0) AS ord,").replace("FROM h JOIN types", f"FROM (SELECT * FROM h UNION ALL SELECT 'codebase', * FROM ({code})) h LEFT JOIN types")
+    return whole.replace(f"QUALIFY nr <= {3 * TOP}", "").replace(f"LIMIT {TOP}", "")
+
+
+@query(_mixed_sql())
+def mixed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Code by reciprocal ranks beside all other sources by weighted sums, merged by score alone; without a limit, every row."""
+    chunks = wide(spark, d, "chunks")
+    code = table(spark, d, "chunks").where("namespace not like 'source%'").agg(F.min("namespace")).first()[0]
+    hits = search.search_all(chunks, _catalog(spark, d), QUERY, VECTOR, limit=0, types="all", code_namespace=code)
+    return hits.select("id", "source_type", F.round("score", 6).alias("score"))
+
+
 # Sessions, indexing, imports.
 
 
