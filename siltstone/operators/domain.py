@@ -21,11 +21,20 @@ RULES: list[tuple[str, list[str], list[str]]] = [
     ("programming/testing", ["test", "unit test", "coverage", "mock", "assert", "fixture", "go test"], ["_test.go"]),
     ("devops/deployment", ["deploy", "release", "build", "ci", "pipeline", "docker", "makefile", "rollback"], ["dockerfile", "makefile"]),
 ]
-#: Terms of the domain profiles.
+#: Terms of the domain profiles: domain, description, aliases, examples. A term counts where the text holds it, lower case.
 PROFILES: list[tuple[str, list[str]]] = [
-    ("programming/go", ["programming/go", "go", "golang", "goroutine", "channel", "go test", "go mod"]),
-    ("database/milvus", ["database/milvus", "milvus", "vector database", "vector store", "collection", "embedding", "hybrid search"]),
-    ("infrastructure/kubernetes", ["infrastructure/kubernetes", "kubernetes", "k8s", "pod", "deployment", "container", "helm", "kubectl"]),
+    (
+        "programming/go",
+        ["programming/go", "Go 语言开发、goroutine、channel、go test、go mod、panic、defer、接口和性能分析相关经验", "go", "golang", "goroutine", "channel", "go test", "go mod", "Go 单元测试失败如何排查", "goroutine 泄漏分析", "panic 和 recover 使用边界"],
+    ),
+    (
+        "database/milvus",
+        ["database/milvus", "Milvus、向量数据库、collection、index、load、search、TopK、embedding 和 hybrid search 相关经验", "milvus", "vector database", "vector store", "collection", "embedding", "hybrid search", "Milvus collection not loaded", "vector search returns empty result", "hybrid search ranking problem"],
+    ),
+    (
+        "infrastructure/kubernetes",
+        ["infrastructure/kubernetes", "Kubernetes、k8s、pod、deployment、container、helm、kubectl 和 namespace 相关经验", "kubernetes", "k8s", "pod", "deployment", "container", "helm", "kubectl", "Pod CrashLoopBackOff 排查", "Kubernetes deployment 发布失败", "kubectl 查看 namespace 下资源"],
+    ),
 ]
 #: Score of an explicit extension.
 EXPLICIT = {".go": ("programming/go", 0.8), ".sql": ("database/sql", 0.8), **dict.fromkeys((".ts", ".tsx", ".js", ".jsx"), ("programming/frontend", 0.65))}
@@ -97,7 +106,7 @@ def explicit_signal(metadata: Column | None, extension: Column | None) -> Column
 
 
 def profile_signal(text: Column, profiles: list[tuple[str, list[str]]] = PROFILES) -> Column:
-    of = [F.struct(F.lit("profile").alias("source"), F.lit(d).alias("domain"), clamp01(_count(text, terms) / 3.0).alias("score")) for d, terms in profiles]
+    of = [F.struct(F.lit("profile").alias("source"), F.lit(d).alias("domain"), clamp01(_count(text, [x.strip().lower() for x in terms if x.strip()]) / 3.0).alias("score")) for d, terms in profiles]
     return F.filter(F.array(*of), lambda e: e["score"] > 0)
 
 

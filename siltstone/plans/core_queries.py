@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from siltstone.functions import ids, scoring, text, vectors
 from siltstone.operators import chunking, domain, evaluation, indexing, markdown, search, sessions
 from siltstone.operators.changes import changes_by_run
 from siltstone.runtime import spread, table
-from siltstone.sources.files import matches_any, pattern_regex
+from siltstone.sources.files import matches_any
 from siltstone.sources.store import Catalog, from_columns, to_columns
 
 QUERY = "splitter budget of the go test panic in the retry channel"
@@ -40,6 +41,35 @@ def query(sql: str | None = None):
     return add
 
 
+# Fixed values as the SQL knows them, written out a second time: a slip in the tables of the operators shows as a difference.
+
+_SQL_WEIGHTS = {
+    "code": "content 1.0 relative_path 2.0 file_extension 0.4 language 0.4 other 0.5 symbol_name 3.0 symbol_kind 1.2 chunk_kind 0.5 domain_path 0.8 experience_kind 0.4",
+    "knowledge": "content 1.0 relative_path 0.6 file_extension 0.2 language 0.2 other 0.4 heading_path 2.0 document_id 1.0 section_id 0.8 knowledge_kind 0.6 node_kind 0.3 version 0.2",
+    "conversation": "content 1.0 relative_path 0.1 file_extension 0 language 0 other 0.2 role 0.2 domain_path 0.4",
+    "experience": "content 1.0 relative_path 0.2 file_extension 0 language 0 other 0.4 domain_path 1.4 experience_kind 1.2 tags 1.0",
+    "preference": "content 1.2 relative_path 0.1 file_extension 0 language 0 other 0.3 domain_path 0.8 tags 0.6",
+    "tool_history": "content 1.0 relative_path 0.2 file_extension 0 language 0 other 0.4 tool_name 1.5 command 0.8 status 0.8 domain_path 0.6",
+    "fact": "content 1.1 relative_path 0.1 file_extension 0 language 0 other 0.4 domain_path 0.8",
+    "default": "content 1.0 relative_path 0.4 file_extension 0.1 language 0.1 other 0.3",
+}
+_SQL_STRATEGIES = {"default": (0.75, 0.25), "code": (0.3, 0.7), "knowledge": (0.7, 0.3), "conversation": (0.85, 0.15), "experience": (0.75, 0.25), "preference": (0.55, 0.45), "tool_history": (0.8, 0.2), "fact": (0.65, 0.35)}
+_SQL_PROFILE_OF = {"document": "knowledge", "external_knowledge": "knowledge", "conversation": "conversation", "experience": "experience", "preference": "preference", "tool_history": "tool_history", "fact": "fact"}
+_SQL_RULES = """programming/go: go, golang, goroutine, channel, gofmt, go test, go mod, panic, defer; .go
+database/milvus: milvus, vector database, vector store, collection, embedding, topk, hybrid search;
+infrastructure/kubernetes: kubernetes, k8s, pod, deployment, container, helm, kubectl, namespace; .yaml, .yml
+programming/frontend: frontend, react, vue, typescript, javascript, css, tailwind, vite, webpack; .ts, .tsx, .js, .jsx, .css, .html
+database/sql: database, sql, mysql, postgres, redis, transaction, index, query; .sql
+programming/testing: test, unit test, coverage, mock, assert, fixture, go test; _test.go
+devops/deployment: deploy, release, build, ci, pipeline, docker, makefile, rollback; dockerfile, makefile"""
+_SQL_PROFILES = """programming/go: programming/go; Go 语言开发、goroutine、channel、go test、go mod、panic、defer、接口和性能分析相关经验; go; golang; goroutine; channel; go test; go mod; Go 单元测试失败如何排查; goroutine 泄漏分析; panic 和 recover 使用边界
+database/milvus: database/milvus; Milvus、向量数据库、collection、index、load、search、TopK、embedding 和 hybrid search 相关经验; milvus; vector database; vector store; collection; embedding; hybrid search; Milvus collection not loaded; vector search returns empty result; hybrid search ranking problem
+infrastructure/kubernetes: infrastructure/kubernetes; Kubernetes、k8s、pod、deployment、container、helm、kubectl 和 namespace 相关经验; kubernetes; k8s; pod; deployment; container; helm; kubectl; Pod CrashLoopBackOff 排查; Kubernetes deployment 发布失败; kubectl 查看 namespace 下资源"""
+_SQL_KINDS = [("troubleshooting", "troubleshoot faq error 错误 排障 故障"), ("example", "example sample 示例 例子"), ("api", "api function parameter 接口 参数 配置项"), ("rule", "must should rule 禁止 必须 应该 规范 规则")]
+#: Expressions that PATTERNS stand for, by hand.
+_SQL_GLOBS = ["^(?:.*/)?docs(?:/.*)?$", r"^(?:.*/)?[^/]*\.json(?:/.*)?$", "^cmd/.*_1.*$", "^(?:.*/)?testdata(?:/.*)?$", "^in.ernal/.*/log_.*$"]
+
+
 # Change detection between runs.
 
 _CHANGES = r"""
@@ -144,11 +174,14 @@ def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.node_chunks(nodes, max_lines=6, overlap=1, extender=chunking.markdown_boundary).select("doc_id", "kind", "section_id", "start_line", "end_line", F.md5("content").alias("content_md5"))
 
 
-@query(rf"""
+_HEADS = rf"""
 WITH t AS ({_LINES}),
 u AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS line, len(l) AS n FROM t),
 f AS (SELECT *, trim(x, E' \t\r\f\x0b　 ') AS tx, sum(CASE WHEN regexp_matches(trim(x, E' \t　 '), '^(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS fences FROM u),
-h AS (SELECT doc_id, line, n, tx FROM f WHERE fences % 2 = 0 AND regexp_matches(tx, '^#{{1,6}} .*\S'))
+h AS (SELECT doc_id, line, n, tx FROM f WHERE fences % 2 = 0 AND regexp_matches(tx, '^#{{1,6}} .*\S'))"""
+
+
+@query(_HEADS + r"""
 SELECT doc_id, line::INT AS line, length(regexp_extract(tx, '^(#+)', 1))::INT AS level, trim(regexp_replace(tx, '^#+ ', '')) AS heading, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line), n + 1)::INT AS next_line FROM h""")
 def heading_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("content"))
@@ -181,6 +214,16 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc_id", F.col("p.index").alias("idx")).agg(F.sum("p.value").cast("bigint").alias("value"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, unnest(CASE WHEN len({_EMBED}) = 0 THEN [''] ELSE {_EMBED} END) AS t FROM documents),
+h AS (SELECT doc_id, sha256(t) AS h FROM t),
+v AS (SELECT doc_id, (('0x' || left(h, 8))::BIGINT % 64)::INT AS idx, sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 0 THEN -1 ELSE 1 END)::DOUBLE AS v FROM h GROUP BY 1, 2)
+SELECT doc_id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 4) AS value FROM v WHERE v <> 0""")
+def hash_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors as they are stored: dense, of length 1."""
+    rows = wide(spark, d, "documents").select("doc_id", F.posexplode(vectors.hash_embedding(F.col("text"), 64)).alias("idx", "value"))
+    return rows.where("value <> 0").select("doc_id", "idx", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
 _QV = "[" + ", ".join(f"{x}::DOUBLE" for x in VECTOR) + "]"
 _GOOD = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
 _COS = f"CASE WHEN {_GOOD} THEN list_cosine_similarity(vector::DOUBLE[], {_QV}) ELSE 0.0 END"
@@ -198,7 +241,8 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _keyword_sql(profile: str, source: str = "chunks", where: str = "true") -> str:
     """CTEs rows, cos and kw: candidates, their cosine and unsaturated BM25 by namespace."""
-    w = scoring.FIELD_WEIGHTS[profile]
+    words = _SQL_WEIGHTS[profile].split()
+    w = dict(zip(words[::2], map(float, words[1::2])))
     base = " UNION ALL ".join(f"SELECT id, {c} AS t, {w[c]} AS w FROM rows" for c in ("content", "relative_path", "file_extension", "language") if w[c] > 0)
     cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in w.items() if k not in ("content", "relative_path", "file_extension", "language", "other"))
     weight = f"CASE e.key {cases} ELSE {w['other']} END" if cases else str(w["other"])
@@ -224,7 +268,7 @@ def _out(rows: DataFrame) -> DataFrame:
 
 
 def _fused_sql(profile: str, fusion: str, where: str = "true") -> str:
-    s, k = scoring.normalize_weights(*scoring.STRATEGIES[profile])
+    s, k = _SQL_STRATEGIES[profile]
     if fusion == "rrf":
         ranks = f"""row_number() OVER (PARTITION BY namespace ORDER BY round(sem, 12) DESC, {_TIE}) AS rs, CASE WHEN key > 0 THEN row_number() OVER (PARTITION BY namespace ORDER BY (key > 0) DESC, round(key, 12) DESC, {_TIE}) END AS rk"""
         return f"WITH {_keyword_sql(profile, where=where)}, r AS (SELECT *, {ranks} FROM scored), z AS (SELECT *, {s} / (60 + rs) + coalesce({k} / (60 + rk), 0) AS score FROM r)"
@@ -275,7 +319,7 @@ def namespace_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rerank_sql() -> str:
-    s, k = scoring.normalize_weights(*scoring.STRATEGIES["default"])
+    s, k = _SQL_STRATEGIES["default"]
     pick = f"(SELECT id, 'all' AS namespace, vector, content, relative_path, start_line, end_line, file_extension, language, metadata FROM chunks ORDER BY round({_COS}, 12) DESC, {_TIE} LIMIT {3 * TOP})"
     return f"WITH {_keyword_sql('default', source=pick)}, z AS (SELECT *, sem * {s} + key * {k} AS score FROM scored)" + _TOP_SQL
 
@@ -295,9 +339,9 @@ def _catalog(spark: SparkSession, d: str) -> DataFrame:
 def _merged_sql() -> str:
     parts = []
     types = "SELECT namespace, source_type, row_number() OVER (ORDER BY namespace) AS ord FROM (SELECT DISTINCT namespace, regexp_extract(namespace, '^source_(.+)_[0-9a-f]+$', 1) AS source_type FROM chunks WHERE namespace LIKE 'source%')"
-    for t in search.DOC_TYPES:
-        s = scoring.strategy_for(t)
-        inner = f"WITH {_keyword_sql(s.profile, where=f'''namespace IN (SELECT namespace FROM types WHERE source_type = '{t}')''')} SELECT id, namespace, relative_path, start_line, end_line, sem * {s.semantic} + key * {s.keyword} AS score FROM scored"
+    for t, profile in _SQL_PROFILE_OF.items():
+        s, k = _SQL_STRATEGIES[profile]
+        inner = f"WITH {_keyword_sql(profile, where=f'''namespace IN (SELECT namespace FROM types WHERE source_type = '{t}')''')} SELECT id, namespace, relative_path, start_line, end_line, sem * {s} + key * {k} AS score FROM scored"
         parts.append(f"SELECT '{t}' AS source_type, * FROM ({inner})")
     union = " UNION ALL ".join(parts)
     return f"""WITH types AS ({types}), h AS ({union}),
@@ -316,7 +360,7 @@ _CODE_NAMESPACE = "min(namespace) FILTER (namespace NOT LIKE 'source%')"
 
 
 def _mixed_sql() -> str:
-    s, k = scoring.normalize_weights(0.30, 0.70)
+    s, k = _SQL_STRATEGIES["code"]
     code = f"""SELECT *, {s} / (60 + row_number() OVER (ORDER BY round(sem, 12) DESC, {_TIE})) + CASE WHEN key > 0 THEN {k} / (60 + row_number() OVER (ORDER BY (key > 0) DESC, round(key, 12) DESC, {_TIE})) ELSE 0 END AS score FROM scored"""
     code = f"WITH {_keyword_sql('code', where=f'namespace = (SELECT {_CODE_NAMESPACE} FROM chunks)')} SELECT id, namespace, relative_path, start_line, end_line, score FROM ({code})"
     whole = _merged_sql().replace("AS (SELECT h.*, ord,", f"AS (SELECT h.*, coalesce(ord, 0) AS ord,").replace("FROM h JOIN types", f"FROM (SELECT * FROM h UNION ALL SELECT 'codebase', * FROM ({code})) h LEFT JOIN types")
@@ -335,7 +379,13 @@ def mixed_search(spark: SparkSession, d: str) -> DataFrame:
 # Sessions, indexing, imports.
 
 
-@query()
+@query(rf"""WITH RECURSIVE h AS (SELECT search_id AS s, rank, namespace || chr(0) || result_id AS k, 'sha256:' || sha256(trim(regexp_replace(coalesce(content, ''), '{_SPACE}', ' ', 'g'))) AS c FROM ranked_hits),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY rank, k, c) AS i FROM h),
+f AS (SELECT s, 0::BIGINT AS i, 0 AS rank, list(k) FILTER (rank = 1) AS ks, list(c) FILTER (rank = 1) AS cs, 0 AS n, 0 AS dropped, false AS hit FROM o GROUP BY s
+  UNION ALL SELECT s, i, rank, CASE WHEN hit THEN list_append(ks, k) ELSE ks END, CASE WHEN hit THEN list_append(cs, c) ELSE cs END, n + hit::INT, dropped + old::INT, hit FROM (
+    SELECT s, o.i, o.rank, k, c, coalesce(ks, []) AS ks, coalesce(cs, []) AS cs, n, dropped, old, NOT old AND n < 5 AS hit FROM (
+      SELECT f.s, o.i, o.rank, o.k, o.c, f.ks, f.cs, f.n, f.dropped, list_contains(coalesce(f.ks, []), o.k) OR list_contains(coalesce(f.cs, []), o.c) AS old FROM f JOIN o ON o.s = f.s AND o.i = f.i + 1) o))
+SELECT s AS session_id, rank, n AS new_rank, (max(dropped) OVER (PARTITION BY s))::INT AS deduped_count FROM f QUALIFY hit""")
 def session_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Each search of the recorded hits as a response of a session that has seen rank 1 before."""
     hits = table(spark, d, "ranked_hits").select(F.col("search_id").alias("session_id"), "rank", ids.result_key(F.col("namespace"), F.col("result_id")).alias("result_key"), ids.content_hash(F.col("content")).alias("content_hash"))
@@ -356,34 +406,6 @@ def session_dedup_sets(spark: SparkSession, d: str) -> DataFrame:
 _STATES = r"(SELECT namespace || '/' || relative_path AS relative_path, run_no, arg_max(struct_pack(hash, size, mod_time_ns), recorded_at::VARCHAR || coalesce(hash, '') || size || mod_time_ns) AS s FROM file_states GROUP BY 1, 2)"
 
 
-def _states(spark: SparkSession, d: str, run: int) -> DataFrame:
-    rows = table(spark, d, "file_states").where(F.col("run_no") == run)
-    order = F.concat(F.date_format("recorded_at", "yyyy-MM-dd HH:mm:ss"), F.coalesce("hash", F.lit("")), F.col("size").cast("string"), F.col("mod_time_ns").cast("string"))
-    last = rows.groupBy(F.concat_ws("/", "namespace", "relative_path").alias("relative_path")).agg(F.max_by(F.struct("hash", "size", "mod_time_ns"), order).alias("s"))
-    return last.select("relative_path", "s.hash", "s.size", "s.mod_time_ns")
-
-
-@query(f"""WITH p AS (SELECT relative_path, s FROM {_STATES} WHERE run_no = 1), c AS (SELECT relative_path, s FROM {_STATES} WHERE run_no = 2)
-SELECT coalesce(p.relative_path, c.relative_path) AS relative_path, CASE WHEN p.s IS NULL THEN 'added' WHEN c.s IS NULL THEN 'removed' WHEN c.s.size = p.s.size AND c.s.mod_time_ns = p.s.mod_time_ns THEN 'unchanged' WHEN c.s.hash = p.s.hash THEN 'touched' ELSE 'modified' END AS change
-FROM p FULL JOIN c ON p.relative_path = c.relative_path""")
-def file_diff(spark: SparkSession, d: str) -> DataFrame:
-    return indexing.diff_files(_states(spark, d, 1), _states(spark, d, 2)).select("relative_path", "change")
-
-
-@query(f"""WITH p AS (SELECT relative_path, s FROM {_STATES} WHERE run_no = 1), c AS (SELECT relative_path, s FROM {_STATES} WHERE run_no = 2),
-x AS (SELECT CASE WHEN p.s IS NULL THEN 'added' WHEN c.s IS NULL THEN 'removed' WHEN c.s.size = p.s.size AND c.s.mod_time_ns = p.s.mod_time_ns THEN 'unchanged' WHEN c.s.hash = p.s.hash THEN 'touched' ELSE 'modified' END AS change FROM p FULL JOIN c ON p.relative_path = c.relative_path)
-SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'touched') AS touched, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change <> 'removed') AS files FROM x""")
-def index_stats(spark: SparkSession, d: str) -> DataFrame:
-    return indexing.stats(indexing.diff_files(_states(spark, d, 1), _states(spark, d, 2)))
-
-
-@query("""WITH p AS (SELECT DISTINCT namespace, relative_path FROM file_states WHERE run_no = 2)
-SELECT id, 'old' AS origin FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.namespace = c.namespace AND p.relative_path = c.relative_path)
-UNION ALL SELECT DISTINCT 'chunk_' || left(sha256(relative_path || ':1:1:' || namespace), 16), 'new' FROM p""")
-def replace_files(spark: SparkSession, d: str) -> DataFrame:
-    return _replaced(spark, d, table(spark, d, "file_states").where("run_no = 2"))
-
-
 def _replaced(spark: SparkSession, d: str, states: DataFrame) -> DataFrame:
     paths = states.select("namespace", "relative_path").distinct()
     new = paths.select(ids.chunk_id(F.col("relative_path"), F.lit(1), F.lit(1), F.col("namespace")).alias("id"), "namespace", "relative_path", F.lit("new").alias("origin")).distinct()
@@ -408,42 +430,48 @@ def _run_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_RUN_CHANGES + " SELECT run_no, relative_path, change FROM x")
-def file_diff_runs(spark: SparkSession, d: str) -> DataFrame:
+def file_diff(spark: SparkSession, d: str) -> DataFrame:
     """Every run against the one before it."""
     return _run_changes(spark, d).select("run_no", "relative_path", "change")
 
 
 @query(_RUN_CHANGES + """ SELECT run_no, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'touched') AS touched, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change <> 'removed') AS files FROM x GROUP BY run_no""")
-def index_stats_runs(spark: SparkSession, d: str) -> DataFrame:
+def index_stats(spark: SparkSession, d: str) -> DataFrame:
     return indexing.stats(_run_changes(spark, d), ("run_no",))
 
 
 @query("""WITH p AS (SELECT DISTINCT namespace, relative_path FROM file_states)
 SELECT id, 'old' AS origin FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.namespace = c.namespace AND p.relative_path = c.relative_path)
 UNION ALL SELECT DISTINCT 'chunk_' || left(sha256(relative_path || ':1:1:' || namespace), 16), 'new' FROM p""")
-def replace_files_runs(spark: SparkSession, d: str) -> DataFrame:
+def replace_files(spark: SparkSession, d: str) -> DataFrame:
     """The table after all runs: a file's new chunk has the same id in each, so one replacement by the paths of all is the same."""
     return _replaced(spark, d, table(spark, d, "file_states"))
 
 
-_MEMORY = r"""
-WITH r AS (SELECT *, CASE WHEN trim(coalesce(experience_kind, '')) <> '' THEN experience_kind ELSE 'general' END AS kind FROM memory_records WHERE content IS NOT NULL AND trim(content) <> ''),
-m AS (SELECT id, content, unnest([
+_HELD = r"regexp_replace({x}, '[\s\p{{Z}}\x{{85}}\x{{1C}}-\x{{1F}}]+', '', 'g') <> ''"
+_MEMORY = rf"""
+WITH r AS (SELECT *, CASE WHEN {_HELD.format(x="coalesce(experience_kind, '')")} THEN experience_kind ELSE 'general' END AS kind FROM memory_records WHERE content IS NOT NULL AND {_HELD.format(x='content')}),
+own AS (SELECT row_number() OVER () AS n, metadata, [
   struct_pack(k := 'record_id', v := id), struct_pack(k := 'summary', v := summary), struct_pack(k := 'role', v := role), struct_pack(k := 'conversation_id', v := conversation_id), struct_pack(k := 'message_id', v := message_id),
-  struct_pack(k := 'tool_name', v := tool_name), struct_pack(k := 'created_at', v := created_at), struct_pack(k := 'updated_at', v := updated_at), struct_pack(k := 'tags', v := array_to_string(tags, ',')), struct_pack(k := 'domain_path', v := domain_path), struct_pack(k := 'experience_kind', v := kind)]) AS e FROM r)
-SELECT e.k AS key, count(*) AS n, count(DISTINCT e.v) AS n_values, min(e.v) AS least, max(e.v) AS greatest FROM m WHERE e.v IS NOT NULL AND trim(e.v) <> '' GROUP BY 1"""
+  struct_pack(k := 'tool_name', v := tool_name), struct_pack(k := 'created_at', v := created_at), struct_pack(k := 'updated_at', v := updated_at), struct_pack(k := 'tags', v := array_to_string(tags, ',')), struct_pack(k := 'domain_path', v := domain_path), struct_pack(k := 'experience_kind', v := kind),
+  struct_pack(k := 'importance', v := CASE WHEN importance > 0 THEN regexp_replace(importance::VARCHAR, '\.0$', '') END)] AS es FROM r),
+m AS (SELECT n, e.k, e.v FROM (SELECT n, unnest(es) AS e FROM own) WHERE e.v IS NOT NULL AND {_HELD.format(x='e.v')}),
+b AS (SELECT n, e.key AS k, e.value AS v FROM (SELECT n, unnest(map_entries(metadata)) AS e FROM own WHERE metadata IS NOT NULL)),
+z AS (SELECT k, v FROM m UNION ALL SELECT k, v FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.n = b.n AND m.k = b.k)
+  UNION ALL SELECT unnest(['absolute_path', 'source_type', 'source_id']), unnest(['/srv/m.jsonl', 'experience', 'memory']) FROM own)
+SELECT k AS key, count(*) AS n, count(DISTINCT v) AS n_values, min(v) AS least, max(v) AS greatest FROM z GROUP BY 1"""
 
 
 @query(_MEMORY)
 def memory_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Entries that imported records carry beside the source's own."""
-    rows = wide(spark, d, "memory_records").where("content is not null and trim(content) <> ''")
+    """Every entry that imported records carry."""
+    rows = wide(spark, d, "memory_records").where(F.coalesce(text.trim_space("content") != "", F.lit(False)))
     bag = indexing.memory_metadata(F.lit("experience"), F.lit("memory"), F.lit("/srv/m.jsonl"), F.lit(None).cast("map<string,string>"))
-    entries = rows.select(F.explode(bag).alias("key", "value")).where(~F.col("key").isin("absolute_path", "source_type", "source_id", "importance", "client"))
+    entries = rows.select(F.explode(bag).alias("key", "value"))
     return entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("greatest"))
 
 
-@query("""SELECT 'memory_' || left(sha256('source_experience_x' || chr(0) || 'experience' || chr(0) || 'memory' || chr(0) || id), 16) AS id, count(*) AS n FROM memory_records WHERE content IS NOT NULL AND trim(content) <> '' AND coalesce(id, '') <> '' GROUP BY 1""")
+@query(rf"""SELECT 'memory_' || left(sha256('source_experience_x' || chr(0) || 'experience' || chr(0) || 'memory' || chr(0) || id), 16) AS id, count(*) AS n FROM memory_records WHERE content IS NOT NULL AND {_HELD.format(x='content')} AND coalesce(id, '') <> '' GROUP BY 1""")
 def memory_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "memory_records").where("coalesce(id, '') <> ''")
     return indexing.memory_rows(rows, F.lit("source_experience_x"), "experience", "memory", "/srv/m.jsonl", dim=8).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
@@ -456,9 +484,9 @@ def memory_import(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT 'workspace' || chr(0) || coalesce(source_id, '') || chr(0) || coalesce(source_type, '') || chr(0) || coalesce(source_id, '') AS key, source_id, count(*) AS n, max(search_id) AS version FROM ranked_hits GROUP BY ALL)
-SELECT key, 'indexed' AS status, sum(n)::BIGINT AS n_rows, max(version) AS version FROM e GROUP BY key""")
+SELECT key, 'indexed' AS status, CASE WHEN max(version) % 3 = 0 THEN -1 ELSE sum(n)::BIGINT END AS n_rows, max(version) AS version FROM e GROUP BY key""")
 def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Sources of the recorded hits, upserted in two halves: the later entry of a key wins."""
+    """Sources of the recorded hits, two thirds of them entered anew: the later entry of a key wins, the others stay."""
     hits = table(spark, d, "ranked_hits").groupBy("source_type", "source_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("search_id").alias("version"))
     rows = hits.select(
         F.struct(F.lit("workspace").alias("scope_type"), F.col("source_id").alias("scope_id")).alias("scope"), F.struct("source_type", "source_id", F.lit("").alias("tool_name"), F.lit(None).cast("map<string,string>").alias("metadata")).alias("source"),
@@ -466,7 +494,7 @@ def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
     )
     entries = Catalog.entries(rows)
     stale = entries.withColumn("n_rows", F.lit(-1).cast("bigint"))
-    return indexing.upsert(stale, entries, ["key"]).select("key", "status", "n_rows", "version")
+    return indexing.upsert(stale, entries.where("version % 3 <> 0"), ["key"]).select("key", "status", "n_rows", "version")
 
 
 @query(r"""SELECT namespace, count(*) AS n_rows, 'sha256:' || sha256(string_agg(id || chr(0) || coalesce(relative_path, '') || chr(0) || coalesce(content, '') || chr(0), '' ORDER BY id)) AS checksum FROM chunks GROUP BY 1""")
@@ -484,7 +512,7 @@ def _contains(x: str, words: list[str]) -> str:
 
 
 def _rule_sql(source: str) -> str:
-    cols = [f"struct_pack(d := '{dom}', s := ({_contains('t', words)}) + {'CASE WHEN ext IN (' + ', '.join(repr(e) for e in exts) + ') THEN 1.5 ELSE 0 END' if exts else '0'})" for dom, words, exts in domain.RULES]
+    cols = [f"struct_pack(d := '{dom}', s := ({_contains('t', words)}) + {'CASE WHEN ext IN (' + ', '.join(repr(e) for e in exts) + ') THEN 1.5 ELSE 0 END' if exts else '0'})" for dom, words, exts in ((a, b.split(", "), [e for e in c.strip().split(", ") if e]) for a, b, c in re.findall(r"(.+?): (.+?);(.*)", _SQL_RULES))]
     return f"""s AS (SELECT id, unnest([{', '.join(cols)}]) AS x FROM {source}),
 b AS (SELECT id, x.d AS d, least(x.s / 4.0, 1) AS c FROM s WHERE x.s > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY x.s DESC, x.d) = 1)"""
 
@@ -501,7 +529,7 @@ def domain_classify(spark: SparkSession, d: str) -> DataFrame:
 _CHUNK_TEXT = r"""d AS (SELECT id, lower(regexp_replace(coalesce(content, '') || '  ' || coalesce(array_to_string(flatten(list_transform(list_sort(map_entries(metadata)), lambda e: [e.key, coalesce(e.value, '')])), ' '), ''), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g')) AS t,
   lower(trim(coalesce(file_extension, ''))) AS ext, list_filter(list_transform(string_split(lower(coalesce(metadata['domain_path'], '')), '/'), lambda p: replace(trim(p), ' ', '-')), lambda p: p <> '') AS lv FROM chunks)"""
 _EXPLICIT_D = "CASE WHEN ext = '.go' THEN 'programming/go' WHEN ext = '.sql' THEN 'database/sql' WHEN ext IN ('.ts', '.tsx', '.js', '.jsx') THEN 'programming/frontend' END"
-_PROFILE_SQL = " UNION ALL ".join(f"SELECT id, '{dom}' AS d, least(({_contains('t', terms)}) / 3.0, 1) * 0.35 AS s FROM d" for dom, terms in domain.PROFILES)
+_PROFILE_SQL = " UNION ALL ".join(f"SELECT id, '{dom}' AS d, least(({_contains('t', terms)}) / 3.0, 1) * 0.35 AS s FROM d" for dom, terms in ((line.split(": ", 1)[0], [x.lower() for x in line.split(": ", 1)[1].split("; ")]) for line in _SQL_PROFILES.split("\n")))
 
 
 @query(f"""WITH {_CHUNK_TEXT}, {_rule_sql('d')},
@@ -522,7 +550,15 @@ def domain_distribution(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(total, "namespace").where("domain <> ''").select("namespace", "domain", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in text.KNOWLEDGE_KINDS) + " ELSE 'concept' END AS kind FROM documents")
+@query("""WITH h AS (SELECT search_id, coalesce(domain_path, '') AS d, count(*) OVER (PARTITION BY search_id) AS n FROM ranked_hits)
+SELECT search_id, d AS domain, round(count(*) / max(n)::DOUBLE, 6) AS share FROM h WHERE d <> '' GROUP BY 1, 2""")
+def domain_memories(spark: SparkSession, d: str) -> DataFrame:
+    """The signal of each search's memories: a response is a bounded list."""
+    hits = table(spark, d, "ranked_hits").groupBy("search_id").agg(F.collect_list(F.coalesce("domain_path", F.lit(""))).alias("ds"))
+    return hits.select("search_id", F.inline(domain.memory_signal(F.col("ds")))).select("search_id", "domain", F.round("score", 6).alias("share"))
+
+
+@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words.split()) + f" THEN '{kind}'" for kind, words in _SQL_KINDS) + " ELSE 'concept' END AS kind FROM documents")
 def knowledge_kind(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.knowledge_kind("text").alias("kind"))
 
@@ -539,7 +575,7 @@ _CASES = r"""
 WITH c AS (SELECT id AS case_id, CASE WHEN len(expected) > 0 THEN expected ELSE list_transform(CASE WHEN len(oracle_files) > 0 THEN list_filter(list_transform(oracle_files, lambda p: regexp_replace(trim(p), '^/', '')), lambda p: p <> '')
   ELSE list_distinct(list_transform(regexp_extract_all(coalesce(patch, ''), '(?m)^--- a/(.+)$', 1), lambda p: regexp_replace(trim(p), '^/', ''))) END, lambda p: struct_pack(relative_path := p, start_line := NULL::INT, end_line := NULL::INT, content_contains := NULL::VARCHAR)) END AS xs FROM eval_cases),
 x AS (SELECT case_id, unnest(xs) AS e, generate_subscripts(xs, 1) AS no FROM c WHERE xs IS NOT NULL),
-r AS (SELECT DISTINCT ON (search_id, rank) 'case-' || lpad(search_id::VARCHAR, 4, '0') AS case_id, rank, content, location.relative_path AS p, location.start_line AS s, location.end_line AS t FROM ranked_hits WHERE search_id <= 240 ORDER BY search_id, rank, result_id),
+r AS (SELECT DISTINCT ON (search_id, rank) 'case-' || CASE WHEN search_id < 10000 THEN lpad(search_id::VARCHAR, 4, '0') ELSE search_id::VARCHAR END AS case_id, rank, content, location.relative_path AS p, location.start_line AS s, location.end_line AS t FROM ranked_hits ORDER BY search_id, rank, result_id),
 m AS (SELECT r.case_id, r.rank, x.no, min(r.rank) OVER (PARTITION BY r.case_id, x.no) AS first FROM r JOIN x ON r.case_id = x.case_id
   WHERE (coalesce(e.relative_path, '') = '' OR regexp_replace(trim(e.relative_path), '^/', '') = regexp_replace(trim(coalesce(p, '')), '^/', ''))
   AND (coalesce(nullif(e.start_line, 0), e.end_line, 0) <= 0 OR (coalesce(s, 0) > 0 AND coalesce(nullif(e.start_line, 0), e.end_line) <= coalesce(nullif(t, 0), s) AND s <= coalesce(nullif(e.end_line, 0), e.start_line)))
@@ -584,20 +620,14 @@ def latency_p95(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.nearest_rank(table(spark, d, "events"), "value", ["event_type"]).withColumnRenamed("p", "p95")
 
 
-@query(r"""SELECT id, coalesce(list_distinct(list_transform(regexp_extract_all(coalesce(patch, ''), '(?m)^--- a/(.+)$', 1), lambda p: regexp_replace(trim(p), '^/', ''))), []) AS files FROM eval_cases WHERE len(regexp_extract_all(coalesce(patch, ''), '(?m)^--- a/(.+)$', 1)) <= 1""")
-def patch_oracles(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "eval_cases").select("id", evaluation.patch_files(F.col("patch")).alias("files"), F.size(F.regexp_extract_all(F.coalesce("patch", F.lit("")), F.lit(r"(?m)^--- a/(.+)$"), F.lit(1))).alias("n"))
-    return rows.where("n <= 1").select("id", "files")
-
-
 @query(r"""SELECT id, coalesce(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(patch, ''), '(?m)^--- a/(.+)$', 1), lambda p: regexp_replace(trim(p), '^/', ''))), lambda p: p <> '')), []) AS files FROM eval_cases""")
-def patch_oracles_all(spark: SparkSession, d: str) -> DataFrame:
+def patch_oracles(spark: SparkSession, d: str) -> DataFrame:
     """Of every case, also where the patch changes several files; the list is sorted."""
     return table(spark, d, "eval_cases").select("id", F.array_sort(evaluation.patch_files(F.col("patch"))).alias("files"))
 
 
 
-_GLOBS = " OR ".join(f"regexp_matches(p, '{pattern_regex(p)}')" for p in PATTERNS)
+_GLOBS = " OR ".join(f"regexp_matches(p, '{x}')" for x in _SQL_GLOBS)
 
 
 @query(f"""WITH t AS (SELECT DISTINCT relative_path, string_split(relative_path, '/') AS s FROM chunks WHERE relative_path IS NOT NULL),
@@ -608,7 +638,7 @@ def glob_ignore(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("relative_path", matches_any(F.col("relative_path"), PATTERNS).alias("ignored"))
 
 
-@query()
+@query("""SELECT doc_id, strlen(left(text, n))::INT AS n_bytes, md5(left(text, n)) AS cut_md5 FROM (SELECT doc_id, text, list_max(list_filter(range(0, 101), lambda n: strlen(left(text, n)) <= 100)) AS n FROM documents)""")
 def utf8_truncate(spark: SparkSession, d: str) -> DataFrame:
     cut = text.truncate_utf8("text", 100)
     return table(spark, d, "documents").select("doc_id", F.octet_length(cut).alias("n_bytes"), F.md5(cut).alias("cut_md5"))
@@ -623,7 +653,10 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
     return search.result_rows_of(flat).select("search_id", "rank", "result_id", F.col("document").isNotNull().alias("has_document"), F.col("location.relative_path").alias("relative_path"))
 
 
-@query()
+@query(_HEADS + rf""", w AS (SELECT h.doc_id, heading, line, l[line:next_line - 1] AS p, unnest(generate_series(0, greatest(0, ceil((next_line - line - 6) / 4.0)::INT) * 4, 4)) AS s
+  FROM (SELECT doc_id, line, trim(regexp_replace(tx, '^#+ ', '')) AS heading, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line), n + 1) AS next_line FROM h) h JOIN t USING (doc_id)),
+c AS (SELECT doc_id, heading, (line + s)::INT AS start_line, (line + least(s + 6, len(p)) - 1)::INT AS end_line, array_to_string(p[s + 1:s + 6], chr(10)) AS content FROM w)
+SELECT doc_id, heading, start_line, end_line, md5(content) AS content_md5 FROM c WHERE {_FILLED}""")
 def range_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Sections of the documents as line ranges, long ones windowed."""
     docs = wide(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("content"))
@@ -631,9 +664,9 @@ def range_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.range_chunks(docs, heads, "doc_id", max_lines=6, overlap=2).select("doc_id", F.col("metadata")["heading"].alias("heading"), "start_line", "end_line", F.md5("content").alias("content_md5"))
 
 
-@query("""SELECT id, list_sort(list_filter([struct_pack(k := 'chunk_kind', v := metadata['chunk_kind']), struct_pack(k := 'domain_path', v := metadata['domain_path']), struct_pack(k := 'symbol_name', v := metadata['symbol_name'])], lambda e: coalesce(e.v, '') <> ''))::VARCHAR IS NOT NULL AS kept,
-  len(list_filter(['chunk_kind', 'domain_path', 'symbol_name', 'experience_kind', 'document_id', 'section_id', 'heading_path', 'knowledge_kind', 'node_kind', 'version', 'symbol_kind', 'role', 'tool_name', 'command', 'status', 'tags', 'absolute_path'], lambda k: coalesce(metadata[k], '') <> ''))::INT AS n_kept FROM chunks""")
+@query("""SELECT id, array_to_string(list_transform(list_sort(list_filter(['absolute_path', 'chunk_kind', 'command', 'document_id', 'domain_path', 'experience_kind', 'heading_path', 'knowledge_kind', 'node_kind', 'role', 'section_id', 'status', 'symbol_kind', 'symbol_name', 'tags', 'tool_name', 'version'],
+  lambda k: coalesce(metadata[k], '') <> '')), lambda k: k || '=' || metadata[k]), chr(10)) AS entries FROM chunks""")
 def column_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Metadata pivoted to columns and back: only entries that have a column and a value are kept."""
     rows = from_columns(to_columns(table(spark, d, "chunks").select("id", "metadata")))
-    return rows.select("id", F.col("metadata").isNotNull().alias("kept"), F.size("metadata").alias("n_kept"))
+    return rows.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n").alias("entries"))

@@ -10,9 +10,9 @@ def test_every_run_is_compared(spark, tmp_path):
     spark.createDataFrame([("x", "n", "c"), ("y", "n", "d")], "id string, namespace string, relative_path string").write.parquet(str(tmp_path / "chunks.parquet"))
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
     want = {(2, "n/a", "modified"), (2, "n/b", "removed"), (4, "n/a", "touched"), (4, "n/c", "added")}
-    assert {tuple(r) for r in run("file_diff_runs")} == want and len(run("file_diff_runs")) == 4
-    assert {tuple(r) for r in run("index_stats_runs")} == {(2, 0, 1, 1, 0, 0, 1), (4, 1, 0, 0, 1, 0, 2)}
-    got = run("replace_files_runs")
+    assert {tuple(r) for r in run("file_diff")} == want and len(run("file_diff")) == 4
+    assert {tuple(r) for r in run("index_stats")} == {(2, 0, 1, 1, 0, 0, 1), (4, 1, 0, 0, 1, 0, 2)}
+    got = run("replace_files")
     assert [r["id"] for r in got if r["origin"] == "old"] == ["y"] and sum(r["origin"] == "new" for r in got) == 3
 
 
@@ -30,4 +30,4 @@ def test_cases_beyond_240_have_their_hits(spark, tmp_path):
 def test_patches_of_several_files(spark, tmp_path):
     patch = "--- a/z.py\n+++ b/z.py\n@@ -1 +1 @@\n--- a/m/a.py\n+++ b/m/a.py\n--- a/z.py\n"
     spark.createDataFrame([("two", patch), ("none", None)], "id string, patch string").write.parquet(str(tmp_path / "eval_cases.parquet"))
-    assert {r["id"]: r["files"] for r in QUERIES["patch_oracles_all"](spark, str(tmp_path)).collect()} == {"two": ["m/a.py", "z.py"], "none": []}
+    assert {r["id"]: r["files"] for r in QUERIES["patch_oracles"](spark, str(tmp_path)).collect()} == {"two": ["m/a.py", "z.py"], "none": []}
