@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.words import WORD, mix
 
 WINDOW = 13
-#: Up to so many template hashes (8 bytes each) of the cases are sent to the executors; beyond, the corpus is joined by shuffle.
-SHARED_LIMIT = 2_000_000
+#: Up to so many template hashes (8 bytes each) of the cases are sent to the executors; beyond, a bitmap of 32 MB of them, which
+#: lets every window that may match pass, and a join by shuffle decides.
+SHARED_LIMIT, TEMPLATE_BITS = 2_000_000, 1 << 28
 NAME_LIMIT = 200_000
 #: Bits that more names than NAME_LIMIT are hashed to, 8 MB for any number; 32,768 a row on their way to the driver.
 NAME_BITS, BITMAP = 1 << 26, 1 << 15
@@ -39,6 +40,16 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFKC", text.translate(_INVISIBLE)).lower().translate(_INVISIBLE)
 
 
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """The bits ``at`` (0 to ``bits`` - 1) of all rows, 8 to a byte: each executor sends what it set, the driver a fixed size."""
+    row = F.floor(F.col("at") / BITMAP).cast("int")
+    rows = places.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bits")).toPandas()
+    out = np.zeros((max(1, bits // BITMAP), BITMAP // 8), np.uint8)
+    for at, some in zip(rows["row"], rows["bits"]):
+        out[at] = np.frombuffer(some, np.uint8)
+    return out.reshape(-1)
+
+
 class HashedNames:
     """A set of names in a bitmap of fixed size: holds every name, and a few words besides (as many as the bits set)."""
 
@@ -48,12 +59,7 @@ class HashedNames:
     @classmethod
     def of(cls, names: DataFrame) -> "HashedNames":
         """From the column n."""
-        at = F.pmod(F.xxhash64("n"), F.lit(NAME_BITS))
-        rows = names.select(at.alias("at")).groupBy(F.floor(F.col("at") / BITMAP).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bits")).toPandas()
-        out = np.zeros((NAME_BITS // BITMAP, BITMAP // 8), np.uint8)
-        for row, bits in zip(rows["row"], rows["bits"]):
-            out[row] = np.frombuffer(bits, np.uint8)
-        return cls(out.reshape(-1))
+        return cls(bitmap(names.select(F.pmod(F.xxhash64("n"), F.lit(NAME_BITS)).alias("at")), NAME_BITS))
 
     def __contains__(self, word: str) -> bool:
         at = xxhash.xxh64_intdigest(word, seed=42) % NAME_BITS  # Spark's xxhash64
@@ -132,11 +138,12 @@ def _lists(k: np.ndarray, rows: list[dict], n: int) -> pd.Series:
 
 
 def _window_udf(names: frozenset[str] | HashedNames, width: int, wanted):
-    """Windows of each text; of a corpus only those whose template is ``wanted`` (a broadcast sorted array)."""
+    """Windows of each text; of a corpus only those whose template is ``wanted``: a broadcast sorted array, or a bitmap of low bits."""
 
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = Vocabulary(names)
-        if wanted is not None:
+        exact = wanted is not None and wanted.value.dtype == np.uint64
+        if exact:
             table = wanted.value
             door = np.zeros(1 << 22, bool)
             door[(table & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -146,10 +153,13 @@ def _window_udf(names: frozenset[str] | HashedNames, width: int, wanted):
             for at in range(0, len(values), 256):
                 some = values[at : at + 256]
                 ids, own, ok, t, e = _windows(some, vocabulary, width)
-                if wanted is not None and len(t):
+                if exact and len(t):
                     ok &= door[(t & np.uint64((1 << 22) - 1)).astype(np.int64)]
+                elif wanted is not None and len(t):
+                    low = (t & np.uint64(len(wanted.value) * 8 - 1)).astype(np.int64)
+                    ok &= (wanted.value[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
                 pos = np.flatnonzero(ok)
-                if wanted is not None and len(pos):
+                if exact and len(pos):
                     j = np.minimum(np.searchsorted(table, t[pos]), len(table) - 1)
                     pos = pos[table[j] == t[pos]]
                 rows = [
@@ -178,9 +188,10 @@ def leaks(docs: DataFrame, cases: DataFrame, *, doc_id: str = "doc_id", text: st
     table = texts.select("case_id", F.inline(_window_udf(names, width, None)("x"))).distinct()
     n = table.select("t").distinct()
     few = n.limit(SHARED_LIMIT + 1).toPandas()["t"].to_numpy()
-    wanted = spark.sparkContext.broadcast(np.sort(few.astype(np.int64).astype(np.uint64))) if 0 < len(few) <= SHARED_LIMIT else None
     if not len(few):
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)[doc_id]}, case_id {dict(cases.dtypes)[case_id]}, n_exact bigint, n_reparameterised bigint")
+    small = len(few) <= SHARED_LIMIT
+    wanted = spark.sparkContext.broadcast(np.sort(few.astype(np.int64).astype(np.uint64)) if small else bitmap(n.select(F.pmod("t", F.lit(TEMPLATE_BITS)).alias("at")), TEMPLATE_BITS))
     hits = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("x")).where("x is not null and doc_id is not null").select("doc_id", F.inline(_window_udf(names, width, wanted)("x"))).distinct()
     met = hits.alias("d").join(table.alias("c"), "t").where("d.e = c.e or d.s = c.s")
     exact = F.col("d.e") == F.col("c.e")

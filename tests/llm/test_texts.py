@@ -305,6 +305,8 @@ def test_leaks_with_more_names_than_the_limit(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(sys.modules["siltstone.llm.leaks"], "NAME_LIMIT", 2)
     assert run() == whole and any(r[0] == 1 and r[3] > 0 for r in whole)
+    monkeypatch.setattr(sys.modules["siltstone.llm.leaks"], "SHARED_LIMIT", 1)  # templates by bitmap and shuffle
+    assert run() == whole
 
 
 def test_disguises():
