@@ -167,7 +167,7 @@ class Engine:
         """Markdown files under ``path`` as one source; replaces what the source held."""
         path = absolute(path)
         scope, source = ("workspace", path), ("external_knowledge" if external else "document", source_id or posixpath.basename(path).rsplit(".", 1)[0] or "documents")
-        nodes = markdown.parse_markdown(read_markdown(self.spark, path).select("absolute_path", "relative_path", "extension", "content"))
+        nodes = markdown.parse_documents(read_markdown(self.spark, path).select("absolute_path", "relative_path", "extension", "content"))
         parts = node_chunks(nodes, max_lines=self.config.max_lines, overlap=self.config.overlap)
         heading = F.array_join("heading_path", " > ")
         fixed = markdown.storage_metadata(F.col("metadata"), F.col("document_id"), F.col("section_id"), heading, F.col("knowledge_kind"), F.col("kind"))

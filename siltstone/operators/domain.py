@@ -6,6 +6,8 @@ nothing is joined or shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,14 @@ def explicit_signal(metadata: Column | None, extension: Column | None) -> Column
     return F.filter(F.array(*out), lambda e: e.isNotNull()) if out else F.array().cast(EVIDENCE)
 
 
+def profiles_of(profiles: DataFrame, limit: int = 1000) -> list[tuple[str, list[str]]]:
+    """Profiles from a table of domain, description, aliases and examples. They become expressions, so more than ``limit`` are an error."""
+    rows = profiles.select("domain", "description", "aliases", "examples").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} profiles")
+    return [(r["domain"], [x for x in (r["domain"], r["description"], *(r["aliases"] or ()), *(r["examples"] or ())) if x]) for r in sorted(rows, key=lambda r: r["domain"])]
+
+
 def profile_signal(text: Column, profiles: list[tuple[str, list[str]]] = PROFILES) -> Column:
     of = [F.struct(F.lit("profile").alias("source"), F.lit(d).alias("domain"), clamp01(_count(text, [x.strip().lower() for x in terms if x.strip()]) / 3.0).alias("score")) for d, terms in profiles]
     return F.filter(F.array(*of), lambda e: e["score"] > 0)
@@ -149,16 +159,25 @@ def decide(evidence: Column, weights: dict[str, float] = WEIGHTS) -> Column:
     return let(live, lambda v: let(scored(v), lambda b: of(v, b)))
 
 
-def resolve(query: Column, *, tool: Column | None = None, metadata: Column | None = None, extension: Column | None = None, memory_domains: Column | None = None) -> Column:
-    """The decision from all four signals."""
+Signal = Callable[[Column], Column]
+
+
+def resolve(query: Column, *, tool: Column | None = None, metadata: Column | None = None, extension: Column | None = None, memory_domains: Column | None = None,
+            profiles: list[tuple[str, list[str]]] = PROFILES, signals: list[Signal] | None = None) -> Column:
+    """The decision from all four signals, or from ``signals`` of one's own, each of weight 1.
+
+    A signal is a function of the normalised text that gives array<struct<source, domain, score>>.
+    """
 
     def evidence(text: Column) -> Column:
-        parts = [explicit_signal(metadata, extension), profile_signal(text)]
+        if signals is not None:
+            return F.concat(*(s(text) for s in signals)) if signals else F.array().cast(EVIDENCE)
+        parts = [explicit_signal(metadata, extension), profile_signal(text, profiles)]
         if memory_domains is not None:
             parts.append(memory_signal(memory_domains))
         return F.concat(*parts, rule_signal(text, extension))
 
-    return decide(let(input_text(query, tool, metadata), evidence))
+    return decide(let(input_text(query, tool, metadata), evidence), WEIGHTS if signals is None else {})
 
 
 def domain_filters(spark, query: str) -> list[str]:

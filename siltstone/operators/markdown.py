@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,25 @@ def parse_markdown(files: DataFrame, path: str = "relative_path", content: str =
     return s.select(*keep, F.inline(nodes))
 
 
+#: Parsers by extension: a table of files (extension, path and content among its columns) to one of nodes.
+Parser = Callable[[DataFrame], DataFrame]
+PARSERS: dict[str, Parser] = {".md": parse_markdown, ".markdown": parse_markdown}
+
+
+def parse_documents(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """Nodes of all files whose extension has a parser, each parser over its own extensions; the others give none."""
+    by_parser: dict[Parser, list[str]] = {}
+    for extension, parser in (PARSERS if parsers is None else parsers).items():
+        by_parser.setdefault(parser, []).append(extension.lower())
+    out = None
+    for parser, extensions in by_parser.items():
+        nodes = parser(files.where(F.lower("extension").isin(extensions)))
+        out = nodes if out is None else out.unionByName(nodes)
+    if out is None:
+        raise ValueError("no parser")
+    return out
+
+
 def storage_metadata(node_metadata: Column, document: Column, section: Column, heading: Column, knowledge: Column, kind: Column) -> Column:
     """Five fixed entries, empty ones kept; the node's own entries win."""
     fixed = F.create_map(F.lit("document_id"), document, F.lit("section_id"), section, F.lit("heading_path"), heading, F.lit("knowledge_kind"), knowledge, F.lit("node_kind"), kind)

@@ -44,7 +44,7 @@ def promote(rows: DataFrame) -> DataFrame:
 
 def to_columns(rows: DataFrame) -> DataFrame:
     """The metadata bag as columns; entries without a column are lost, as in the remote store."""
-    return rows.select(*[c for c in rows.columns if c != "metadata"], *(F.coalesce(F.col("metadata")[k], F.lit("")).alias(k) for k in PROMOTED))
+    return rows.select(*[c for c in rows.columns if c != "metadata" and c not in PROMOTED], *(F.coalesce(F.col("metadata")[k], F.lit("")).alias(k) for k in PROMOTED))
 
 
 def from_columns(rows: DataFrame) -> DataFrame:
@@ -109,6 +109,11 @@ class ChunkStore:
         for part in set(touched) - left:
             self.files.delete(f"chunks/namespace={namespace}/part={part}")
 
+    def search(self, namespace: str, vector: list[float], options) -> DataFrame:
+        from siltstone.operators.search import search_namespace
+
+        return search_namespace(self.read([namespace]), namespace, vector, options)
+
     def clear(self, namespace: str) -> None:
         self.files.delete(f"chunks/namespace={namespace}")
 

@@ -246,3 +246,101 @@ def test_the_limit_holds_for_a_response_in_many_frames(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r["result_key"] for r in spark.sql("select * from framed").collect()) == sorted(f"k{r}-{i}" for r in (1, 2) for i in range(7))
+
+
+def folder_client_maker():
+    class FolderClient:
+        """A store of JSON lines in a folder, so that workers and driver see the same; filters are read as Python."""
+
+        def __init__(self, at):
+            self.at = at
+
+        def _meta(self):
+            return self.at / "meta.json"
+
+        def describe(self):
+            return tuple(json.loads(self._meta().read_text())) if self._meta().exists() else None
+
+        def create(self, dim, fields):
+            self._meta().write_text(json.dumps([dim, fields]))
+
+        def insert(self, columns):
+            import uuid
+
+            rows = [dict(zip(columns, v)) for v in zip(*columns.values())]
+            (self.at / f"{uuid.uuid4().hex}.rows").write_text("\n".join(json.dumps(r) for r in rows))
+
+        def _rows(self):
+            return [(p, json.loads(x)) for p in self.at.glob("*.rows") for x in p.read_text().splitlines()]
+
+        def delete(self, expression):
+            rows = self._rows()
+            for p in {p for p, _ in rows}:
+                p.unlink()
+            kept = [r for _, r in rows if not eval(expression, {}, r)]
+            if kept:
+                self.insert({k: [r[k] for r in kept] for k in kept[0]})
+
+        def search(self, vector, limit, expression, fields):
+            import math
+
+            norm = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+            rows = [r for _, r in self._rows() if eval(expression, {}, r)]
+            scored = sorted(((sum(a * b for a, b in zip(vector, r["vector"])) / norm(vector) / norm(r["vector"]), r) for r in rows), key=lambda x: (-x[0], x[1]["id"]))[:limit]
+            return [s for s, _ in scored], {f: [r[f] for _, r in scored] for f in fields}
+
+        def count(self, expression):
+            return sum(bool(eval(expression, {}, r)) for _, r in self._rows())
+
+    return FolderClient  # a class of a function, so that workers get it by value
+
+
+def test_remote_store(spark, tmp_path, code):
+    from siltstone.functions.vectors import embed_query
+    from siltstone.operators.search import SearchOptions, remote_search
+    from siltstone.sources.remote import RemoteStore, batch_rows, open_store
+
+    e = Engine(spark, str(tmp_path / "root"), Config(dim=16))
+    e.index(str(code))
+    n, at = e.namespace(str(code)), tmp_path / "store"
+    at.mkdir()
+    make = folder_client_maker()
+    store = open_store(spark, "", "remote", make_client=lambda: make(at))
+    assert isinstance(store, RemoteStore) and store.count(n) == 0
+    rows = e.chunks.read([n])
+    store.put(rows, n)
+    store.put(rows, n)  # replaces itself
+    assert store.count(n) == rows.count() == e.chunks.count(n)
+    options, vector = SearchOptions(query="authenticate user", limit=2, semantic=0.5, keyword=0.5), embed_query("authenticate user", 16)
+    same = lambda d: [(r["id"], round(r["score"], 5)) for r in d.collect()]
+    assert same(store.search(n, vector, options)) == same(remote_search(from_columns(to_columns(rows)), n, vector, options))  # entries without a column are lost
+    store.replace_files(n, rows.where("relative_path = 'auth.go'"), rows.limit(0))
+    assert store.count(n) == rows.where("relative_path <> 'auth.go'").count()
+    store.clear(n)
+    assert store.count(n) == 0
+    with pytest.raises(ValueError, match="16"):
+        store.put(rows.withColumn("vector", F.array(F.lit(1.0))), n)
+    with pytest.raises(ValueError, match="length"):
+        store.put(rows.withColumn("vector", F.array().cast("array<float>")), n)
+    with pytest.raises(ValueError, match="2 scores"):
+        batch_rows([1.0, 0.5], {"id": ["a"]}, ("id",))
+    with pytest.raises(ValueError):
+        open_store(spark, "", "other")
+
+
+def test_own_signals_profiles_and_parsers(spark):
+    from siltstone.operators import domain, markdown
+
+    own = lambda t: F.array(F.struct(F.lit("mine").alias("source"), F.lit("a/b").alias("domain"), F.when(t.contains("x"), 0.9).otherwise(0.0).alias("score")))
+    rows = spark.createDataFrame([("x y",), ("kangaroo care",)], "t string")
+    got = [r["d"] for r in rows.select(domain.resolve(F.col("t"), signals=[own])["domain"].alias("d")).collect()]
+    assert got == ["a/b", ""]
+    table = spark.createDataFrame([("zoo/pouch", "kangaroo care", ["kangaroo", "care"], None)], "domain string, description string, aliases array<string>, examples array<string>")
+    profiles = domain.profiles_of(table)
+    assert [r["n"] for r in rows.select(F.size(domain.profile_signal(F.col("t"), profiles)).alias("n")).collect()] == [0, 1]
+    with pytest.raises(ValueError):
+        domain.profiles_of(table.union(table), 1)
+    files = spark.createDataFrame([("a.md", ".md", "# T\nx"), ("b.txt", ".txt", "plain")], "relative_path string, extension string, content string")
+    whole = lambda f: markdown.parse_markdown(f)
+    assert {r["relative_path"] for r in markdown.parse_documents(files).collect()} == {"a.md"}
+    assert {r["relative_path"] for r in markdown.parse_documents(files, markdown.PARSERS | {".txt": whole}).collect()} == {"a.md", "b.txt"}
