@@ -161,7 +161,31 @@ def syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.syntax_chunks(rows, "id", max_lines=20, overlap=4).select("id", "start_line", "end_line", F.col("metadata")["symbol_kind"].alias("symbol_kind"), F.col("metadata")["symbol_name"].alias("symbol_name"))
 
 
-@query()
+_HEADS = rf"""
+WITH t AS ({_LINES}),
+u AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS line, len(l) AS n FROM t),
+f AS (SELECT *, trim(x, E' \t\r\f\x0b　 ') AS tx, sum(CASE WHEN regexp_matches(trim(x, E' \t　 '), '^(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS fences FROM u),
+h AS (SELECT doc_id, line, n, tx FROM f WHERE fences % 2 = 0 AND regexp_matches(tx, '^#{{1,6}} .*\S'))"""
+
+
+_SLUG = r"coalesce(nullif(regexp_replace(regexp_replace(translate(lower(trim({x})), '_ ', '--'), '[^\p{{L}}\p{{N}}\-]+', '', 'g'), '^-+|-+$', '', 'g'), ''), 'document')"
+_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({{x}}), '{w}')" for w in words.split()) + f" THEN '{kind}'" for kind, words in _SQL_KINDS) + " ELSE 'concept' END"
+
+
+@query(_HEADS + rf""",
+g AS (SELECT doc_id, line, n, length(regexp_extract(tx, '^(#+)', 1)) AS lv, trim(regexp_replace(tx, '^#+ ', '')) AS hd FROM h),
+e AS (SELECT *, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line), n + 1) AS nx FROM g),
+a AS (SELECT i.doc_id, i.line, list(j.hd ORDER BY j.lv) AS path FROM e i JOIN e j ON j.doc_id = i.doc_id AND j.line <= i.line AND j.lv <= i.lv
+  WHERE NOT EXISTS (SELECT 1 FROM e m WHERE m.doc_id = i.doc_id AND m.line > j.line AND m.line <= i.line AND m.lv <= j.lv) GROUP BY 1, 2),
+q AS (SELECT t.doc_id, len(l) AS n, min(e.line) AS fh FROM t LEFT JOIN e ON e.doc_id = t.doc_id WHERE {_FILLED.replace('content', "array_to_string(l, '')")} GROUP BY t.doc_id, l),
+s AS (SELECT doc_id, line AS a, nx - 1 AS b, path FROM e JOIN a USING (doc_id, line) UNION ALL SELECT doc_id, 1, coalesce(fh - 1, n), [] FROM q WHERE fh IS NULL OR fh > 1),
+v AS (SELECT s.doc_id, s.a, min(f.line) AS line FROM s JOIN f ON f.doc_id = s.doc_id AND f.line BETWEEN s.a + (len(path) > 0)::INT AND s.b AND f.tx <> '' GROUP BY 1, 2),
+y AS (SELECT v.doc_id, v.a, v.line, CASE WHEN tx LIKE '>%' THEN trim(substr(tx, 2)) WHEN regexp_matches(lower(tx), '^(summary:|abstract:)') THEN trim(substr(tx, strpos(tx, ':') + 1)) WHEN regexp_matches(tx, '^摘要[：:]') THEN trim(substr(tx, 4)) END AS summary FROM v JOIN f ON f.doc_id = v.doc_id AND f.line = v.line),
+o AS (SELECT doc_id, a, path, 'title' AS kind, a AS x, a AS z, 'concept' AS know FROM s WHERE len(path) > 0
+  UNION ALL SELECT s.doc_id, s.a, path, 'summary', y.line, y.line, {_KIND.format(x="array_to_string(path, ' ') || ' ' || summary")} FROM s JOIN y ON y.doc_id = s.doc_id AND y.a = s.a WHERE summary IS NOT NULL
+  UNION ALL SELECT s.doc_id, s.a, path, 'body', s.a, s.b, {_KIND.format(x="array_to_string(path, ' ') || ' ' || array_to_string(l[s.a:s.b], chr(10))")} FROM s JOIN t ON t.doc_id = s.doc_id)
+SELECT o.doc_id, kind, {_SLUG.format(x=r"regexp_replace(regexp_extract(relative_path, '([^/]*)$', 1), '\.[^.]*$', '')")} AS document_id, CASE WHEN len(path) = 0 THEN 'root' ELSE array_to_string(list_transform(path, lambda p: {_SLUG.format(x='p')}), '/') END AS section_id,
+  array_to_string(path, ' > ') AS heading, know AS knowledge_kind, x::INT AS start_line, z::INT AS end_line FROM o JOIN t ON t.doc_id = o.doc_id""")
 def markdown_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes = markdown.parse_markdown(wide(spark, d, "documents").select("doc_id", "relative_path", F.col("text").alias("content")))
     return nodes.select("doc_id", "kind", "document_id", "section_id", F.array_join("heading_path", " > ").alias("heading"), "knowledge_kind", "start_line", "end_line")
@@ -174,13 +198,6 @@ def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.node_chunks(nodes, max_lines=6, overlap=1, extender=chunking.markdown_boundary).select("doc_id", "kind", "section_id", "start_line", "end_line", F.md5("content").alias("content_md5"))
 
 
-_HEADS = rf"""
-WITH t AS ({_LINES}),
-u AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS line, len(l) AS n FROM t),
-f AS (SELECT *, trim(x, E' \t\r\f\x0b　 ') AS tx, sum(CASE WHEN regexp_matches(trim(x, E' \t　 '), '^(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS fences FROM u),
-h AS (SELECT doc_id, line, n, tx FROM f WHERE fences % 2 = 0 AND regexp_matches(tx, '^#{{1,6}} .*\S'))"""
-
-
 @query(_HEADS + r"""
 SELECT doc_id, line::INT AS line, length(regexp_extract(tx, '^(#+)', 1))::INT AS level, trim(regexp_replace(tx, '^#+ ', '')) AS heading, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line), n + 1)::INT AS next_line FROM h""")
 def heading_lines(spark: SparkSession, d: str) -> DataFrame:
