@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_top5(spark: SparkSession, d: str) -> DataFrame:
     """The five best neighbours of every vector, at whatever similarity."""
-    return knn(table(spark, d, "chunks"))
+    return knn(table(spark, d, "chunks")).withColumn("similarity", F.round("similarity", 6))
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -187,6 +187,12 @@ a AS (SELECT c, s, lead(s) OVER (PARTITION BY c ORDER BY turn) AS nxt FROM n WHE
 _KEPT = """
 WHERE c IN (SELECT c FROM h WHERE head = 'user') AND c NOT IN (SELECT c FROM a WHERE s = 'user' AND coalesce(nxt, '') <> 'assistant')"""
 
+_SIMILAR = """
+WITH v AS (SELECT id, vector::DOUBLE[] AS v FROM chunks WHERE len(vector) = 64
+  AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id, b.id AS o, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, o) AS r FROM s)"""
+
 ORACLES: dict[str, str] = {
     "p4_found": f"{_TURNS} SELECT c AS conversation_id, turn::INT AS turn_no, m AS message_id FROM n {_KEPT}",
     "p4_turns": f"{_TURNS} SELECT c AS conversation_id, turn::INT AS turn_no, m AS message_id, s AS speaker, content, t AS at FROM n {_KEPT}",
@@ -207,12 +213,8 @@ cw AS (SELECT DISTINCT case_id, array_to_string(w[i:i + 12], ' ') AS k FROM (SEL
 dw AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d))
 SELECT DISTINCT doc_id, case_id FROM dw JOIN cw USING (k)""",
     "p1_found": r"""SELECT id FROM chunks WHERE strlen(content) > 4000 OR len(regexp_split_to_array(content, '\r\n|\n|\r')) > 120""",
-    "p2_found": """
-WITH v AS (SELECT id, vector::DOUBLE[] AS v FROM chunks WHERE len(vector) = 64
-  AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
-s AS (SELECT a.id, b.id AS o, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, o) AS r FROM s)
-SELECT DISTINCT least(id, o) AS id_a, greatest(id, o) AS id_b FROM r WHERE r <= 5 AND s >= 0.92""",
+    "p2_found": f"{_SIMILAR} SELECT DISTINCT least(id, o) AS id_a, greatest(id, o) AS id_b FROM r WHERE r <= 5 AND s >= 0.92",
+    "p2_top5": f"{_SIMILAR} SELECT id, o AS neighbour, round(s, 6) AS similarity, r::INT AS rank FROM r WHERE r <= 5",
     "p5_found": r"""
 WITH w AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL),
 g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
